@@ -72,22 +72,50 @@ class Lengths:
         return [sum(map(cache.__getitem__, ws)) for ws in parts]
 
 
+_LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?!\\w)"
+#: A Latin word with the space before it, no other letter, digit or apostrophe next to it; or what lies between such words.
+_WORD = re.compile(rf" {_LATIN}|(?<![\w']){_LATIN}|(?:(?! {_LATIN}|(?<![\w']){_LATIN})[\s\S])+")
+
+
 class Ids:
-    """Token ids of texts as little-endian unsigned 32-bit arrays."""
+    """Token ids of texts under a byte-level vocabulary, as little-endian unsigned 32-bit arrays.
+
+    Words and the gaps between them are chunks of their own here, as no token of
+    such a vocabulary crosses from letters to anything else or takes more than one space along.
+    New chunks are encoded many at a time, parted by a special token that the library never merges;
+    texts that hold this token themselves go to the library whole.
+    """
 
-    def __init__(self, path: str):
-        self.path = path
+    MOST = 1_000_000
+    GROUP = 1000
+
+    def __init__(self, path: str, separator: str = "<|endoftext|>"):
+        self.path, self.separator = path, separator
         self.cache: dict[str, bytes] = {}
 
+    def _learn(self, missing: list[str]) -> None:
+        tokenizer, sep = load(self.path), self.separator
+        mark = tokenizer.token_to_id(sep)
+        groups = [missing[i : i + self.GROUP] for i in range(0, len(missing), self.GROUP)]
+        for group, found in zip(groups, tokenizer.encode_batch_fast([sep.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            at = np.flatnonzero(ids == mark) * 4
+            raw = ids.tobytes()
+            if len(at) != len(group) - 1:
+                raise ValueError("the separator doesn't part chunks under this vocabulary")
+            starts, ends = [0, *(at + 4).tolist()], [*at.tolist(), len(raw)]
+            self.cache.update(zip(group, map(raw.__getitem__, map(slice, starts, ends)), strict=True))
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
+        if len(cache) > self.MOST:
             cache.clear()
-        parts = [[text] if _ODD.search(text) else _CHUNK.findall(text) for text in texts]
+        whole = [self.separator in text or bool(_ODD.search(text)) for text in texts]
+        parts = [[] if w else _WORD.findall(text) for text, w in zip(texts, whole, strict=True)]
         missing = list({w for ws in parts for w in ws if w not in cache})
-        tokenizer = load(self.path)
-        for i in range(0, len(missing), 20_000):
-            some = missing[i : i + 20_000]
-            found = tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
-        return [np.frombuffer(b"".join(map(cache.__getitem__, ws)), "<u4") for ws in parts]
+        if missing:
+            self._learn(missing)
+        out = [np.frombuffer(b"".join(map(cache.__getitem__, ws)), "<u4") for ws in parts]
+        for i in np.flatnonzero(whole):
+            out[i] = np.array(load(self.path).encode(texts[i], add_special_tokens=False).ids, "<u4")
+        return out

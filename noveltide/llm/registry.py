@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from noveltide.llm import decontaminate, fingerprint, license_scan, line_dedup, token_counts, toxicity, warc
+from noveltide.llm import decontaminate, fingerprint, license_scan, line_dedup, packing, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_license_scan": license_scan.op2_license_scan,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_packing": packing.op7_packing,
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_token_counts": token_counts.op10_token_counts,
