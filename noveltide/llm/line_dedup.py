@@ -81,7 +81,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id
     dropped = materialize(dropped.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__drop"), "dropped-lines")
 
     text, drop = F.col(text_col), F.col("__drop")
-    joined = docs.join(dropped, docs[id_col].eqNullSafe(dropped["__id"]) & (F.xxhash64(docs[text_col]) == dropped["__th"]), "left")
+    joined = docs.join(dropped.hint("merge"), docs[id_col].eqNullSafe(dropped["__id"]) & (F.xxhash64(docs[text_col]) == dropped["__th"]), "left")
     kept = F.when(drop.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(drop, i)), "\n"))
     n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(1)).cast("long")
     out = joined.withColumns({"n_lines": n_lines, "n_dropped": F.coalesce(F.size(drop), F.lit(0)).cast("long"), text_col: kept})
