@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -84,3 +85,9 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> N
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now, not at the driver's next collection of garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
