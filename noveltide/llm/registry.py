@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from noveltide.llm import decontaminate, fingerprint, license_scan, line_dedup, packing, suffix_dedup, token_counts, toxicity, warc
+from noveltide.llm import decontaminate, fingerprint, jaccard_join, license_scan, line_dedup, packing, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_license_scan": license_scan.op2_license_scan,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_packing": packing.op7_packing,
