@@ -73,7 +73,7 @@ def quantile_transform(df: DataFrame, col: str, quantiles: int = 101, fit_on: Co
     inside = ((to - 1) + F.when(upper > lower, (x - lower) / F.when(upper > lower, upper - lower).otherwise(F.lit(1.0))).otherwise(F.lit(0.0))) * step
     tied = (below + to - 1) / F.lit(2.0) * step
     place = F.when(x.isNull(), F.lit(None).cast("double")).when(to == 0, 0.0).when(below == quantiles, 1.0).when(to > below, tied).otherwise(inside)
-    return out.withColumn(out_col or col, F.least(F.greatest(place, F.lit(0.0)), F.lit(1.0))).drop("__q")
+    return out.withColumn(out_col or col, F.when(place.isNotNull(), F.least(F.greatest(place, F.lit(0.0)), F.lit(1.0)))).drop("__q")
 
 
 def hash_order(id_col: str, seed: int = 42) -> Column:
