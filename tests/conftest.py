@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from noveltide.session import local_session
 
-    session = local_session(4, 4, spark__ui__showConsoleProgress="false", spark__driver__memory="4g")
+    session = local_session(os.environ.get("TEST_CPUS", "4"), 4, spark__ui__showConsoleProgress="false", spark__driver__memory="4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
