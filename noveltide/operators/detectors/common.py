@@ -17,7 +17,7 @@ SAMPLE_ROWS = 20_000
 
 
 def matrix(features: pd.Series) -> np.ndarray:
-    return np.array(features.tolist(), dtype="f8").reshape(len(features), -1)
+    return np.array(features.tolist(), dtype="f8").reshape(len(features), -1 if len(features) else 0)
 
 
 def sample_matrix(df: DataFrame, most: int = SAMPLE_ROWS, seed: int = 42) -> np.ndarray:

@@ -108,10 +108,10 @@ def cblof(test: DataFrame, train: DataFrame, clusters: int = 8, alpha: float = 0
             break
     spark = train.sparkSession
     centers = spark.createDataFrame([(int(c), m, i < cut) for i, (c, _, m) in enumerate(sizes)], "class int, mean array<double>, large boolean")
-    packed = centers.agg(F.collect_list(F.struct("class", "mean", "large")).alias("c"))
+    packed = centers.agg(F.collect_list(F.struct("class", "mean", "large")).alias("__c"))
     d = lambda c: F.struct(distance(F.col("features").cast("array<double>"), c["mean"]).alias("d"), c["large"].alias("large"))
-    out = test.crossJoin(F.broadcast(packed)).withColumn("all", F.transform("c", d))
-    return out.select("row_id", F.array_min(F.filter("all", lambda c: c["large"]))["d"].alias("score"))
+    out = test.crossJoin(F.broadcast(packed)).withColumn("__all", F.transform("__c", d))
+    return out.select("row_id", F.array_min(F.filter("__all", lambda c: c["large"]))["d"].alias("score"))
 
 
 def _with_neighbors(df: DataFrame, k: int) -> DataFrame:

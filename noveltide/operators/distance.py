@@ -55,7 +55,7 @@ def _frame(ids: np.ndarray, dist: np.ndarray, who: np.ndarray) -> pd.DataFrame:
 
 
 def _matrix(features: pd.Series) -> np.ndarray:
-    return np.array(features.tolist(), dtype="f8").reshape(len(features), -1)
+    return np.array(features.tolist(), dtype="f8").reshape(len(features), -1 if len(features) else 0)
 
 
 def nearest(test: DataFrame, train: DataFrame, k: int = 1, exclude_self: bool = False, broadcast_values: int = BROADCAST_VALUES) -> DataFrame:

@@ -53,9 +53,9 @@ def class_radii(train: DataFrame, class_col: str) -> DataFrame:
 
 def class_mean_radius(test: DataFrame, train: DataFrame, class_col: str, epsilon: float = 0.0) -> DataFrame:
     """(row_id, p_normal, p_anomaly): the best over classes of 1 - distance / radius, at least 0; a class without extent accepts its mean alone."""
-    packed = class_radii(train, class_col).agg(F.collect_list(F.struct("mean", "radius")).alias("c"))
+    packed = class_radii(train, class_col).agg(F.collect_list(F.struct("mean", "radius")).alias("__c"))
     share = lambda c: ratio(distance(F.col("features").cast("array<double>"), c["mean"]), c["radius"] + epsilon)
-    each = F.transform("c", lambda c: F.greatest(1.0 - nan_to(share(c), 0.0), F.lit(0.0)))
+    each = F.transform("__c", lambda c: F.greatest(1.0 - nan_to(share(c), 0.0), F.lit(0.0)))
     out = test.crossJoin(F.broadcast(packed)).withColumn("p_normal", F.array_max(each))
     return out.select("row_id", "p_normal", (1.0 - F.col("p_normal")).alias("p_anomaly"))
 
@@ -68,8 +68,8 @@ def logistic_centroid(test: DataFrame, train: DataFrame, class_col: str) -> Data
     means = class_means(train, class_col).select("class", "mean")
     other = means.select(F.col("class").alias("o"), F.col("mean").alias("om"))
     half = means.join(F.broadcast(other), F.col("class") != F.col("o"), "left").groupBy("class").agg(F.first("mean").alias("mean"), (F.min(distance(F.col("mean"), F.col("om"))) / 2).alias("half"))
-    packed = half.agg(F.array_sort(F.collect_list(F.struct("class", "mean", "half"))).alias("c"))
-    each = F.transform("c", lambda c: F.struct(distance(F.col("features").cast("array<double>"), c["mean"]).alias("d"), c["class"].alias("class"), c["half"].alias("half")))
+    packed = half.agg(F.array_sort(F.collect_list(F.struct("class", "mean", "half"))).alias("__c"))
+    each = F.transform("__c", lambda c: F.struct(distance(F.col("features").cast("array<double>"), c["mean"]).alias("d"), c["class"].alias("class"), c["half"].alias("half")))
     best = test.crossJoin(F.broadcast(packed)).select("row_id", F.array_min(each).alias("b"))
     scaled = F.when(F.col("b.half").isNull(), 0.0).otherwise(ratio(F.col("b.d"), F.coalesce("b.half", F.lit(1.0))))
     return best.select("row_id", F.col("b.class").alias("class"), F.col("b.d").alias("dist"), logistic(-(F.least(scaled, F.lit(700.0)) - 1.0)).alias("p_near"))
