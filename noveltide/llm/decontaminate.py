@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noveltide.llm.common import barrier, table
 from noveltide.llm.words import is_one_of, shingle_hashes, with_words
+from noveltide.session import materialize
 
 #: Words in a window.
 WINDOW = 13
@@ -25,20 +26,21 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str =
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
-    """Contamination per row of `docs`: its columns, then `__hit` with n_words, covered (the hit words' positions from 1) and items.
+    """Contamination per row of `docs`: id, th (xxhash64 of the text), n_words, covered (the hit words' positions from 1), items (as strings, sorted).
 
     Up to `broadcast_pairs` windows the scan looks every document window's hash
     up in a set that all executors hold and compares the words of hits, all
     within the row; with more windows, hashes of all windows are joined by a shuffle.
-    A null text has no words; items without words have no windows.
+    Texts are read once; what is found is written without them and then given its items.
+    A null text has no words; items without words have no windows. Repeated rows have a row each.
     """
     spark = docs.sparkSession
     grams = benchmark_windows(benchmark, window, item_col, item_text_col)
     few = grams.take(broadcast_pairs + 1)
-    base = with_words(docs.withColumn("__text", F.col(text_col)), F.col("__text"), "__w").drop("__text")
-    w = F.col("__w")
+    base = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    base = with_words(base, F.col("text"), "w").select("id", F.xxhash64("text").alias("th"), "w")
+    w = F.col("w")
     if len(few) <= broadcast_pairs:
-        found = F.array().cast("array<struct<i:int,n:int>>")
         sizes = sorted({r.n for r in few})
         texts = {n: sorted({r.gram for r in few if r.n == n}) for n in sizes}
         keys: dict[int, list[int]] = {n: [] for n in sizes}
@@ -46,39 +48,35 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_co
             local = spark.createDataFrame([(n, g) for n in sizes for g in texts[n]], "n int, gram string")
             for r in local.select("n", F.xxhash64(F.split("gram", " ")).alias("h")).collect():
                 keys[r.n].append(r.h)
+        found = F.array().cast("array<struct<i:int,n:int>>")
         for n in sizes:
-            base = barrier(base, **{f"__h{n}": shingle_hashes(w, n)})
-            found = F.concat(found, _occurrences(w, F.col(f"__h{n}"), n, keys[n], texts[n]))
-        base = barrier(base, __found=found).drop(*(f"__h{n}" for n in sizes))
-        base = barrier(base, __grams=F.array_distinct(F.transform("__found", lambda s: F.array_join(F.slice(w, s["i"], s["n"]), " "))), __n=F.size(w)).drop("__w")
-        named = spark.createDataFrame([(r.gram, r.item) for r in few], f"__gram string, __item {dict(benchmark.dtypes)[item_col]}")
-        named = F.broadcast(named)
+            base = barrier(base, **{f"h{n}": shingle_hashes(w, n)})
+            found = F.concat(found, _occurrences(w, F.col(f"h{n}"), n, keys[n], texts[n]))
+        base = barrier(base, found=found)
+        named = spark.createDataFrame([(r.gram, r.item) for r in few], f"gram string, item {dict(benchmark.dtypes)[item_col]}")
+        base = base.withColumn("grams", F.array_distinct(F.transform("found", lambda s: F.array_join(F.slice(w, s["i"], s["n"]), " "))))
     else:
-        base = base.withColumn("__key", F.struct(F.col(id_col), F.xxhash64(text_col)))
         sizes = [r.n for r in grams.select("n").distinct().collect()]
         keyed = grams.select("n", "gram", F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
-        scanned = base.select("__key", "__w").dropDuplicates(["__key"])
-        for n in sizes:
-            scanned = barrier(scanned, **{f"__h{n}": shingle_hashes(w, n)})
         hits = None
         for n in sizes:
-            at = scanned.select("__key", F.posexplode(f"__h{n}").alias("i", "h"))
-            at = at.join(keyed.where(F.col("n") == n), "h").select("__key", (F.col("i") + 1).alias("i"), "n", "gram")
+            at = barrier(base, h=shingle_hashes(w, n)).select("id", "th", F.posexplode("h").alias("i", "h"))
+            at = at.join(keyed.where(F.col("n") == n), "h").select("id", "th", (F.col("i") + 1).alias("i"), "n", "gram")
             hits = at if hits is None else hits.unionByName(at)
-        hits = hits.join(scanned.select("__key", "__w"), "__key").where(F.array_join(F.slice("__w", F.col("i"), F.col("n")), " ") == F.col("gram"))
-        hits = hits.groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("i", "n"))).alias("__found"), F.collect_set("gram").alias("__grams"))
-        empty = F.array()
-        base = base.join(hits.withColumnRenamed("__key", "__k"), F.col("__key").eqNullSafe(F.col("__k")), "left")
-        base = base.withColumns({"__n": F.size("__w"), "__found": F.coalesce("__found", empty.cast("array<struct<i:int,n:int>>")), "__grams": F.coalesce("__grams", empty.cast("array<string>"))}).drop("__w", "__key", "__k")
-        named = grams.select(F.col("gram").alias("__gram"), F.col("item").alias("__item")).distinct()
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("__found", lambda s: F.sequence(s["i"], s["i"] + s["n"] - 1)))))
-    base = barrier(base, __covered=covered).drop("__found")
-    dirty = base.where(F.size("__grams") > 0).select(F.struct(F.col(id_col), F.xxhash64(text_col)).alias("__key"), F.explode("__grams").alias("__gram"))
-    items = dirty.join(named, "__gram").groupBy("__key").agg(F.array_sort(F.collect_set(F.col("__item").cast("string"))).alias("__items"))
-    out = base.withColumn("__own", F.when(F.size("__grams") > 0, F.struct(F.col(id_col), F.xxhash64(text_col)))).drop("__grams")
-    out = out.join(items, out["__own"] == items["__key"], "left").drop("__own", "__key")
-    items_of = F.coalesce("__items", F.array().cast("array<string>"))
-    return out.withColumn("__hit", F.struct(F.col("__n").cast("long").alias("n_words"), F.col("__covered").alias("covered"), items_of.alias("items"))).drop("__n", "__covered", "__items")
+        hits = hits.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("i", "n", "gram"))).alias("at"))
+        hits = hits.select(F.col("id").alias("hid"), F.col("th").alias("hth"), "at").hint("merge")
+        base = base.join(hits, base["id"].eqNullSafe(hits["hid"]) & (base["th"] == hits["hth"]), "left")
+        true = F.filter("at", lambda s: F.array_join(F.slice(w, s["i"], s["n"]), " ") == s["gram"])
+        base = barrier(base, true=F.coalesce(true, F.array().cast("array<struct<i:int,n:int,gram:string>>")))
+        base = base.withColumns({"found": F.transform("true", lambda s: F.struct(s["i"], s["n"])), "grams": F.array_distinct(F.transform("true", lambda s: s["gram"]))})
+        named = grams.select("gram", "item").distinct()
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda s: F.sequence(s["i"], s["i"] + s["n"] - 1)))))
+    slim = materialize(base.select("id", "th", F.size("w").cast("long").alias("n_words"), covered.alias("covered"), "grams"), "hits")
+    dirty = slim.where(F.size("grams") > 0).select("id", "th", F.explode("grams").alias("gram")).distinct()
+    items = dirty.join(named, "gram").groupBy("id", "th").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    items = items.select(F.col("id").alias("iid"), F.col("th").alias("ith"), "items")
+    out = slim.join(items, slim["id"].eqNullSafe(items["iid"]) & (slim["th"] == items["ith"]), "left")
+    return out.select("id", "th", "n_words", "covered", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def _occurrences(w: Column, h: Column, n: int, keys: list[int], texts: list[str]) -> Column:
@@ -88,39 +86,41 @@ def _occurrences(w: Column, h: Column, n: int, keys: list[int], texts: list[str]
     return F.transform(at, lambda i: F.struct(i.alias("i"), F.lit(n).alias("n")))
 
 
-def is_contaminated(hit: Column) -> Column:
-    """A twentieth or more of the words, and at least one, lie in benchmark windows."""
-    n = F.size(hit["covered"])
-    return (n > 0) & (20 * n >= hit["n_words"])
+def is_contaminated() -> Column:
+    """Of a row of `find_hits`: a twentieth or more of the words, and at least one, lie in benchmark windows."""
+    n = F.size("covered")
+    return (n > 0) & (20 * n >= F.col("n_words"))
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
+def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
     """`docs` without contaminated rows; clean rows stay as they are, null texts among them."""
-    return find_hits(docs, benchmark, **columns).where(~is_contaminated(F.col("__hit"))).drop("__hit")
+    found = find_hits(docs, benchmark, id_col=id_col, text_col=text_col, **columns).where(is_contaminated())
+    found = materialize(found.select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct(), "contaminated").hint("merge")
+    return docs.join(found, docs[id_col].eqNullSafe(found["__id"]) & (F.xxhash64(docs[text_col]) == found["__th"]), "left_anti")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **columns: str) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
     """`docs` with hit words, and the gaps before them, cut from the texts."""
-    hits = find_hits(docs, benchmark, text_col=text_col, **columns)
+    found = find_hits(docs, benchmark, id_col=id_col, text_col=text_col, **columns).where(F.size("covered") > 0)
+    found = found.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("covered").alias("__covered")).distinct().hint("merge")
+    joined = docs.join(found, docs[id_col].eqNullSafe(found["__id"]) & (F.xxhash64(docs[text_col]) == found["__th"]), "left")
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     parts = F.regexp_extract_all(F.col(text_col), F.lit(f"({gap}*{word}|{gap}+$)"), F.lit(1))
-    kept = F.filter(parts, lambda _, i: ~F.array_contains(F.col("__hit.covered"), i + 1))
-    text = F.when(F.size("__hit.covered") > 0, F.array_join(kept, "")).otherwise(F.col(text_col))
-    return hits.withColumn(text_col, text).drop("__hit")
+    kept = F.filter(parts, lambda _, i: ~F.array_contains("__covered", i + 1))
+    text = F.when(F.col("__covered").isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
+    return joined.withColumn(text_col, text).drop("__id", "__th", "__covered")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = find_hits(docs, table(spark, sf_dir, "benchmark"))
-    hit = F.col("__hit")
-    return out.select(
-        "doc_id",
-        hit["n_words"].alias("n_words"),
-        F.size(hit["covered"]).cast("long").alias("n_hit"),
-        F.size(hit["items"]).cast("long").alias("n_items"),
-        F.sha2(F.array_join(hit["items"], ",").cast("binary"), 256).alias("items_sha256"),
-        is_contaminated(hit).alias("contaminated"),
+    return find_hits(docs, table(spark, sf_dir, "benchmark")).select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.size("covered").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        is_contaminated().alias("contaminated"),
     )
 
 
