@@ -38,6 +38,17 @@ def load(path: str):
     return tokenizer
 
 
+@lru_cache(maxsize=2)
+def ids_of(path: str) -> "Ids":
+    """One dictionary for all tasks of a worker."""
+    return Ids(path)
+
+
+@lru_cache(maxsize=2)
+def lengths_of(path: str, drops_space: bool) -> "Lengths":
+    return Lengths(path, drops_space)
+
+
 def word_chunks(text: str) -> list[str]:
     """Runs between white space, for vocabularies that drop white space; may hold empty strings."""
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")

@@ -43,7 +43,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, sequence: int
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = chunks.Ids(tokenizer)
+        encode = chunks.ids_of(tokenizer)
         end = np.array([end_id], "<u4")
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
