@@ -97,7 +97,7 @@ class Ids:
     texts that hold this token themselves go to the library whole.
     """
 
-    MOST = 1_000_000
+    MOST = 600_000
     GROUP = 1000
 
     def __init__(self, path: str, separator: str = "<|endoftext|>"):
