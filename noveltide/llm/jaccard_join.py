@@ -16,10 +16,12 @@ from noveltide.llm.shingle_sets import shingles
 from noveltide.session import free_shuffles, materialize
 
 #: Counts of shingles by the low bits of their hash put rare ones first; a table of fixed size, whatever the input.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 18
 SLICE = 1 << 12
+#: Cells of a set's sketch: how many of its shingles fall on each. Cells differ by no more than sets do.
+CELLS = 32
 #: Longer index lists aren't filtered in one task; all their sets go on.
-LONG_LIST = 2000
+LONG_LIST = 20_000
 #: Sets of a group that one task compares; larger groups are cut into blocks of half as many, and tasks take pairs of blocks.
 GROUP = 4096
 
@@ -73,19 +75,23 @@ def _counts(docs: DataFrame, n: int) -> np.ndarray:
 def _filter_lists(percent: int):
     """Of each index list, the sets that some other set of the list may link with, under the list's smallest such set.
 
-    A list is sorted by size. Sets of too different sizes, and pairs whose positions
-    in the two sets leave too few shingles to come, are skipped.
+    A list is sorted by size. Sets of too different sizes, pairs whose positions
+    in the two sets leave too few shingles to come, and pairs whose sketches differ
+    by more than linked sets can, are skipped.
     """
 
-    def solve(sid: list[bytes], size: np.ndarray, pos: np.ndarray) -> list[tuple[bytes, bytes]]:
+    def solve(sid: list[bytes], size: np.ndarray, pos: np.ndarray, sketch: np.ndarray) -> list[tuple[bytes, bytes]]:
         order = np.argsort(size, kind="stable")
-        size, pos = size[order], pos[order]
+        size, pos, sketch = size[order], pos[order], sketch[order]
         reach = np.searchsorted(size, size * 100 // percent, side="right")
         able = np.zeros(len(size), bool)
         for i in range(len(size) - 1):
             j = slice(i + 1, reach[i])
             most = 1 + np.minimum(size[i] - pos[i] - 1, size[j] - pos[j] - 1)
-            ok = most >= _least_overlap(int(size[i]), size[j], percent)
+            least = _least_overlap(int(size[i]), size[j], percent)
+            ok = most >= least
+            if len(near := np.flatnonzero(ok)):
+                ok[near] = np.abs(sketch[j][near] - sketch[i]).sum(1) <= size[i] + size[j][near] - 2 * least[near]
             if ok.any():
                 able[i] = True
                 able[j] |= ok
@@ -93,15 +99,15 @@ def _filter_lists(percent: int):
         return [(min(kept), s) for s in kept] if kept else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sid: list[bytes] = []
-        size: list[int] = []
-        pos: list[int] = []
+        members: dict[bytes, tuple[int, int, bytes]] = {}
         last, out = None, set()
 
         def flush() -> None:
-            if len(sid) > 1:
-                out.update(solve(sid, np.array(size), np.array(pos)))
-            sid.clear(), size.clear(), pos.clear()
+            if len(members) > 1:
+                size, pos, raw = zip(*members.values(), strict=True)
+                sketch = np.frombuffer(b"".join(raw), "<u2").reshape(-1, CELLS).astype("i4")
+                out.update(solve(list(members), np.array(size), np.array(pos), sketch))
+            members.clear()
 
         def send() -> Iterator[pa.RecordBatch]:
             if out:
@@ -109,13 +115,11 @@ def _filter_lists(percent: int):
                 out.clear()
 
         for batch in batches:
-            for token, s, n, p in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for token, sid, size, pos, sketch in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if token != last:
                     flush()
                     last = token
-                sid.append(s)
-                size.append(n)
-                pos.append(p)
+                members[sid] = (size, pos, sketch)
             if len(out) > 50_000:
                 yield from send()
         flush()
@@ -198,12 +202,17 @@ def _join_groups(percent: int):
     return run
 
 
+def _placed(*columns: list) -> pa.RecordBatch:
+    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["leader", "pair", "side", "sid", "hashes"])
+
+
 def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of `percent` / 100 or more: id, th, n_shingles, component_id.
 
     1. Texts with equal sets are one set from here on, named by a 128-bit digest.
     2. Every set's rarest shingles, as many as two linked sets must share one of,
-       make index lists; a list's sets that can't link by sizes and positions are skipped.
+       make index lists; a list's sets that can't link by sizes, positions and sketches are skipped.
     3. All sets of a list form a group under its smallest set, so any two sets
        that can link meet in a group. A task gets a group's sets, each once, and derives
        all overlaps from what the sets have in common. It returns each component's spanning links.
@@ -221,8 +230,9 @@ def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, id_col: st
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(s), xxhash.xxh3_128_digest(s) if len(s) else None) for _, s in _sets(batch.column("text"), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array([k for k, _ in found], pa.int64()), pa.array([d for _, d in found], pa.binary())], names=["id", "th", "n_shingles", "sid"])
+            found = [(len(s), xxhash.xxh3_128_digest(s) if len(s) else None, np.minimum(np.bincount((s >> np.uint64(59)).astype("i8"), minlength=CELLS), 65535).astype("<u2").tobytes()) for _, s in _sets(batch.column("text"), n)]
+            kinds = [pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), *(pa.array([f[k] for f in found], kinds[k]) for k in range(3))], names=["id", "th", "n_shingles", "sid", "sketch"])
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
@@ -244,45 +254,58 @@ def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, id_col: st
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view("i8")), pa.array(sids, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "sid", "size", "pos"])
 
-    rows = materialize(base.mapInArrow(digests, f"id {kind}, th long, n_shingles long, sid binary"), "shingle-sets")
+    rows = materialize(base.mapInArrow(digests, f"id {kind}, th long, n_shingles long, sid binary, sketch binary"), "shingle-sets")
     index = base.select("text").mapInArrow(entries, "token long, sid binary, size int, pos int")
     lists = index.groupBy("token").agg(F.min("sid").alias("leader"), F.max("sid").alias("other"), F.count("*").alias("n")).where("leader <> other")
     lists = materialize(lists.select("token", "leader", "n"), "index-lists")
     free_shuffles(spark)
     postings = materialize(index.join(lists.hint("merge"), "token").select("token", "sid", "size", "pos", "leader", "n"), "postings")
     free_shuffles(spark)
-    short = postings.where(F.col("n") <= LONG_LIST).select("token", "sid", "size", "pos").distinct().repartition("token").sortWithinPartitions("token", "size")
+    named = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("id", "th")).alias("k"), F.min("sketch").alias("sketch"))
+    short = postings.where(F.col("n") <= LONG_LIST).select("token", "sid", "size", "pos").join(named.select("sid", "sketch").hint("merge"), "sid")
+    short = short.select("token", "sid", "size", "pos", "sketch").repartition("token").sortWithinPartitions("token")
     members = short.mapInArrow(_filter_lists(percent), "leader binary, sid binary")
     members = members.unionByName(postings.where(F.col("n") > LONG_LIST).select("leader", "sid")).distinct()
     members = materialize(members, "members")
-    groups = members.groupBy("leader").agg(F.count("*").alias("n"))
-
-    needed = members.select("sid").distinct()
-    chosen = rows.join(needed.hint("merge"), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", "k.th")
-    chosen = chosen.select(F.col("id").alias("cid"), F.col("th").alias("cth"))
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [s for _, s in _sets(batch.column(0), n)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["sid", "hashes"])
-
-    texts = base.join(chosen.hint("merge"), base["id"].eqNullSafe(chosen["cid"]) & (base["th"] == chosen["cth"]), "left_semi").select("text")
-    sets = materialize(texts.mapInArrow(hashes, "sid binary, hashes binary").dropDuplicates(["sid"]), "sets")
     free_shuffles(spark)
 
+    groups = members.groupBy("leader").agg(F.count("*").alias("n")).where("n > 1")
     half = GROUP // 2
     blocks = F.when(F.col("n") > GROUP, F.ceil(F.col("n") / half)).otherwise(1).cast("int")
-    placed = members.join(groups.where(F.col("n") > 1).withColumn("blocks", blocks), "leader")
+    placed = members.join(groups.withColumn("blocks", blocks), "leader")
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct((F.least(own, k) * F.col("blocks") + F.greatest(own, k)).alias("pair"), F.when(own == k, 0).otherwise(F.when(own < k, 1).otherwise(2)).alias("side")))
-    placed = placed.select("leader", "sid", F.inline(others))
-    placed = placed.join(sets.hint("merge"), "sid").select("leader", "pair", "side", "sid", "hashes")
+    placed = placed.select("leader", "sid", F.inline(others)).groupBy("sid").agg(F.collect_list(F.struct("leader", "pair", "side")).alias("places"))
+    placed = materialize(placed.join(named.select("sid", F.col("k.id").alias("cid"), F.col("k.th").alias("cth")).hint("merge"), "sid").select("cid", "cth", "places"), "places").hint("merge")
+
+    def send_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = batch.column(1).to_pylist()
+            leaders, pairs, sides, sids, raws = [], [], [], [], []
+            for k, s in _sets(batch.column(0), n):
+                sid, raw = xxhash.xxh3_128_digest(s), s.tobytes()
+                for p in places[k]:
+                    leaders.append(p["leader"])
+                    pairs.append(p["pair"])
+                    sides.append(p["side"])
+                    sids.append(sid)
+                    raws.append(raw)
+                if len(raws) > 2000:
+                    yield _placed(leaders, pairs, sides, sids, raws)
+                    leaders, pairs, sides, sids, raws = [], [], [], [], []
+            if raws:
+                yield _placed(leaders, pairs, sides, sids, raws)
+
+    texts = base.join(placed, base["id"].eqNullSafe(placed["cid"]) & (base["th"] == placed["cth"])).select("text", "places")
+    placed = texts.mapInArrow(send_sets, "leader binary, pair int, side int, sid binary, hashes binary")
     links = placed.repartition("leader", "pair").sortWithinPartitions("leader", "pair").mapInArrow(_join_groups(percent), "a binary, b binary")
+    links = materialize(links, "links")
+    free_shuffles(spark)
     labels = connected_components(links)
 
-    named = rows.join(labels, rows["sid"] == labels["node"], "left").select("id", "th", "n_shingles", F.coalesce("label", "sid").alias("label"))
-    least = named.where("label is not null").groupBy(F.col("label").alias("l")).agg(F.min("id").alias("least"))
-    out = named.join(least, named["label"] == least["l"], "left")
+    labelled = rows.join(labels, rows["sid"] == labels["node"], "left").select("id", "th", "n_shingles", F.coalesce("label", "sid").alias("label"))
+    least = labelled.where("label is not null").groupBy(F.col("label").alias("l")).agg(F.min("id").alias("least"))
+    out = labelled.join(least, labelled["label"] == least["l"], "left")
     return out.select(F.col("id").alias(id_col), "th", "n_shingles", F.coalesce("least", "id").alias("component_id"))
 
 
@@ -291,6 +314,7 @@ def keep_one(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_co
     found = similar_documents(docs, percent, id_col=id_col, text_col=text_col)
     gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__id"), F.col("th").alias("__th")).distinct()
     gone = materialize(gone, "near-copies").hint("merge")
+    free_shuffles(docs.sparkSession)
     return docs.join(gone, (docs[id_col] == gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__th"]), "left_anti")
 
 
