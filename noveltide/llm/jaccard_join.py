@@ -267,6 +267,10 @@ def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, id_col: st
     members = short.mapInArrow(_filter_lists(percent), "leader binary, sid binary")
     members = members.unionByName(postings.where(F.col("n") > LONG_LIST).select("leader", "sid")).distinct()
     members = materialize(members, "members")
+    # A group whose leader is in a group of a smaller leader joins that one, so that a set is placed less often.
+    over = members.groupBy("sid").agg(F.min("leader").alias("over")).where("over < sid").withColumnRenamed("sid", "under")
+    merged = members.join(over, members["leader"] == over["under"], "left")
+    members = materialize(merged.select(F.coalesce("over", "leader").alias("leader"), "sid").distinct(), "members")
     free_shuffles(spark)
 
     groups = members.groupBy("leader").agg(F.count("*").alias("n")).where("n > 1")
