@@ -84,8 +84,10 @@ class Lengths:
 
 
 _LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?!\\w)"
-#: A Latin word with the space before it, no other letter, digit or apostrophe next to it; or what lies between such words.
-_WORD = re.compile(rf" {_LATIN}|(?<![\w']){_LATIN}|(?:(?! {_LATIN}|(?<![\w']){_LATIN})[\s\S])+")
+#: The last of several white-space characters, where a Latin word is next and doesn't take it along.
+_BREAK = r"[\t\n\r](?<=[ \t\n\r]{2})"
+#: A Latin word with the space before it, no other letter, digit or apostrophe next to it; or the break before one; or what lies between.
+_WORD = re.compile(rf" {_LATIN}|(?<![\w']){_LATIN}|{_BREAK}(?={_LATIN})|(?:(?! {_LATIN}|(?<![\w']){_LATIN}|{_BREAK}{_LATIN})[\s\S])+")
 
 
 class Ids:
@@ -93,6 +95,7 @@ class Ids:
 
     Words and the gaps between them are chunks of their own here, as no token of
     such a vocabulary crosses from letters to anything else or takes more than one space along.
+    The library's rule looks ahead in white space: a break directly before a word is apart from the white space before it.
     New chunks are encoded many at a time, parted by a special token that the library never merges;
     texts that hold this token themselves go to the library whole.
     """

@@ -65,6 +65,15 @@ def test_random_texts_equal_the_library(byte_level):
         assert ids.tolist() == byte_level.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_white_space_before_words_equals_the_library(byte_level):
+    rng = np.random.default_rng(5)
+    pieces = ["\n", "\n\n", "\t", "\r\n", " ", "  ", "foo", "a", "é", "5", ".", "'", "日", "_"]
+    texts = ["First line.\n\nSecond line.", "a\n\nfoo", "\n\nfoo", "a\t\tfoo", "a \nfoo", "a\r\nfoo", "a\n\n foo", "a.\n\n\nfoo\n\n", "5\n\nfoo's\n\n'foo"]
+    texts += ["".join(rng.choice(pieces, rng.integers(1, 12))) for _ in range(3000)]
+    for t, ids in zip(texts, chunks.Ids(public_tokenizers.path("byte_bpe_50k.json"))(texts), strict=True):
+        assert ids.tolist() == byte_level.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 @pytest.mark.parametrize("n", [1, 511, 512, 1023, 1024, 1025, 1535, 1536, 2047, 2048, 2049, 3584, 4096, 10_000])
 def test_cut_points(n):
     p = packing.cut_points(n)
