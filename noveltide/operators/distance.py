@@ -16,6 +16,8 @@ from noveltide.functions.scalar import distance
 BROADCAST_VALUES = 16_000_000
 #: Rows of a block product.
 BLOCK = 1024
+#: The most numbers of the differences that are held at once.
+EXACT_VALUES = 8_000_000
 #: Reference rows per block of the grid.
 GRID_ROWS = 20_000
 
@@ -29,23 +31,40 @@ def k_nearest(test: np.ndarray, test_ids: np.ndarray, train: np.ndarray, train_i
     """Distances and ids of the k nearest rows, nearest first, ties by id; short rows are filled with inf and -1.
 
     Candidates come from the block product; their distances are then taken from
-    differences, so coincident points are at 0.
+    differences, so coincident points are at 0. Where more rows than candidates are as near as
+    the k-th, within the product's rounding, all of them are compared.
     """
     dist, ids = np.full((len(test), k), np.inf), np.full((len(test), k), -1, "i8")
+    if not len(train):
+        return dist, ids
     take = min(len(train), k + 8)
+    step = max(1, EXACT_VALUES // max(1, take * test.shape[1]))
+    norm = (train * train).sum(1)
+    slack = 8 * (test.shape[1] + 4) * np.finfo("f8").eps * ((test * test).sum(1) + norm.max(where=np.isfinite(norm), initial=0))
+
+    def order(rows: np.ndarray, d: np.ndarray, near: np.ndarray) -> None:
+        for c in range(0, len(rows), step):
+            own, at = rows[c : c + step], near[c : c + step]
+            exact = np.sqrt(((test[own][:, None, :] - train[at]) ** 2).sum(2))
+            exact[~np.isfinite(np.take_along_axis(d[c : c + step], at, 1))] = np.inf
+            who = train_ids[at]
+            first = np.lexsort((who, exact), axis=1)[:, :k]
+            got = first.shape[1]
+            dist[own, :got] = np.take_along_axis(exact, first, 1)
+            ids[own, :got] = np.where(np.isfinite(dist[own, :got]), np.take_along_axis(who, first, 1), -1)
+
     for a in range(0, len(test), BLOCK):
         block, own = test[a : a + BLOCK], test_ids[a : a + BLOCK]
         d = pairwise_squared(block, train)
         if exclude_self:
             d[own[:, None] == train_ids[None, :]] = np.inf
         near = np.argpartition(d, take - 1, axis=1)[:, :take] if take < len(train) else np.tile(np.arange(len(train)), (len(block), 1))
-        exact = np.sqrt(((block[:, None, :] - train[near]) ** 2).sum(2)) if near.size * test.shape[1] < 50_000_000 else np.sqrt(np.take_along_axis(d, near, 1))
-        exact[~np.isfinite(np.take_along_axis(d, near, 1))] = np.inf
-        who = train_ids[near]
-        order = np.lexsort((who, exact), axis=1)[:, :k]
-        got = order.shape[1]
-        dist[a : a + len(block), :got] = np.take_along_axis(exact, order, 1)
-        ids[a : a + len(block), :got] = np.where(np.isfinite(dist[a : a + len(block), :got]), np.take_along_axis(who, order, 1), -1)
+        order(np.arange(a, a + len(block)), d, near)
+        if take < len(train):
+            reach = np.partition(np.take_along_axis(d, near, 1), k - 1, axis=1)[:, k - 1] + slack[a : a + len(block)]
+            for i in np.flatnonzero(((d <= reach[:, None]) & np.isfinite(d)).sum(1) > take):
+                tied = np.flatnonzero((d[i] <= reach[i]) & np.isfinite(d[i]))
+                order(np.array([a + i]), d[i : i + 1], tied[None, :])
     return dist, ids
 
 

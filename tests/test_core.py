@@ -125,6 +125,26 @@ def test_nearest_agrees_with_brute_force_on_both_paths(spark):
     assert (ids[0] >= 0).sum() == 2 and np.isinf(dist[0][2:]).all()
 
 
+def test_nearest_orders_more_ties_than_candidates_by_id(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    b = rng.normal(size=(600, 5)) + 100
+    b[rng.permutation(600)[:300]] = b[0]
+    test, train = frame(spark, b[:40]), frame(spark, b)
+    d = np.sqrt(((b[:40, None] - b[None]) ** 2).sum(2))
+    monkeypatch.setattr("noveltide.operators.distance.GRID_ROWS", 250)
+    for limit in (10**9, 0):
+        for self_too in (True, False):
+            got = {r.row_id: [n.id for n in r.neighbors] for r in nearest(test, train, 3, exclude_self=not self_too, broadcast_values=limit).collect()}
+            assert got == {i: [j for _, j in sorted((x, j) for j, x in enumerate(d[i]) if self_too or j != i)[:3]] for i in range(40)}
+
+
+def test_nearest_of_many_features_compares_exact_distances():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1030, 2000)) * 100
+    dist, ids = k_nearest(x, np.arange(1030), x, np.arange(1030), 20, False)
+    assert (dist[:, 0] == 0).all() and (ids[:, 0] == np.arange(1030)).all()
+
+
 def test_nearest_without_train_rows(spark):
     test = frame(spark, [[0, 0]])
     assert nearest(test, test.limit(0), 2).first().neighbors == []
