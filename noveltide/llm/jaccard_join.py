@@ -313,9 +313,9 @@ def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, id_col: st
     return out.select(F.col("id").alias(id_col), "th", "n_shingles", F.coalesce("least", "id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
     """`docs` without the rows whose component has a smaller id; rows without words or id stay, and so do rows that repeat the smallest id."""
-    found = similar_documents(docs, percent, id_col=id_col, text_col=text_col)
+    found = similar_documents(docs, percent, n, id_col=id_col, text_col=text_col)
     gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__id"), F.col("th").alias("__th")).distinct()
     gone = materialize(gone, "near-copies").hint("merge")
     free_shuffles(docs.sparkSession)

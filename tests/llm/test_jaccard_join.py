@@ -85,3 +85,12 @@ def test_keep_one(make):
     df = make(["a b c d", "A b c d", None, "", "z"], ids=[9, 3, 4, 5, 6])
     assert sorted(r.doc_id for r in jaccard_join.keep_one(df).collect()) == [3, 4, 5, 6]
     assert jaccard_join.keep_one(df).columns == df.columns
+
+
+def test_keep_one_takes_the_length_of_shingles(make):
+    words = [f"v{k}" for k in range(100)]
+    other = [w if k not in (30, 70) else f"e{k}" for k, w in enumerate(words)]
+    df = make([" ".join(words), " ".join(other)])
+    assert [r.doc_id for r in jaccard_join.keep_one(df, 80, n=5).collect()] == [0]
+    assert sorted(r.doc_id for r in jaccard_join.keep_one(df, 83, n=5).collect()) == [0, 1]
+    assert sorted(r.doc_id for r in jaccard_join.keep_one(df).collect()) == [0, 1]
