@@ -625,10 +625,10 @@ def _detector(name: str, **options: object) -> Query:
     return run
 
 
-#: Fewer members and epochs than a detector's defaults keep the registered queries quick; rows are all used.
+#: A detector's defaults, or the reference's epochs where these are more; models are fitted on `SAMPLE_ROWS` rows at most, all rows are scored.
 for _name, _options in {
-    "COF": {}, "SOD": {}, "CBLOF": {"clusters": 3}, "PCA": {}, "IForest": {"trees": 50}, "LODA": {}, "SUOD": {}, "DIF": {"members": 5, "hidden": (100,)}, "OCSVM": {}, "AE1SVM": {},
-    "AutoEncoder": {"epochs": 10}, "VAE": {"epochs": 10}, "DeepSVDD": {"epochs": 10}, "DASVDD": {"epochs": 5, "trials": 3}, "NeuTraLAD": {"epochs": 3}, "DevNet": {"epochs": 10},
+    "COF": {}, "SOD": {}, "CBLOF": {"clusters": 3}, "PCA": {}, "IForest": {}, "LODA": {}, "SUOD": {}, "DIF": {}, "OCSVM": {}, "AE1SVM": {},
+    "AutoEncoder": {}, "VAE": {}, "DeepSVDD": {}, "DASVDD": {"epochs": 100}, "NeuTraLAD": {"epochs": 200}, "DevNet": {},
 }.items():
     QUERIES[f"detector_{_name.lower()}"] = _detector(_name, **_options)
 

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from noveltide.plans import queries
 from noveltide.plans.queries import ORACLES, QUERIES
 
 
@@ -36,6 +37,14 @@ def test_query_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def test_registered_detectors_have_production_parameters(spark, sf, monkeypatch):
+    given = {}
+    for name in ("DIF", "IForest", "AutoEncoder", "VAE", "DeepSVDD", "DASVDD", "NeuTraLAD", "DevNet"):
+        monkeypatch.setitem(queries.DETECTORS, name, lambda test, train, name=name, **options: given.update({name: options}) or test.selectExpr("row_id", "0D AS score"))
+        QUERIES[f"detector_{name.lower()}"](spark, sf)
+    assert {k: v for k, v in given.items() if v} == {"DASVDD": {"epochs": 100}, "NeuTraLAD": {"epochs": 200}} and len(given) == 8
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
