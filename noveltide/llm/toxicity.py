@@ -27,20 +27,34 @@ SAMPLE_ROWS = 3200
 SAMPLE_CHARS = 24_000_000
 CACHE_ENTRIES = 400_000
 _BASE, _MIX = np.uint64(0x9E3779B1), np.uint64(0x9E3779B97F4A7C15)
+#: Words of more characters (URLs, lists without spaces, Chinese or Thai sentences) count as pieces, which overlap so that each n-gram is whole in one.
+LONG_WORD, PIECE = 64, 16
 _EDGES = ".,;:!?()[]{}\"'|#$%&*_-+=/\\<>~^`"
 
 
 def tokens(text: str) -> list[str]:
-    return text.lower().split()
+    """Words between white space; a long word is given as its pieces, edges marked, each with a space before it to tell it from a word."""
+    words = text.lower().split()
+    if len(text) <= LONG_WORD or max(map(len, words), default=0) <= LONG_WORD:
+        return words
+    return [p for w in words for p in (_pieces(w) if len(w) > LONG_WORD else (w,))]
+
+
+def _pieces(word: str) -> list[str]:
+    core = word.strip(_EDGES) or word
+    if len(core) <= LONG_WORD:
+        return [word]
+    marked, step = f"<{core}>", PIECE - max(GRAMS) + 1
+    return [f" {marked[k : k + PIECE]}" for k in range(0, len(marked) - max(GRAMS) + 1, step)]
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each word and of its character n-grams, edges marked: flat, and how many each word has.
+    """Buckets of each word or piece of `tokens` and of its character n-grams, edges marked: flat, and how many each word has.
 
     A bucket is a polynomial hash of the code points and the length, modulo
     `BUCKETS`, computed for all words at once.
     """
-    marked = [f"<{(w.strip(_EDGES) or w)[:64]}>" for w in words]
+    marked = [w[1:] if w[0] == " " else f"<{w.strip(_EDGES) or w}>" for w in words]
     sizes = np.fromiter(map(len, marked), "i8", len(marked))
     code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
     begin = np.cumsum(sizes) - sizes

@@ -61,6 +61,24 @@ def test_scores_of_odd_texts(make, model):
     assert toxicity.score(make(["a"]).limit(0), model).count() == 0
 
 
+def test_toxic_terms_deep_in_long_words_count(model):
+    score = toxicity.Scorer(model)
+    for joint in (",", "/", "_", ""):
+        clean = joint.join(["tadorlo", "minimse", "rupilta"] * 20)
+        toxic = joint.join(["tadorlo", "minimse", "rupilta"] * 10 + ["gribblex", "zorkful", "quuxish"] + ["tadorlo", "minimse", "rupilta"] * 10)
+        assert clean[:64] == toxic[:64] and score(clean) < 0.5 <= score(toxic), joint
+
+
+def test_pieces_of_long_words_hold_each_ngram():
+    for n in (65, 66, 70, 75, 76, 77, 200, 5000):
+        word = "".join(chr(0x4E00 + k) for k in range(n))
+        marked = f"<{word}>"
+        pieces = [p[1:] for p in toxicity.tokens(f"{word}")]
+        for g in toxicity.GRAMS:
+            assert {marked[k : k + g] for k in range(len(marked) - g + 1)} == {p[k : k + g] for p in pieces for k in range(len(p) - g + 1)}
+    assert toxicity.tokens("w" * 64 + " B") == ["w" * 64, "b"]
+
+
 def test_drop_toxic_keeps_columns(make, model):
     df = make(["gribblex zorkful gribblex", "tadorlo", None])
     assert [r.doc_id for r in toxicity.drop_toxic(df, model).orderBy("doc_id").collect()] == [1, 2]
