@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -46,15 +47,22 @@ def ship(spark: SparkSession) -> None:
     sc._noveltide_shipped = True
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master) is not None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where the setting is absent (tests, a single machine) a folder of this
-    machine is used; on a cluster the setting must name shared storage.
+    Where the setting is absent, a session of one process (tests, a single machine) uses a folder of its own;
+    on a cluster the setting must name shared storage, and its absence is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not is_local(spark):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = getattr(spark.sparkContext, "_noveltide_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="noveltide-shared-")
@@ -80,14 +88,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
-    """Bound Arrow batches of whole texts by rows and bytes, unless the user has set a size."""
+    """Bound Arrow batches of whole texts by rows and bytes, unless the user has set a size.
+
+    The setting stays in the session, as Spark reads it when a plan runs. `spark.noveltide.smallBatches` = false leaves it alone.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    if spark.conf.get("spark.noveltide.smallBatches", "true") == "true" and spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now, not at the driver's next collection of garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished steps now, not at the driver's next collection of garbage.
+
+    This collects the driver's garbage; `spark.noveltide.freeShuffles` = false leaves it to the driver.
+    """
+    if spark.conf.get("spark.noveltide.freeShuffles", "true") == "true":
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
