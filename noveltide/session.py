@@ -84,7 +84,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._noveltide_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that `materialize` returned; only where all that is made of it has been written itself."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._noveltide_path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
