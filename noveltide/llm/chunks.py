@@ -1,6 +1,6 @@
-"""Tokenizing by chunks: a text's ids are those of its chunks, and chunks repeat.
+"""Tokenizing of whole texts: numbers of tokens by chunks, and ids.
 
-A chunk ends where white space follows anything else. The byte-level and the
+For numbers, a chunk ends where white space follows anything else. The byte-level and the
 word-level vocabularies never merge over that boundary, so each distinct chunk
 goes through the library once and a dictionary serves the rest. Texts that hold
 characters on which white-space definitions differ go to the library whole.
@@ -38,12 +38,6 @@ def load(path: str):
     return tokenizer
 
 
-@lru_cache(maxsize=2)
-def ids_of(path: str) -> "Ids":
-    """One dictionary for all tasks of a worker."""
-    return Ids(path)
-
-
 @lru_cache(maxsize=2)
 def lengths_of(path: str, drops_space: bool) -> "Lengths":
     return Lengths(path, drops_space)
@@ -83,53 +77,75 @@ class Lengths:
         return [sum(map(cache.__getitem__, ws)) for ws in parts]
 
 
-_LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?!\\w)"
-#: The last of several white-space characters, where a Latin word is next and doesn't take it along.
-_BREAK = r"[\t\n\r](?<=[ \t\n\r]{2})"
-#: A Latin word with the space before it, no other letter, digit or apostrophe next to it; or the break before one; or what lies between.
-_WORD = re.compile(rf" {_LATIN}|(?<![\w']){_LATIN}|{_BREAK}(?={_LATIN})|(?:(?! {_LATIN}|(?<![\w']){_LATIN}|{_BREAK}{_LATIN})[\s\S])+")
+@lru_cache(maxsize=2)
+def ids_of(path: str) -> "Ids":
+    """One encoder for all tasks of a worker."""
+    return Ids(path)
+
+
+#: Fixed value: the pattern by which byte-level vocabularies of this kind part a text before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space in a row that the pattern's look-ahead would walk back over; texts with more go to the library.
+LONG_GAP = 10_000
+_GAP = re.compile(rf"\s{{{LONG_GAP}}}")
+
+
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable bytes are themselves, the others follow from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+def merge_ranks(model: dict, special: set[str]) -> dict[bytes, int] | None:
+    """The rank of each byte string of a vocabulary whose ids ascend as its merges do; None if they don't."""
+    byte = byte_of()
+    vocab = {t: i for t, i in model["vocab"].items() if t not in special}
+    if any(c not in byte for t in vocab for c in t):
+        return None
+    last = -1
+    for m in model["merges"]:
+        i = vocab.get("".join(m if isinstance(m, list) else m.split(" ")))
+        if i is None or i <= last:
+            return None
+        last = i
+    ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items()}
+    return ranks if len(model["merges"]) + 256 == len(ranks) else None
 
 
 class Ids:
-    """Token ids of texts under a byte-level vocabulary, as little-endian unsigned 32-bit arrays.
+    """Token ids of whole texts under a byte-level vocabulary, as little-endian unsigned 32-bit arrays.
 
-    Words and the gaps between them are chunks of their own here, as no token of
-    such a vocabulary crosses from letters to anything else or takes more than one space along.
-    The library's rule looks ahead in white space: a break directly before a word is apart from the white space before it.
-    New chunks are encoded many at a time, parted by a special token that the library never merges;
-    texts that hold this token themselves go to the library whole.
+    Ids are those of the tokenizers library for the file. Its merges, read as
+    ranks, drive an encoder that gives the same ids several times as fast.
+    Texts that hold a special token's string, or white space without end, go to the library itself,
+    and so do all texts where the file isn't a byte-level vocabulary with ascending merges.
     """
 
-    MOST = 600_000
-    GROUP = 1000
-
-    def __init__(self, path: str, separator: str = "<|endoftext|>"):
-        self.path, self.separator = path, separator
-        self.cache: dict[str, bytes] = {}
-
-    def _learn(self, missing: list[str]) -> None:
-        tokenizer, sep = load(self.path), self.separator
-        mark = tokenizer.token_to_id(sep)
-        groups = [missing[i : i + self.GROUP] for i in range(0, len(missing), self.GROUP)]
-        for group, found in zip(groups, tokenizer.encode_batch_fast([sep.join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            at = np.flatnonzero(ids == mark) * 4
-            raw = ids.tobytes()
-            if len(at) != len(group) - 1:
-                raise ValueError("the separator doesn't part chunks under this vocabulary")
-            starts, ends = [0, *(at + 4).tolist()], [*at.tolist(), len(raw)]
-            self.cache.update(zip(group, map(raw.__getitem__, map(slice, starts, ends)), strict=True))
+    def __init__(self, path: str):
+        import json
+
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            given = json.load(f)
+        self.special = [t["content"] for t in given.get("added_tokens") or []]
+        cut = given.get("pre_tokenizer") or {}
+        level = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and given.get("normalizer") is None
+        ranks = merge_ranks(given["model"], set(self.special)) if level and given["model"].get("type", "BPE") == "BPE" else None
+        self.fast = None
+        if ranks:
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _by_library(self, text: str) -> bool:
+        return self.fast is None or any(t in text for t in self.special) or _GAP.search(text) is not None
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        cache = self.cache
-        if len(cache) > self.MOST:
-            cache.clear()
-        whole = [self.separator in text or bool(_ODD.search(text)) for text in texts]
-        parts = [[] if w else _WORD.findall(text) for text, w in zip(texts, whole, strict=True)]
-        missing = list({w for ws in parts for w in ws if w not in cache})
-        if missing:
-            self._learn(missing)
-        out = [np.frombuffer(b"".join(map(cache.__getitem__, ws)), "<u4") for ws in parts]
-        for i in np.flatnonzero(whole):
-            out[i] = np.array(load(self.path).encode(texts[i], add_special_tokens=False).ids, "<u4")
+        out = []
+        for text in texts:
+            if self._by_library(text):
+                out.append(np.array(load(self.path).encode(text, add_special_tokens=False).ids, "<u4"))
+            else:
+                out.append(np.array(self.fast.encode_ordinary(text), "<u4"))
         return out

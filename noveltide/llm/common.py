@@ -20,16 +20,29 @@ def prepare(spark: SparkSession) -> None:
     session.small_batches(spark)
 
 
-def by_bytes(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about `most` characters each, one text at least."""
+def by_bytes(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of `most` bytes at most together, or of one longer text; `sizes` are the texts' bytes."""
     start, size = 0, 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > most:
+    for i, n in enumerate(sizes):
+        if size and size + n > most:
             yield start, i
             start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names with as many underscores before them as it takes to clash with no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def ascii_lower(text: Column) -> Column:

@@ -9,6 +9,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,10 @@ from noveltide.session import materialize
 SEQUENCE = 2048
 #: A document's last, incomplete piece is cut again at these lengths, which leaves little padding.
 CUTS = (1024, 512)
-#: Pieces that one task packs together; groups are dealt by a hash, so they hold no one document's or source's pieces.
+#: Pieces that are packed together; groups are dealt by a hash, so they hold no one document's or source's pieces.
 GROUP_PIECES = 2000
+#: Groups that a task packs one after the other, and how many times GROUP_PIECES it holds at once at most.
+TASK_GROUPS, MOST_TIMES = 256, 4
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n, a layer's matrix products and its attention.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
@@ -39,6 +42,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, sequence: int
 
     Ids are those of the library for the byte-level vocabulary at the path
     `tokenizer`. A null text counts as empty and has the end id alone. Repeated rows have pieces of their own.
+    Null ids stay null. Other columns of `docs` are ignored, whatever their names.
     """
     prepare(docs.sparkSession)
 
@@ -48,7 +52,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, sequence: int
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             row, start, length, crc, total = [], [], [], [], []
-            for i, j in by_bytes(texts):
+            sizes = pc.binary_length(pc.fill_null(batch.column(1), "").cast(pa.binary())).to_pylist()
+            for i, j in by_bytes(sizes):
                 for k, ids in enumerate(encode(texts[i:j]), i):
                     ids = np.concatenate([ids, end])
                     points = cut_points(len(ids), sequence)
@@ -100,36 +105,53 @@ def assign(lengths: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndarray, n
 
 
 def pack(pieces: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Add sequence_id and offset to pieces (id, start, length, ...).
+    """Add sequence_id and offset to pieces (id, start, length, ids_crc32, doc_tokens; other columns go).
 
     Pieces are dealt to groups of about `group_pieces` by a hash of id, start and
-    text digest, and each group packs its own in descending length (ties by id, start, digest). Sequence
-    numbers are unique over groups.
+    digest, and each group packs its own in descending length (ties by id, start, digest). Spark sorts
+    them, so a task holds one group at a time, and of one that pieces alike in all three have made
+    larger, `MOST_TIMES` as many pieces. Sequence numbers are unique over groups.
     """
     n = pieces.count()
     groups = max(1, -(-n // group_pieces))
+    parallel = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(min(groups, parallel), -(-groups // TASK_GROUPS))
     kinds = dict(pieces.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = [b for b in batches if b.num_rows]
-        if not mine:
-            return
-        rows = pa.Table.from_batches(mine).sort_by([("grp", "ascending"), ("length", "descending"), ("id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
-        group, length = rows["grp"].to_numpy(), rows["length"].to_numpy()
-        bounds = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            where, offset = assign(length[a:b], sequence)
-            some = rows.slice(a, b - a).select(["id", "start", "length", "ids_crc32", "doc_tokens"])
-            some = some.append_column("sequence_id", pa.array((int(group[a]) << 32) + where)).append_column("offset", pa.array(offset))
-            yield from some.combine_chunks().to_batches()
-
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(groups)))
-    dealt = dealt.repartition(max(1, min(groups, 4096)), "grp")
+        held: list[pa.RecordBatch] = []
+        current, used = None, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal used
+            if held:
+                rows = pa.Table.from_batches(held)
+                where, offset = assign(rows["length"].to_numpy(), sequence)
+                rows = rows.drop_columns(["grp"]).append_column("sequence_id", pa.array((current << 32) + used + where)).append_column("offset", pa.array(offset))
+                used += int(where.max()) + 1
+                held.clear()
+                yield from rows.combine_chunks().to_batches()
+
+        for batch in batches:
+            group = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(group) else np.zeros(0, "i8")
+            for a, b in pairwise(cuts.tolist()):
+                if group[a] != current:
+                    yield from flush()
+                    current, used = int(group[a]), 0
+                for k in range(a, b, group_pieces):
+                    held.append(batch.slice(k, min(group_pieces, b - k)))
+                    if sum(x.num_rows for x in held) >= MOST_TIMES * group_pieces:
+                        yield from flush()
+        yield from flush()
+
+    dealt = pieces.select(F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(groups)).alias("grp"), "id", "start", "length", "ids_crc32", "doc_tokens")
+    dealt = dealt.repartition(tasks, "grp").sortWithinPartitions("grp", F.desc("length"), "id", "start", "ids_crc32")
     return dealt.mapInArrow(run, f"id {kinds['id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All of `docs` as packed pieces: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """All of `docs` as packed pieces: id, start, length, ids_crc32, doc_tokens, sequence_id, offset; see `token_pieces` and `pack`. An empty table has none."""
     pieces = materialize(token_pieces(docs, tokenizer, id_col=id_col, text_col=text_col), "pieces")
     return pack(pieces).withColumnRenamed("id", id_col)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from noveltide.llm import chunks
@@ -26,13 +27,13 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = chunks.Lengths(tokenizer, drops_space)
+        count = chunks.lengths_of(tokenizer, drops_space)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
+            sizes = pc.binary_length(pc.fill_null(batch.column(1), "").cast(pa.binary())).to_pylist()
             lengths: list[int] = []
-            for i, j in by_bytes(texts):
+            for i, j in by_bytes(sizes):
                 lengths += count(texts[i:j])
-            sizes = [len(x.encode()) for x in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(lengths, pa.int64()), pa.array([n > limit for n in lengths], pa.bool_())],
                 names=["id", "n_bytes", "n_tokens", "over_limit"],
