@@ -10,17 +10,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noveltide.llm.common import prepare, table
+from noveltide.llm.common import fresh, prepare, table
 
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5, 6)
-#: Rounds of training: the share of each text's words, those rated highest so far, that is averaged.
-SHARES = (1.0, 0.1, 0.03)
-EPOCHS = 4
-#: The fewest steps of a round; small samples have more epochs.
+#: Passes over the sample, and the fewest steps; small samples have more passes.
+EPOCHS = 5
 LEAST_STEPS = 100
-GAIN, MIN_GAIN_SHARE = 40.0, 0.1
+#: Scale of the averaged embeddings, how strongly a word's own evidence weights it, and the pull of embeddings to 0.
+GAIN, SHARP, DECAY = 20.0, 4.0, 3e-4
+#: Power of the loss (1 - p**q) / q: a label that the model finds unlikely pulls less, so wrong labels are hardly learnt by heart.
+POWER = 0.7
+#: Buckets of fewer sampled texts keep no evidence; words of one text say nothing about others.
+LEAST_TEXTS = 5
 #: The most labelled rows that training reads; they're those with the smallest hash of the id.
 SAMPLE_ROWS = 3200
 #: The most characters of sampled texts that the driver gathers; later sampled rows are left out whole.
@@ -96,147 +99,138 @@ class Words:
         return np.fromiter(map(cache.__getitem__, words), "f8", len(words))
 
 
-def bags(texts: list[str], words_of: Words | None = None, share: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text as a sparse row over buckets: the mean over its words of the mean over their subwords.
+class Bags(NamedTuple):
+    """Texts as bags of words, and words as bags of buckets; both flat, with edges."""
 
-    With `words_of`, only the `share` of the words (three at least) that it rates highest.
-    """
-    indptr, idx, val = [0], [], []
+    word: np.ndarray
+    count: np.ndarray
+    text_edge: np.ndarray
+    bucket: np.ndarray
+    word_edge: np.ndarray
+
+
+def bags(texts: list[str]) -> Bags:
+    known: dict[str, int] = {}
+    word, count, edge = [], [], [0]
     for text in texts:
-        own = np.array(tokens(text), object)
-        if words_of is not None and len(own):
-            own = own[np.argsort(-words_of(text), kind="stable")[: max(3, int(share * len(own)))]]
-        words, counts = np.unique(own, return_counts=True) if len(own) else ([], [])
-        if len(words):
-            flat, sizes = subwords(list(words))
-            each = np.repeat(counts / counts.sum() / sizes, sizes)
-            used, back = np.unique(flat, return_inverse=True)
-            idx.append(used)
-            val.append(np.bincount(back, each))
-        indptr.append(indptr[-1] + (len(idx[-1]) if len(words) else 0))
-    return np.array(indptr), np.concatenate(idx) if idx else np.zeros(0, "i4"), np.concatenate(val) if val else np.zeros(0)
-
-
-def train_words(texts: list[str], labels: list[int], shares: tuple[float, ...] = SHARES, rate: float = 0.03, batch: int = 64, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Fit embeddings and softmax jointly with Adam; returns a logit per bucket and the bias.
-
-    A word is the mean of its subwords' embeddings and a text the mean of its
-    words', so the log odds of label 1 are `gain` times a mean over words of a
-    mean over subwords of one number per bucket. Only these numbers are needed
-    to score, and they're what is returned. Without both labels all are 0 and
-    the bias is the (smoothed) log odds of label 1.
-    """
-    y = np.asarray(labels, "i4")
-    if len(set(labels)) < 2:
-        return np.zeros(BUCKETS, "f4"), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 1e-3, (BUCKETS, DIM)).astype("f4")
-    out = rng.normal(0, 0.3, (2, DIM)).astype("f4")
-    bias = np.zeros(2, "f4")
-    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))).astype("f4")
-    logit = None
-    for share in shares:
-        # A whole text's average is small where few words matter; it's scaled up, as the larger rate of a few.
-        gain = GAIN * max(share, MIN_GAIN_SHARE)
-        indptr, idx, val = bags(texts, Words(logit) if logit is not None else None, share)
-        val = (gain * val).astype("f4")
-        moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, out, bias)]
-        filled = np.flatnonzero(np.diff(indptr))
-        epochs = max(EPOCHS, -(-LEAST_STEPS * batch // max(1, len(filled))))
-        step = 0
-        for epoch in range(epochs):
-            order = rng.permutation(filled)
-            lr = rate * (1 - epoch / epochs)
-            for b in range(0, len(order), batch):
-                docs = order[b : b + batch]
-                step += 1
-                lens = np.diff(indptr)[docs]
-                begin = np.cumsum(lens) - lens
-                take = np.repeat(indptr[docs] - begin, lens) + np.arange(lens.sum())
-                used, back = np.unique(idx[take], return_inverse=True)
-                each_val = val[take]
-                h = np.add.reduceat(emb[idx[take]] * each_val[:, None], begin)
-                z = h @ out.T + bias
-                g = np.exp(z - z.max(1, keepdims=True))
-                g /= g.sum(1, keepdims=True)
-                g[np.arange(len(docs)), y[docs]] -= 1
-                g *= (weight[docs] / len(docs))[:, None]
-                each = np.repeat(g @ out, lens, axis=0) * each_val[:, None]
-                grad = np.stack([np.bincount(back, each[:, k], len(used)) for k in range(DIM)], 1).astype("f4")
-                for p, gr, (m, v), rows in ((out, g.T @ h, moments[1], slice(None)), (bias, g.sum(0), moments[2], slice(None)), (emb, grad, moments[0], used)):
-                    m[rows] = 0.9 * m[rows] + 0.1 * gr
-                    v[rows] = 0.99 * v[rows] + 0.01 * gr * gr
-                    p[rows] -= lr * (m[rows] / (1 - 0.9**step)) / (np.sqrt(v[rows] / (1 - 0.99**step)) + 1e-8)
-        logit = (GAIN * (emb @ (out[1] - out[0]))).astype("f4")
-    return logit, float(bias[1] - bias[0])
-
-
-def pooled(values: np.ndarray) -> tuple[float, float, float]:
-    """A text's word logits, those below 0 as 0, as three averages: of all, of the highest hundredth (one at least), and the highest.
-
-    A word that speaks for clean text counts as much as one never seen, so texts of unseen words, and empty ones, are clean.
-    """
-    if not len(values):
-        return 0.0, 0.0, 0.0
-    values = np.maximum(values, 0)
-    k = -(-len(values) // 100)
-    return float(values.mean()), float(np.partition(values, len(values) - k)[-k:].mean()), float(values.max())
+        own: dict[str, int] = {}
+        for w in tokens(text):
+            own[w] = own.get(w, 0) + 1
+        word += [known.setdefault(w, len(known)) for w in own]
+        count += own.values()
+        edge.append(len(word))
+    flat, sizes = subwords(list(known)) if known else (np.zeros(0, "i4"), np.zeros(0, "i8"))
+    return Bags(np.array(word, "i8"), np.array(count, "f4"), np.array(edge, "i8"), flat, np.r_[0, np.cumsum(sizes)].astype("i8"))
+
 
+def _spans(edge: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the given rows' entries, one row after the other, their numbers, and where each row begins."""
+    n = edge[rows + 1] - edge[rows]
+    begin = np.cumsum(n) - n
+    return np.repeat(edge[rows] - begin, n) + np.arange(n.sum()), n, begin
 
-def train(texts: list[str], labels: list[int], seed: int = 7) -> "Model":
-    """Train word logits on three quarters of the rows and the text-level softmax on the other quarter.
 
-    The average over a whole text is a weak signal where a few words in a
-    thousand are toxic, so the text-level softmax (linear, two classes, fitted
-    by Newton's method with a small ridge) sees averages over the whole text,
-    over its highest hundredth and its highest word. It's fitted on rows that the
-    embeddings never saw, where unseen clean words look as they do in new texts.
+def loss_and_gradients(emb: np.ndarray, out: np.ndarray, bias: np.ndarray, b: Bags, rows: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The mean over the given texts (none empty) of (1 - p**POWER) / POWER, p being the label's probability; the buckets used; gradients of these embeddings, the softmax and its bias.
+
+    A word's vector e is the mean of its buckets' embeddings, and its evidence s
+    = GAIN * e . (out[1] - out[0]). A text's vector h is the average of its words', weighted by their counts times exp(SHARP * s),
+    and GAIN * h goes through the linear softmax. Gradients go through the weights too.
     """
-    part = np.arange(len(texts)) % 4 != 3
-    logit, bias = train_words([t for t, p in zip(texts, part, strict=True) if p], [v for v, p in zip(labels, part, strict=True) if p], seed=seed)
-    rest = [(t, v) for t, v, p in zip(texts, labels, part, strict=True) if not p and t.strip()]
-    if len({v for _, v in rest}) < 2 or not logit.any():
-        return Model(logit, np.array([bias, 1.0, 0.0, 0.0]), np.ones(3))
-    words = Words(logit)
-    x = np.array([pooled(words(t)) for t, _ in rest])
-    y = np.array([v for _, v in rest])
-    scale = x.std(0) + 1e-9
-    z = np.column_stack([np.ones(len(x)), x / scale])
-    beta = np.zeros(4)
-    ridge = np.diag([1e-6, 0.05, 0.05, 0.05])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        hess = z.T @ (z * (p * (1 - p))[:, None]) + ridge
-        beta += np.linalg.solve(hess, z.T @ (y - p) - ridge @ beta)
-    return Model(logit, beta, scale)
+    at, n, begin = _spans(b.text_edge, rows)
+    word, back = np.unique(b.word[at], return_inverse=True)
+    flat, size, first = _spans(b.word_edge, word)
+    used, place = np.unique(b.bucket[flat], return_inverse=True)
+    e = (np.add.reduceat(emb[used][place], first) / size[:, None])[back]
+    way = GAIN * (out[1] - out[0])
+    t = SHARP * (e @ way)
+    a = b.count[at] * np.exp(t - np.repeat(np.maximum.reduceat(t, begin), n))
+    a /= np.repeat(np.add.reduceat(a, begin), n)
+    h = np.add.reduceat(a[:, None] * e, begin)
+    z = GAIN * (h @ out.T) + bias
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    own = np.arange(len(rows))
+    damped = p[own, y] ** POWER
+    loss = float((1 - damped).mean() / POWER)
+    p[own, y] -= 1
+    g = p * (damped / len(rows))[:, None]
+    gh = np.repeat(GAIN * (g @ out), n, axis=0)
+    gs = SHARP * a * (gh * (e - np.repeat(h, n, axis=0))).sum(1)
+    ge = a[:, None] * gh + gs[:, None] * way
+    turn = GAIN * (gs[:, None] * e).sum(0)
+    gout = GAIN * (g.T @ h) + np.stack([-turn, turn])
+    dim = emb.shape[1]
+    gw = np.stack([np.bincount(back, ge[:, k], len(word)) for k in range(dim)], 1) / size[:, None]
+    gw = np.repeat(gw, size, axis=0)
+    gemb = np.stack([np.bincount(place, gw[:, k], len(used)) for k in range(dim)], 1)
+    return loss, used, gemb, gout, g.sum(0)
 
 
 class Model(NamedTuple):
-    """A logit per bucket, then the text-level softmax: intercept and weights, and the scale of its inputs."""
+    """All that a score needs of the trained net: each bucket's evidence, and the bias."""
 
     logit: np.ndarray
-    beta: np.ndarray
-    scale: np.ndarray
+    bias: float
+
+
+def train(texts: list[str], labels: list[int], rate: float = 0.03, batch: int = 64, seed: int = 7) -> Model:
+    """Fit embeddings, pooling weights and linear softmax jointly with Adam.
+
+    A plain average is a weak signal where a few words in a thousand are toxic,
+    so a word's weight in the average grows with its own evidence, in training as in scoring. Without both labels all evidence is 0 and
+    the bias is the (smoothed) log odds of label 1. Texts without words don't train.
+    """
+    y = np.asarray(labels, "i8")
+    b = bags(texts)
+    filled = np.flatnonzero(np.diff(b.text_edge))
+    if len(set(y[filled].tolist())) < 2:
+        return Model(np.zeros(BUCKETS, "f4"), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
+    texts_of = np.zeros(BUCKETS, "i4")
+    for k in filled:
+        texts_of[np.unique(b.bucket[_spans(b.word_edge, b.word[b.text_edge[k] : b.text_edge[k + 1]])[0]])] += 1
+    kept = (texts_of >= min(LEAST_TEXTS, len(filled)))[:, None]
+    rng = np.random.default_rng(seed)
+    emb = rng.normal(0, 1e-3, (BUCKETS, DIM)).astype("f4") * kept
+    out = rng.normal(0, 0.3, (2, DIM)).astype("f4")
+    bias = np.zeros(2, "f4")
+    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, out, bias)]
+    epochs, step = max(EPOCHS, -(-LEAST_STEPS * batch // len(filled))), 0
+    for epoch in range(epochs):
+        order = rng.permutation(filled)
+        lr = rate * (1 - epoch / epochs)
+        for k in range(0, len(order), batch):
+            rows = order[k : k + batch]
+            step += 1
+            _, used, gemb, gout, gbias = loss_and_gradients(emb, out, bias, b, rows, y[rows])
+            for p, gr, (m, v), at in ((out, gout, moments[1], slice(None)), (bias, gbias, moments[2], slice(None)), (emb, (gemb + DECAY * emb[used]) * kept[used], moments[0], used)):
+                m[at] = 0.9 * m[at] + 0.1 * gr
+                v[at] = 0.99 * v[at] + 0.01 * gr * gr
+                p[at] -= lr * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.99**step)) + 1e-8)
+    return Model((GAIN * (emb @ (out[1] - out[0]))).astype("f4"), float(bias[1] - bias[0]))
 
 
 class Scorer:
-    """Scores of texts under a model."""
+    """The joint softmax's probability of label 1 for texts; a text without words has the bias alone."""
 
     def __init__(self, model: Model):
-        self.words, self.model = Words(model.logit), model
+        self.words, self.bias = Words(model.logit), model.bias
 
     def __call__(self, text: str) -> float:
-        x = np.array(pooled(self.words(text))) / self.model.scale
-        z = float(self.model.beta[0] + x @ self.model.beta[1:])
+        s, z = self.words(text), self.bias
+        if len(s):
+            a = np.exp(SHARP * (s - s.max()))
+            z += float((a @ s) / a.sum())
         return 1.0 / (1.0 + float(np.exp(-min(max(z, -700.0), 700.0))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Train on a bounded, deterministic sample of labelled rows.
 
     `usable` is a condition on `labels`. The sample is half label 1 and half
     label 0 as far as there are that many, each the rows with the smallest
-    hash of the id. Null labels, ids and texts don't train.
+    hash of the id; texts that would bring the characters gathered over `sample_chars` are
+    left out whole. Null labels, ids and texts don't train; of rows that repeat an id, one text does (the least).
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     if usable is not None:
@@ -251,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
     rows = rows.orderBy(F.xxhash64(F.col("id").cast("string")), "id").toLocalIterator(prefetchPartitions=False)
     chosen, size = [], 0
     for row in rows:
-        if size + len(row.text) <= SAMPLE_CHARS:
+        if size + len(row.text) <= sample_chars:
             size += len(row.text)
             chosen.append(row)
     return train([r.text for r in chosen], [r.y for r in chosen])
@@ -280,8 +274,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """`docs` without the rows whose text the model predicts to be toxic; all columns stay."""
-    scored = score(docs, model, text_col, "__score", "__predicted")
-    return scored.where("__predicted = 0").drop("__score", "__predicted")
+    score_, predicted = fresh(docs, "score", "predicted")
+    scored = score(docs, model, text_col, score_, predicted)
+    return scored.where(F.col(predicted) == 0).drop(score_, predicted)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

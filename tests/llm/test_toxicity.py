@@ -1,3 +1,4 @@
+import math
 import os
 import zlib
 
@@ -31,6 +32,63 @@ def model():
     return toxicity.train(texts, labels)
 
 
+def loops(text, model):
+    """The score by plain loops over words, n-grams and buckets."""
+    m64 = (1 << 64) - 1
+    words = []
+    for w in text.lower().split():
+        core = w.strip(toxicity._EDGES) or w
+        if len(core) > toxicity.LONG_WORD:
+            marked, step = f"<{core}>", toxicity.PIECE - max(toxicity.GRAMS) + 1
+            words += [marked[k : k + toxicity.PIECE] for k in range(0, len(marked) - max(toxicity.GRAMS) + 1, step)]
+        else:
+            words.append(f"<{core}>")
+    evidence = []
+    for w in words:
+        values = []
+        for n in toxicity.GRAMS:
+            for k in range(len(w) - n + 1):
+                v = 0
+                for c in w[k : k + n]:
+                    v = (v * 0x9E3779B1 + ord(c)) & m64
+                values.append(((((v + n) & m64) * 0x9E3779B97F4A7C15) & m64) >> 40)
+        v = 0
+        for c in w:
+            v = (v * 0x9E3779B1 + ord(c)) & m64
+        values.append(((((v + 99) & m64) * 0x9E3779B97F4A7C15) & m64) >> 40)
+        evidence.append(sum(float(model.logit[v % toxicity.BUCKETS]) for v in values) / len(values))
+    z = model.bias
+    if evidence:
+        top = max(evidence)
+        a = [math.exp(toxicity.SHARP * (s - top)) for s in evidence]
+        z += sum(x * s for x, s in zip(a, evidence, strict=True)) / sum(a)
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_equal_plain_loops(model):
+    score = toxicity.Scorer(model)
+    for text in ("", " \n", "gribblex", "loven tador (zorkful) rupil, x", "a b c " * 50 + "quuxish!", "日本語の文章" * 40 + "gribblex", "É é ... --a--", "w" * 65 + " W"):
+        assert score(text) == pytest.approx(loops(text, model), rel=1e-6), text[:20]
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(5)
+    b = toxicity.bags(["one two two three", "three four", "five one five six seven"])
+    emb, out, bias = rng.normal(0, 0.03, (toxicity.BUCKETS, 3)), rng.normal(0, 0.3, (2, 3)), rng.normal(0, 0.1, 2)
+    rows, y = np.array([2, 0, 1]), np.array([1, 0, 1])
+    loss = lambda: toxicity.loss_and_gradients(emb, out, bias, b, rows, y)[0]
+    _, used, gemb, gout, gbias = toxicity.loss_and_gradients(emb, out, bias, b, rows, y)
+    cells = [(emb, (int(used[k]), j), gemb[k, j]) for k in range(0, len(used), 7) for j in range(3)] + [(out, (i, j), gout[i, j]) for i in range(2) for j in range(3)] + [(bias, (i,), gbias[i]) for i in range(2)]
+    for p, at, want in cells:
+        old, d = p[at], 1e-5
+        p[at] = old + d
+        high = loss()
+        p[at] = old - d
+        low = loss()
+        p[at] = old
+        assert (high - low) / (2 * d) == pytest.approx(want, abs=2e-6, rel=1e-3)
+
+
 def test_misspelled_words_share_ngrams(model):
     words = toxicity.Words(model.logit)
     clean = words("lover tavem midora rusenim")
@@ -97,3 +155,9 @@ def test_held_out_rows_never_train(spark, make, monkeypatch):
 def test_one_class_and_no_labels():
     assert 0 < toxicity.Scorer(toxicity.train(["a b"], [0]))("a") < 0.5
     assert toxicity.Scorer(toxicity.train([], []))("a") == pytest.approx(0.5)
+
+
+def test_text_without_spaces_counts_to_its_end(model):
+    filler = "".join(chr(0x4E00 + k * 37 % 5000) for k in range(10_000))
+    score = toxicity.Scorer(model)
+    assert score(filler + "gribblexzorkful") > score(filler + "tadorloloventad") + 0.1
