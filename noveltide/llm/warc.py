@@ -11,6 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from noveltide.llm.common import prepare, table
 from noveltide.session import materialize
@@ -18,7 +19,8 @@ from noveltide.session import materialize
 #: The skippable frame that holds the dictionary has this magic number.
 DICT_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
-DICT_BYTES = 64 << 10
+#: Bytes of a dictionary at most, and of each record's head that goes into it.
+DICT_BYTES, HEAD_BYTES = 64 << 10, 2 << 10
 #: An archive is closed at this many bytes of records.
 ARCHIVE_BYTES = 8 << 20
 #: Payloads under this many bytes are never revisits.
@@ -71,17 +73,36 @@ def record_bytes(page_id: object, url: str | None, payload: bytes, digest: str,
 
 
 def write_archive(records: list[bytes], level: int = 3) -> bytes:
-    """One archive; a dictionary is trained where there are enough records for one."""
-    out, dictionary = [], None
-    if len(records) >= 16 and sum(map(len, records)) > 4 * DICT_BYTES:
-        step = max(1, len(records) // 64)
-        raw = b"".join(r[: DICT_BYTES // 32] for r in records[::step])[-DICT_BYTES:]
-        dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        content = zstandard.ZstdCompressor(level=9).compress(raw)
-        out.append(struct.pack("<II", DICT_MAGIC, len(content)) + content)
+    """One archive of one frame per record; the dictionary, heads of evenly spread records, stands in the leading skippable frame."""
+    step = max(1, len(records) // (DICT_BYTES // HEAD_BYTES))
+    raw = b"".join(r[:HEAD_BYTES] for r in records[::step])[:DICT_BYTES]
+    dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    content = zstandard.ZstdCompressor(level=9).compress(raw)
     compressor = zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_content_size=True, write_checksum=True)
-    out += map(compressor.compress, records)
-    return b"".join(out)
+    return b"".join([struct.pack("<II", DICT_MAGIC, len(content)), content, *map(compressor.compress, records)])
+
+
+def frame_end(data: bytes, at: int) -> int:
+    """Where the Zstandard frame that starts at `at` ends, by its header and the headers of its blocks; nothing is decoded."""
+    try:
+        flags = data[at + 4]
+        single = flags >> 5 & 1
+        sizes = ((1 if single else 0), 2, 4, 8)[flags >> 6]
+        end = at + 5 + (0 if single else 1) + (0, 1, 2, 4)[flags & 3] + sizes
+        while True:
+            head = int.from_bytes(data[end : end + 3], "little")
+            kind, size = head >> 1 & 3, head >> 3
+            if kind == 3 or end + 3 > len(data):
+                raise WarcError(f"the frame at byte {at} has a block that isn't valid")
+            end += 3 + (1 if kind == 1 else size)
+            if head & 1:
+                break
+    except IndexError as e:
+        raise WarcError(f"the frame at byte {at} is cut off") from e
+    end += 4 * (flags >> 2 & 1)
+    if end > len(data):
+        raise WarcError(f"the frame at byte {at} is cut off")
+    return end
 
 
 def read_archive(data: bytes) -> Iterator[Record]:
@@ -112,14 +133,15 @@ def read_archive(data: bytes) -> Iterator[Record]:
             continue
         if magic != FRAME_MAGIC:
             raise WarcError(f"no frame at byte {at}")
+        end = frame_end(data, at)
         frame = decompressor.decompressobj()
         try:
-            raw = frame.decompress(view[at:])
+            raw = frame.decompress(view[at:end])
         except zstandard.ZstdError as e:
             raise WarcError(f"frame at byte {at}: {e}") from e
-        if not frame.eof:
-            raise WarcError(f"the frame at byte {at} is cut off")
-        at = len(data) - len(frame.unused_data)
+        if not frame.eof or frame.unused_data:
+            raise WarcError(f"the frame at byte {at} isn't whole")
+        at = end
         yield parse_record(raw)
 
 
@@ -170,8 +192,11 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     smallest id is the response and the others are revisits of it; rows that
     repeat its id too are responses like it. Payloads are the text in UTF-8, a
     null being empty. The smallest id per digest is summed per task before the
-    shuffle, so a payload that many rows share costs one row per task.
+    shuffle, so a payload that many rows share costs one row per task. Ids are integers or
+    null (a null id is written as empty and read back as null); other columns are ignored, whatever their names.
     """
+    if not isinstance(pages.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} isn't an integer column")
     prepare(pages.sparkSession)
     narrow = pages.select(pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[body_col].cast("string"), F.lit("")).alias("body"))
     narrow = narrow.withColumn("digest", F.sha2(F.col("body").cast("binary"), 256))

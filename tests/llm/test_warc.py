@@ -1,5 +1,7 @@
 import hashlib
+import os
 import struct
+import time
 
 import pytest
 import zstandard
@@ -11,17 +13,43 @@ def records(*payloads):
     return [warc.record_bytes(i, f"http://x/{i}", p, hashlib.sha256(p).hexdigest(), None) for i, p in enumerate(payloads)]
 
 
-def test_archive_round_trip_with_and_without_dictionary():
+def test_archive_round_trip():
     small = records(b"", b"a" * 10)
     large = records(*(f"<html>{i} common words in every page {i * 17}</html>".encode() * 400 for i in range(40)))
-    for rs in (small, large):
+    for rs in (small, large, records(b"x" * 3_000_000, bytes(range(256)) * 4000), records(os.urandom(300_000))):
         data = warc.write_archive(rs)
-        assert (struct.unpack_from("<I", data)[0] == warc.DICT_MAGIC) == (rs is large)
+        assert struct.unpack_from("<I", data)[0] == warc.DICT_MAGIC
         got = list(warc.read_archive(data))
         assert [g.headers["x-page-id"] for g in got] == [str(i) for i in range(len(rs))]
         assert [len(g.payload) for g in got] == [warc.http_length(g.http) for g in got]
 
 
+def test_reading_takes_time_in_proportion():
+    body = lambda k: b"".join(hashlib.sha256(b"%d-%d" % (k, j)).digest() for j in range(125))
+    rs = records(*(body(k) for k in range(2000)))
+    times = []
+    for part in (rs[:250], rs):
+        data = warc.write_archive(part)
+        start = time.process_time()
+        assert sum(1 for _ in warc.read_archive(data)) == len(part)
+        times.append(time.process_time() - start)
+    assert times[1] < 24 * times[0] + 0.2
+
+
+def test_frames_end_where_their_blocks_do():
+    for level in (1, 19):
+        for n in (0, 1, 100, 131_072, 131_073, 1_000_000):
+            for raw in (b"a" * n, os.urandom(n)):
+                for size, check in ((True, True), (False, False)):
+                    frame = zstandard.ZstdCompressor(level=level, write_content_size=size, write_checksum=check).compress(raw)
+                    assert warc.frame_end(b"12345" + frame + frame, 5) == 5 + len(frame)
+
+
+def test_ids_are_integers(spark):
+    with pytest.raises(TypeError):
+        warc.write_warc(spark.createDataFrame([("a", "u", "b")], "page_id string, url string, html string"))
+
+
 def test_plain_dictionary_and_foreign_skippable_frames():
     rs = records(b"hello world " * 30)
     raw = b"hello world " * 200
