@@ -1,100 +1,128 @@
-"""License notices in documents: MinHash bands retrieve templates, exact containment verifies; built-in functions only."""
+"""License notices in documents: MinHash bands over overlapping windows retrieve templates, exact containment of words verifies; built-in functions only."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noveltide.llm.common import barrier, table
+from noveltide.llm.licenses import TEMPLATES
 from noveltide.llm.words import is_one_of, shingle_hashes, with_words
+from noveltide.session import materialize
 
 #: Words in a shingle, and the share of a template's shingles that a window must hold.
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Bands of one MinHash row each. Windows are compared on template shingles only; a window that
-#: holds 0.8 of a template's shingles and as many of others has a similarity of 0.4 at least,
-#: and agrees in no band with a probability of 0.6 ** 64 < 1e-14.
-BANDS = 64
-#: The most template shingles that the scan holds as literals.
-MOST_SHINGLES = 50_000
-
-# Public license notices.
-TEMPLATES = {
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Released under the MIT License.",
-    "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    "MIT-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
-    "BSD-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-}
+#: Bands of one MinHash row each: the smallest shingle hash of each of 2 ** BAND_BITS parts of the hash space (one permutation).
+BAND_BITS = 7
+#: The most band values of templates that the scan holds as literals; with more, positions are joined with them.
+MOST_KEYS = 50_000
+#: Lengths of templates are rounded up to classes that grow by this factor, so any set of templates has a few dozens.
+GROWTH = 1.25
+
+
+def length_class(n: int) -> int:
+    """n words rounded up to a class."""
+    c = SHINGLE
+    while c < n:
+        c = max(c + 1, int(c * GROWTH))
+    return c
+
+
+def window_shape(n: int) -> tuple[int, int]:
+    """(stride, words) of the windows for templates of n words: any n consecutive words lie wholly in one window."""
+    c = length_class(n)
+    stride = max(1, c // 4)
+    return stride, c + stride
 
 
-def _bands(shingles: Column) -> Column:
-    """One hash per band: the band's number and the smallest of the shingles' hashes under its seed."""
+def least_similarity(n: int, similarity: float = SIMILARITY) -> float:
+    """The smallest Jaccard similarity of a template of n words (all shingles different) and a window that holds `similarity` of its shingles."""
+    m = n - SHINGLE + 1
+    held = math.ceil(similarity * m - 1e-9)
+    return held / (window_shape(n)[1] - SHINGLE + 1 + m - held)
 
-    def band(b: int) -> Column:
-        return F.xxhash64(F.lit(b), F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, F.lit(b)))))
 
-    return F.array(*map(band, range(BANDS)))
+def _band(x: Column) -> Column:
+    return F.shiftrightunsigned(x, 64 - BAND_BITS)
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", most_keys: int = MOST_KEYS) -> DataFrame:
     """The license templates in each row's text.
 
-    Texts are cut into windows of 2c words every c words, for each power of two c
-    that is some template's length rounded up, so each occurrence lies wholly in
-    a window. A window's set holds those of its distinct five-word shingles that any template has;
-    windows without any are never built, as no template is like them. A MinHash
-    band in common retrieves a template of the window's length class, and it
-    matches if the window holds `similarity` of its shingles, exactly counted.
+    For templates of n words, texts have windows of n and a quarter words (n rounded up to a class)
+    every quarter, so each occurrence lies wholly in a window. A MinHash band of
+    a window is the smallest hash of its five-word shingles in one part of the hash space, and one band in common retrieves a template.
+    A window's band can only equal a template's where it holds that very shingle, so bands are worked out where one
+    occurs: it must be the smallest of its part in all of the window. A
+    window that holds 0.8 of a long template's shingles has a similarity of 0.45 or more, so it agrees in no
+    band of over 100 with a probability below 1e-20; for a template of one shingle it's below 1e-4.
+    The texts retrieved are then compared with the template word by word: a window matches if it holds `similarity` of the shingles.
 
     Returns id, license, containment (the best window's), first_word (that
     window's first matching word, from 0; the earliest of ties) and n_windows (matching ones): one row per
     distinct (id, text) and license. Null and short texts match nothing, and
-    templates of fewer than five words are rejected. Repeated rows count once.
+    templates of fewer than five words are rejected. Repeated rows count once. Other columns of `docs` are ignored.
     """
     spark = docs.sparkSession
     given = spark.createDataFrame(sorted(templates.items()), "license string, template string")
-    given = with_words(given, F.col("template"), "w").withColumn("t", F.array_distinct(shingle_hashes(F.col("w"), SHINGLE)))
-    known = given.select("license", F.size("w").alias("n"), F.array_sort("t").alias("t")).collect()
-    if short := [r.license for r in known if r.n < SHINGLE]:
+    given = with_words(given, F.col("template"), "w")
+    given = given.select("license", F.size("w").alias("n"), "w", shingle_hashes(F.col("w"), SHINGLE).alias("h")).collect()  # as many rows as the caller gave
+    if short := [r.license for r in given if r.n < SHINGLE]:
         raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
-    literals = sorted({h for r in known for h in r.t})
-    if len(literals) > MOST_SHINGLES:
-        raise ValueError(f"{len(literals)} template shingles; at most {MOST_SHINGLES} can be sent to all executors")
-    size = lambda n: 1 << (n - 1).bit_length()
-    classes = sorted({size(r.n) for r in known})
-    band_rows = spark.createDataFrame([(r.license, size(r.n), r.t) for r in known], "license string, c int, t array<bigint>")
-    band_rows = F.broadcast(band_rows.select("license", "c", "t", F.explode(_bands(F.col("t"))).alias("band")))
+    shapes = {r.license: window_shape(r.n) for r in given}
+    bands, grams = set(), []
+    for r in given:
+        smallest: dict[int, int] = {}
+        for x in r.h:
+            part = (x & (2**64 - 1)) >> (64 - BAND_BITS)
+            smallest[part] = min(x, smallest.get(part, x))
+        bands |= {(shapes[r.license][0], shapes[r.license][1], v, r.license) for v in smallest.values()}
+        own = sorted({" ".join(r.w[k : k + SHINGLE]) for k in range(r.n - SHINGLE + 1)})
+        grams += [(r.license, g, k, len(own), *shapes[r.license]) for k, g in enumerate(own)]
+    keys = sorted({v for _, _, v, _ in bands})
 
     base = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    base = with_words(base, F.col("text"), "w")
-    base = barrier(base, h=shingle_hashes(F.col("w"), SHINGLE)).select("id", "text", "h")
-    at = F.when(F.size("h") > 0, F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: is_one_of(F.get("h", i), literals)))
-    base = barrier(base, at=at).where(F.size("at") > 0)
-    found = base.select("id", F.xxhash64("text").alias("th"), F.explode(F.transform("at", lambda i: F.struct(i.alias("i"), F.get("h", i).alias("h")))).alias("f")).select("id", "th", "f.i", "f.h")
-    each = F.explode(F.array(*map(F.lit, classes)))
-    found = found.distinct().select("id", "th", "i", "h", each.alias("c"))
-    home = F.floor(F.col("i") / F.col("c")).cast("int")
-    # A shingle of five words that starts in the last four words of a window isn't in it.
-    in_first = (F.col("i") % F.col("c")) + SHINGLE <= 2 * F.col("c")
-    in_before = (home > 0) & ((F.col("i") % F.col("c")) + F.col("c") + SHINGLE <= 2 * F.col("c"))
-    both = F.array_compact(F.array(F.when(in_first, home), F.when(in_before, home - 1)))
-    windows = found.select("id", "th", "c", "i", "h", F.explode(both).alias("window"))
-    windows = windows.groupBy("id", "th", "c", "window").agg(F.collect_set("h").alias("s"), F.collect_list(F.struct("i", "h")).alias("at"))
-    candidates = windows.select("*", F.explode(_bands(F.col("s"))).alias("band")).join(band_rows, ["c", "band"])
-    candidates = candidates.dropDuplicates(["id", "th", "c", "window", "license"])
-    share = F.size(F.array_intersect("s", "t")) / F.size("t")
-    first = F.array_min(F.transform(F.filter("at", lambda a: F.array_contains("t", a["h"])), lambda a: a["i"]))
-    hits = candidates.select("id", "th", "license", share.alias("containment"), first.alias("first")).where(F.col("containment") >= similarity)
+    base = with_words(base, F.col("text"), "w").select("id", F.xxhash64("text").alias("th"), "w")
+    base = barrier(base, h=shingle_hashes(F.col("w"), SHINGLE))
+    if len(keys) <= most_keys:
+        at = F.when(F.size("h") > 0, F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: is_one_of(F.get("h", i), keys)))
+        base = barrier(base, at=at).where(F.size("at") > 0)
+    else:
+        known = spark.createDataFrame([(v,) for v in keys], "v long")
+        at = base.select("id", "th", F.posexplode("h").alias("i", "v")).join(known, "v").groupBy(F.col("id").alias("aid"), F.col("th").alias("ath")).agg(F.collect_set("i").alias("at"))
+        base = base.join(at.hint("merge"), base["id"].eqNullSafe(at["aid"]) & (base["th"] == at["ath"])).drop("aid", "ath")
+
+    def in_band(stride: int, words: int, i: Column) -> Column:
+        """Whether the shingle at i is the smallest of its band in a window that holds it."""
+        v = F.get("h", i)
+        first = F.greatest(F.lit(0), F.ceil((i + SHINGLE - words) / stride).cast("int"))
+        holding = F.sequence(first, F.floor(i / stride).cast("int"))
+        return F.exists(holding, lambda k: ~F.exists(F.slice("h", k * stride + 1, words - SHINGLE + 1), lambda x: (x < v) & (_band(x) == _band(v))))
+
+    def retrieved(stride: int, words: int) -> Column:
+        own = sorted({v for s, n, v, _ in bands if (s, n) == (stride, words)})
+        here = F.filter("at", lambda i: is_one_of(F.get("h", i), own))
+        return F.transform(F.filter(here, lambda i: in_band(stride, words, i)), lambda i: F.struct(F.lit(stride).alias("s"), F.lit(words).alias("n"), F.get("h", i).alias("v")))
+
+    hits = F.array_distinct(F.concat(*(retrieved(s, n) for s, n in sorted(set(shapes.values())))))
+    base = barrier(base, hits=hits).where(F.size("hits") > 0)
+    base = materialize(base.select("id", "th", "w", "hits"), "licensed-texts")
+
+    band_rows = spark.createDataFrame(sorted(bands), "s int, n int, v long, license string")
+    named = base.select("id", "th", F.inline("hits")).join(band_rows, ["s", "n", "v"]).select(F.col("id").alias("cid"), F.col("th").alias("cth"), F.col("license").alias("clicense")).distinct()
+    gram_rows = spark.createDataFrame(grams, "license string, gram string, g int, m int, s int, n int")
+    each = F.transform(F.sequence(F.lit(1), F.size("w") - SHINGLE + 1), lambda i: F.array_join(F.slice("w", i, SHINGLE), " "))
+    found = base.select("id", "th", F.posexplode(each).alias("i", "gram")).join(gram_rows, "gram").select("id", "th", "license", "i", "g", "m", "s", "n")
+    found = found.join(named, found["id"].eqNullSafe(named["cid"]) & (found["th"] == named["cth"]) & (found["license"] == named["clicense"]), "left_semi")
+    first = F.greatest(F.lit(0), F.ceil((F.col("i") + SHINGLE - F.col("n")) / F.col("s")).cast("int"))
+    windows = found.select("id", "th", "license", "i", "g", "m", F.explode(F.sequence(first, F.floor(F.col("i") / F.col("s")).cast("int"))).alias("window"))
+    windows = windows.groupBy("id", "th", "license", "m", "window").agg(F.size(F.collect_set("g")).alias("held"), F.min("i").alias("first"))
+    windows = windows.withColumn("containment", F.col("held") / F.col("m")).where(F.col("containment") >= similarity)
     best = F.min(F.struct((-F.col("containment")).alias("k"), "first")).alias("best")
-    out = hits.groupBy("id", "th", "license").agg(best, F.count("*").alias("n_windows"))
+    out = windows.groupBy("id", "th", "license").agg(best, F.count("*").alias("n_windows"))
     return out.select(F.col("id").alias(id_col), "license", (-F.col("best.k")).alias("containment"), F.col("best.first").cast("long").alias("first_word"), "n_windows")
 
 
@@ -106,17 +134,18 @@ _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcde
 _VALUES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(TEMPLATES.items()))
 ORACLES = {
     "op2_license_scan": f"""
-WITH given(license, template) AS (VALUES {_VALUES}),
+WITH RECURSIVE classes(c) AS (SELECT {SHINGLE} UNION ALL SELECT greatest(c + 1, floor(c * {GROWTH})::INT) FROM classes WHERE c < 5000),
+given(license, template) AS (VALUES {_VALUES}),
 tw AS (SELECT license, {_WORDS.format("template")} AS w FROM given),
-ts AS (SELECT DISTINCT license, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT license, w, unnest(range(1, len(w) - 3)) AS i FROM tw)),
-tn AS (SELECT license, count(*) AS m, (SELECT pow(2, ceil(log2(len(w))))::INT FROM tw WHERE tw.license = ts.license) AS c FROM ts GROUP BY license),
+tc AS (SELECT license, w, (SELECT min(c) FROM classes WHERE c >= len(w)) AS c FROM tw),
+ts AS (SELECT DISTINCT license, c, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT license, c, w, unnest(range(1, len(w) - 3)) AS i FROM tc)),
+tn AS (SELECT license, count(*) AS m, any_value(greatest(1, c // 4)) AS stride, any_value(c + greatest(1, c // 4)) AS words FROM ts GROUP BY license),
 d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 ds AS (SELECT doc_id, i - 1 AS i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
-f AS (SELECT doc_id, i, s, license, m, c FROM ds JOIN ts USING (s) JOIN tn USING (license)),
-k AS (SELECT *, i // c AS win FROM f WHERE i % c + 5 <= 2 * c
-      UNION ALL SELECT *, i // c - 1 AS win FROM f WHERE i >= c AND i % c + c + 5 <= 2 * c),
-v AS (SELECT doc_id, license, win, count(DISTINCT s) / m::DOUBLE AS containment, min(i) AS first_word FROM k GROUP BY doc_id, license, win, m
-      HAVING count(DISTINCT s) / m::DOUBLE >= 0.8)
+f AS (SELECT doc_id, i, s, license, m, stride, words FROM ds JOIN ts USING (s) JOIN tn USING (license)),
+k AS (SELECT *, unnest(range(0, i // stride + 1)) AS win FROM f),
+v AS (SELECT doc_id, license, win, count(DISTINCT s) / m::DOUBLE AS containment, min(i) AS first_word FROM k WHERE i + 5 <= win * stride + words
+      GROUP BY doc_id, license, win, m HAVING count(DISTINCT s) / m::DOUBLE >= 0.8)
 SELECT doc_id, license, max(containment) AS containment, arg_min(first_word, (-containment, first_word))::BIGINT AS first_word, count(*)::BIGINT AS n_windows
 FROM v GROUP BY doc_id, license
 """

@@ -1,4 +1,8 @@
+import math
+import random
+
 import duckdb
+import numpy as np
 import pytest
 
 from noveltide.llm import license_scan
@@ -13,10 +17,10 @@ def brute(texts, templates, similarity=0.8):
         found = grams(words(t))
         for name, template in templates.items():
             want = set(grams(words(template)))
-            c = 1 << (len(words(template)) - 1).bit_length()
+            stride, size = license_scan.window_shape(len(words(template)))
             hits = []
-            for k in range(max(1, -(-len(found) // c))):
-                own = [(p, g) for p, g in enumerate(found) if k * c <= p and p + 5 <= (k + 2) * c and g in want]
+            for k in range(len(found) // stride + 1):
+                own = [(p, found[p]) for p in range(k * stride, min(len(found), k * stride + size - 4)) if found[p] in want]
                 share = len({g for _, g in own}) / len(want)
                 if own and share >= similarity:
                     hits.append((-share, own[0][0]))
@@ -32,11 +36,54 @@ TEXTS = [
 ]
 
 
-def test_against_brute_force(make):
-    got = {(r.doc_id, r.license): (pytest.approx(r.containment), r.first_word, r.n_windows) for r in license_scan.scan_licenses(make(TEXTS)).collect()}
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_against_brute_force(make, most):
+    got = {(r.doc_id, r.license): (pytest.approx(r.containment), r.first_word, r.n_windows) for r in license_scan.scan_licenses(make(TEXTS), most_keys=most).collect()}
     assert got == brute(TEXTS, license_scan.TEMPLATES)
 
 
+def test_recall_of_edited_licenses(make):
+    rng = random.Random(8)
+    texts = []
+    for k in range(240):
+        name = rng.choice(sorted(license_scan.TEMPLATES))
+        w = license_scan.TEMPLATES[name].split()
+        for _ in range(rng.randint(0, max(1, len(w) // 30))):
+            j = rng.randrange(len(w))
+            w[j : j + rng.randint(0, 2)] = rng.choice([[], ["other"], ["two", "more"]])
+        between = [license_scan.TEMPLATES[rng.choice(sorted(license_scan.TEMPLATES))]] if k % 3 == 0 else []
+        texts.append(" ".join([long_text(rng.randint(0, 60), 100 * k), *between, *w, long_text(rng.randint(0, 60), 50_000 + 100 * k)]))
+    got = {(r.doc_id, r.license): (pytest.approx(r.containment), r.first_word, r.n_windows) for r in license_scan.scan_licenses(make(texts)).collect()}
+    want = brute(texts, license_scan.TEMPLATES)
+    assert len(want) > 200 and got == want
+
+
+def test_long_templates_and_many_classes(make):
+    templates = {f"t{n}": long_text(n, 1000 * n) for n in (5, 6, 13, 100, 1500, 6000)}
+    texts = [long_text(50, 10**6) + " " + t + " " + long_text(90, 2 * 10**6) for t in templates.values()] + [" ".join(templates["t1500"].split()[:1150]), " ".join(templates["t1500"].split()[100:1400])]
+    got = {(r.doc_id, r.license): (pytest.approx(r.containment), r.first_word, r.n_windows) for r in license_scan.scan_licenses(make(texts), templates).collect()}
+    assert got == brute(texts, templates) and (7, "t1500") in got and (6, "t1500") not in got
+
+
+def test_bands_are_those_of_whole_windows():
+    """Of windows that hold 0.8 of a template, hardly any agrees in no band, whatever else they hold."""
+    rng = np.random.default_rng(3)
+    bits = np.uint64(64 - license_scan.BAND_BITS)
+
+    def signature(x):
+        return {int(p): int(x[x >> bits == p].min()) for p in np.unique(x >> bits)}
+
+    for n in (5, 6, 7, 13, 40, 200):
+        m, size = n - 4, license_scan.window_shape(n)[1] - 4
+        missed, held = 0, math.ceil(0.8 * m - 1e-9)
+        for _ in range(2000):
+            t = rng.integers(0, 2**64, m, dtype="u8")
+            w = np.r_[t[:held], rng.integers(0, 2**64, size - held, dtype="u8")]
+            missed += not set(signature(t).items()) & set(signature(w).items())
+        assert missed / 2000 <= (0.02 if m == 1 else 0.002)
+        assert license_scan.least_similarity(n) >= 0.35
+
+
 def test_rejects_short_templates(make):
     with pytest.raises(ValueError):
         license_scan.scan_licenses(make(["a"]), {"x": "too short"})
