@@ -43,10 +43,34 @@ def test_against_brute_force(make, monkeypatch):
     ids = [k * 5 for k in range(len(TEXTS))]
     df = make(TEXTS, ids=ids)
     check(list(zip(ids, TEXTS, strict=True)), fingerprint.fingerprint_with_edits(df).collect())
-    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 3)
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", 10)
+    monkeypatch.setattr(fingerprint, "MARKS", 4)
     check(list(zip(ids, TEXTS, strict=True)), fingerprint.fingerprint_with_edits(df).collect())
 
 
+def test_canonical_text_of_odd_characters(spark):
+    spaces = [chr(c) for c in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    texts = ["\x01 a \x02", "\x00", "|a|", " | ", "||", *spaces, *(f"{x}a{x}{x} b{x}" for x in spaces), *(f"a{x} {y}b" for x in spaces[:3] for y in spaces[-3:]), "ǰ ΐ İ ß ﬃ", "e\u0301E\u0301", "🙂\u200b x", "ΑΣ", "a\u2060 b"]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", fingerprint.canonical(F.col("t")).alias("c")).collect()
+    assert {r.k: r.c for r in got} == {k: canon(t) for k, t in enumerate(texts)}
+
+
+def test_order_of_many_null_ids(make, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", 20)
+    texts = [f"text {k} " * (k % 5 + 1) for k in range(40)]
+    ids = [None if k % 2 else k for k in range(40)]
+    found = {r.edited_sha256 for r in fingerprint.fingerprint_with_edits(make(texts, ids=ids)).collect()}
+    known = sorted(((i, t) for i, t in zip(ids, texts, strict=True) if i is not None), reverse=True)
+    rest = [t for i, t in zip(ids, texts, strict=True) if i is None]
+    hashed = {r.t: r.h for r in make(rest).select(F.col("text").alias("t"), F.xxhash64("text").alias("h")).collect()}
+    row = [t for _, t in known] + sorted(rest, key=lambda t: hashed[t])
+    want = set()
+    for k, t in enumerate(row):
+        cut = len(t) // 3
+        want.add(hashlib.sha256((t[: len(t) - cut] + row[(k + 1) % len(row)][:cut]).encode()).hexdigest())
+    assert found == want
+
+
 def test_bytes_decide_where_hashes_are_equal(make):
     ids = list(range(len(TEXTS)))
     weak = lambda c: (F.char_length(c) % 3).cast("string")
