@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noveltide.llm.common import prepare, table
+from noveltide.llm.common import barrier, fresh, prepare, table
 from noveltide.session import materialize
 
 SPACE = " \t\n\v\f\r"
@@ -77,15 +77,18 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id
     keyed = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("th"))
     placed = keyed.mapInArrow(place, f"id {kind}, th long, pos int, h1 long, h2 long")
     hits = placed.join(common, ["h1", "h2"], "left_semi")
-    dropped = hits.groupBy("id", "th").agg(F.collect_set("pos").alias("__drop"))
-    dropped = materialize(dropped.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__drop"), "dropped-lines")
-
-    text, drop = F.col(text_col), F.col("__drop")
-    joined = docs.join(dropped.hint("merge"), docs[id_col].eqNullSafe(dropped["__id"]) & (F.xxhash64(docs[text_col]) == dropped["__th"]), "left")
-    kept = F.when(drop.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(drop, i)), "\n"))
+    id_, th, drop_, lines_ = fresh(docs, "id", "th", "drop", "lines")
+    dropped = hits.groupBy(F.col("id").alias(id_), F.col("th").alias(th)).agg(F.collect_set("pos").alias(drop_))
+    dropped = materialize(dropped, "dropped-lines")
+
+    text, drop, lines = F.col(text_col), F.col(drop_), F.col(lines_)
+    joined = docs.join(dropped.hint("merge"), docs[id_col].eqNullSafe(dropped[id_]) & (F.xxhash64(docs[text_col]) == dropped[th]), "left")
+    joined = barrier(joined, **{lines_: F.when(drop.isNotNull(), F.split(text, "\n", -1))})
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
+    kept = F.when(drop.isNull(), text).otherwise(F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n"))
     n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(1)).cast("long")
     out = joined.withColumns({"n_lines": n_lines, "n_dropped": F.coalesce(F.size(drop), F.lit(0)).cast("long"), text_col: kept})
-    return out.drop("__id", "__th", "__drop")
+    return out.drop(id_, th, drop_, lines_)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
