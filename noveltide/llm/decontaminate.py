@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noveltide.llm.common import barrier, table
+from noveltide.llm.common import barrier, fresh, table
 from noveltide.llm.words import is_one_of, shingle_hashes, with_words
 from noveltide.session import materialize
 
@@ -30,7 +30,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_co
 
     Up to `broadcast_pairs` windows the scan looks every document window's hash
     up in a set that all executors hold and compares the words of hits, all
-    within the row; with more windows, hashes of all windows are joined by a shuffle.
+    within the row; with more windows, hashes of all windows are joined.
     Texts are read once; what is found is written without them and then given its items.
     A null text has no words; items without words have no windows. Repeated rows have a row each.
     """
@@ -58,11 +58,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_co
     else:
         sizes = [r.n for r in grams.select("n").distinct().collect()]
         keyed = grams.select("n", "gram", F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
-        hits = None
+        # One scan for all lengths; Spark sends the windows to all executors or deals both sides, by their size.
+        placed = F.array().cast("array<struct<n:int,i:int,h:bigint>>")
         for n in sizes:
-            at = barrier(base, h=shingle_hashes(w, n)).select("id", "th", F.posexplode("h").alias("i", "h"))
-            at = at.join(keyed.where(F.col("n") == n), "h").select("id", "th", (F.col("i") + 1).alias("i"), "n", "gram")
-            hits = at if hits is None else hits.unionByName(at)
+            base = barrier(base, **{f"h{n}": shingle_hashes(w, n)})
+            placed = F.concat(placed, _at(F.col(f"h{n}"), n))
+        hits = base.select("id", "th", F.inline(placed)).join(keyed, ["n", "h"]).select("id", "th", "i", "n", "gram")
         hits = hits.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("i", "n", "gram"))).alias("at"))
         hits = hits.select(F.col("id").alias("hid"), F.col("th").alias("hth"), "at").hint("merge")
         base = base.join(hits, base["id"].eqNullSafe(hits["hid"]) & (base["th"] == hits["hth"]), "left")
@@ -79,6 +80,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_co
     return out.select("id", "th", "n_words", "covered", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def _at(h: Column, n: int) -> Column:
+    """(n, position, hash) of all windows of n words."""
+    return F.transform(h, lambda x, i: F.struct(F.lit(n).alias("n"), (i + 1).alias("i"), x.alias("h")))
+
+
 def _occurrences(w: Column, h: Column, n: int, keys: list[int], texts: list[str]) -> Column:
     """(position, n) of the windows whose hash and then words are among the given ones."""
     at = F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: is_one_of(F.get(h, i - 1), keys) & is_one_of(F.array_join(F.slice(w, i, n), " "), texts))
@@ -93,23 +99,25 @@ def is_contaminated() -> Column:
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
-    """`docs` without contaminated rows; clean rows stay as they are, null texts among them."""
+    """`docs` without contaminated rows; clean rows stay as they are, null and empty texts among them. Rows that repeat are each judged alike."""
     found = find_hits(docs, benchmark, id_col=id_col, text_col=text_col, **columns).where(is_contaminated())
-    found = materialize(found.select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct(), "contaminated").hint("merge")
-    return docs.join(found, docs[id_col].eqNullSafe(found["__id"]) & (F.xxhash64(docs[text_col]) == found["__th"]), "left_anti")
+    id_, th = fresh(docs, "id", "th")
+    found = materialize(found.select(F.col("id").alias(id_), F.col("th").alias(th)).distinct(), "contaminated").hint("merge")
+    return docs.join(found, docs[id_col].eqNullSafe(found[id_]) & (F.xxhash64(docs[text_col]) == found[th]), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
-    """`docs` with hit words, and the gaps before them, cut from the texts."""
+    """`docs` with hit words, and the gaps before them, cut from the texts; null texts stay null, other columns as they are."""
     found = find_hits(docs, benchmark, id_col=id_col, text_col=text_col, **columns).where(F.size("covered") > 0)
-    found = found.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("covered").alias("__covered")).distinct().hint("merge")
-    joined = docs.join(found, docs[id_col].eqNullSafe(found["__id"]) & (F.xxhash64(docs[text_col]) == found["__th"]), "left")
+    id_, th, covered = fresh(docs, "id", "th", "covered")
+    found = found.select(F.col("id").alias(id_), F.col("th").alias(th), F.col("covered").alias(covered)).distinct().hint("merge")
+    joined = docs.join(found, docs[id_col].eqNullSafe(found[id_]) & (F.xxhash64(docs[text_col]) == found[th]), "left")
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     parts = F.regexp_extract_all(F.col(text_col), F.lit(f"({gap}*{word}|{gap}+$)"), F.lit(1))
-    kept = F.filter(parts, lambda _, i: ~F.array_contains("__covered", i + 1))
-    text = F.when(F.col("__covered").isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
-    return joined.withColumn(text_col, text).drop("__id", "__th", "__covered")
+    kept = F.filter(parts, lambda _, i: ~F.array_contains(covered, i + 1))
+    text = F.when(F.col(covered).isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
+    return joined.withColumn(text_col, text).drop(id_, th, covered)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
