@@ -3,58 +3,101 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noveltide.llm import suffix_kernels as kernels
-from noveltide.llm.common import prepare, table
-from noveltide.session import free_shuffles, materialize
+from noveltide.llm.common import fresh, prepare, table
+from noveltide.session import discard, free_shuffles, materialize
 
 #: Bytes of distinct strings that are transformed and merged at a time.
 BATCH_BYTES = 4 << 20
 #: Distinct strings that a task remembers having sent.
 SENT = 300_000
-#: Anchors that occur this often are hot: their strings are cut so that a key holds HOT_WINDOWS windows each.
-HOT = 20_000
+#: Anchors with this many different strings are hot: these are cut so that a key holds HOT_WINDOWS windows and one core each.
+HOT = 2000
 HOT_WINDOWS = 8
+#: Cores with HOT different strings are hot too; their windows have keys of their own. Of either kind those count
+#: that make more than one in MOST_HOT of all strings of hot keys, and so at most MOST_HOT.
+MOST_HOT = 10_000
+
+
+class Hot(NamedTuple):
+    """Hot anchors and hot cores; MOST_HOT of each at most."""
+
+    anchors: set[int] = frozenset()
+    cores: set[int] = frozenset()
 
 
 def _texts(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x or b"", "u1") for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _pieces(start: int, count: int, off: int, hot: bool) -> list[tuple[int, int, int, int]]:
-    """A run as (key suffix, start, windows, anchor offset); a hot one is cut where the anchor's distance passes a multiple of HOT_WINDOWS."""
-    if not hot:
-        return [(-1, start, count, off)]
-    out, at = [], 0
+def _pieces(text: bytes, ah: int, start: int, count: int, off: int, cores: set[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """A hot run as (key suffix, key hash, start, windows, anchor offset).
+
+    It is cut where the anchor's distance passes a multiple of HOT_WINDOWS. The bytes that all windows
+    of such a piece would share, whether the run has them all or not, are its core, and part its key. Pieces of hot cores are cut
+    to single windows, whose bytes part their keys. Each cut depends on a window's own bytes, so equal windows meet.
+    """
+    at = 0
     while at < count:
         distance = off - at
         n = min(count - at, distance % HOT_WINDOWS + 1)
-        out.append((distance // HOT_WINDOWS, start + at, n, distance))
+        low = distance - distance % HOT_WINDOWS
+        anchor = start + off
+        core = xxhash.xxh3_64_intdigest(text[anchor - low : anchor - low - HOT_WINDOWS + 1 + kernels.SPAN], seed=(ah ^ low) & (2**64 - 1)) - 2**63
+        if core in cores:
+            for k in range(at, at + n):
+                window = text[start + k : start + k + kernels.SPAN]
+                yield kernels.SPAN + off - k, xxhash.xxh3_64_intdigest(window) - 2**63, start + k, 1, off - k
+        else:
+            yield low // HOT_WINDOWS, core, start + at, n, distance
         at += n
-    return out
 
 
-def _contents(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, int, bytes, bytes]]:
-    """For each piece of each row: row number, anchor hash, key suffix, start, anchor offset, digest, bytes."""
+def _contents(batch: pa.RecordBatch, hot: Hot) -> Iterator[tuple[int, int, int, int, int, int, bytes, bytes]]:
+    """For each piece of each row: row number, anchor hash, key suffix, key hash, start, anchor offset, digest, bytes."""
     texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
     for row, (text, runs) in enumerate(zip(texts, batch.column("runs").to_pylist(), strict=True)):
         for r in runs:
-            for suffix, start, count, off in _pieces(r["start"], r["count"], r["off"], r["hot"]):
-                content = text[start : start + count + kernels.SPAN - 1]
-                yield row, r["ah"], suffix, start, off, xxhash.xxh3_128_digest(content), content
+            ah, start, count, off = r["ah"], r["start"], r["count"], r["off"]
+            pieces = _pieces(text, ah, start, count, off, hot.cores) if ah in hot.anchors else ((-1, 0, start, count, off),)
+            for suffix, sub, s, n, o in pieces:
+                content = text[s : s + n + kernels.SPAN - 1]
+                yield row, ah, suffix, sub, s, o, xxhash.xxh3_128_digest(content), content
 
 
-def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(is_core, key, string): the different strings of frequent anchors and of their cores, as hashes, each once a batch."""
     for batch in batches:
-        hashes = [kernels.runs(t)[3] for t in _texts(batch.column(0))]
-        ah, n = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, "u8"), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ah.view("i8")), pa.array(n.astype("i8"))], names=["ah", "n"])
+        texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        found: set[tuple[bool, int, int]] = set()
+        for text, runs in zip(texts, batch.column("runs").to_pylist(), strict=True):
+            for r in runs:
+                if r["often"]:
+                    ah, start, count, off = r["ah"], r["start"], r["count"], r["off"]
+                    whole = (False, ah, xxhash.xxh3_64_intdigest(text[start : start + count + kernels.SPAN - 1]) - 2**63)
+                    if whole not in found:
+                        found.add(whole)
+                        found.update((True, core, xxhash.xxh3_64_intdigest(text[s : s + n + kernels.SPAN - 1]) - 2**63) for _, core, s, n, _ in _pieces(text, ah, start, count, off, set()))
+        columns = list(zip(*found, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.bool_()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["is_core", "key", "string"])
+
+
+def _hot(work: DataFrame) -> Hot:
+    counted = work.where(F.exists("runs", lambda r: r["often"])).select("text", "runs").mapInArrow(_count_hot, "is_core boolean, key long, string long")
+    counted = materialize(counted.distinct().groupBy("is_core", "key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT), "hot-keys")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    keys = counted.where(F.col("n") > total // MOST_HOT).collect()
+    return Hot({r.key for r in keys if not r.is_core}, {r.key for r in keys if r.is_core})
 
 
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,21 +111,24 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _send_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sent: set[bytes] = set()
-    for batch in batches:
-        rows: dict[bytes, list] = {}
-        for _, ah, suffix, _, off, digest, content in _contents(batch):
-            if digest in rows:
-                rows[digest][5] += 1
-            else:
-                rows[digest] = [ah, suffix, digest, off, None if digest in sent else content, 1]
-        if len(sent) > SENT:
-            sent.clear()
-        sent.update(rows)
-        if rows:
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows.values(), strict=True), kinds, strict=True)], names=["ah", "suffix", "digest", "off", "content", "n"])
+def _send_strings(hot: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
+        for batch in batches:
+            rows: dict[tuple, list] = {}
+            for _, ah, suffix, sub, _, off, digest, content in _contents(batch, hot.value):
+                if digest in rows:
+                    rows[digest][6] += 1
+                else:
+                    rows[digest] = [ah, suffix, sub, digest, off, None if digest in sent else content, 1]
+            if len(sent) > SENT:
+                sent.clear()
+            sent.update(rows)
+            if rows:
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows.values(), strict=True), kinds, strict=True)], names=["ah", "suffix", "sub", "digest", "off", "content", "n"])
+
+    return run
 
 
 def _intervals(marks: np.ndarray) -> list[dict[str, int]]:
@@ -106,10 +152,10 @@ def _merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     strings: dict[bytes, list] = {}
     size, last = 0, None
     for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in range(6)]
-        for ah, suffix, digest, off, content, n in zip(*columns, strict=True):
-            if (ah, suffix) != last:
-                last = (ah, suffix)
+        columns = [batch.column(k).to_pylist() for k in range(7)]
+        for ah, suffix, sub, digest, off, content, n in zip(*columns, strict=True):
+            if (ah, suffix, sub) != last:
+                last = (ah, suffix, sub)
                 if size > BATCH_BYTES:
                     yield from solve(strings)
                     strings, size = {}, 0
@@ -122,13 +168,38 @@ def _merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from solve(strings)
 
 
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(row, digest, start) for row, _, _, start, _, digest, _ in _contents(batch)]
-        if rows:
-            row, digest, start = zip(*rows, strict=True)
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("th").take(take), pa.array(digest, pa.binary()), pa.array(start, pa.int64())], names=["id", "th", "digest", "start"])
+def _place(hot: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(row, digest, start) for row, _, _, _, start, _, digest, _ in _contents(batch, hot.value)]
+            if rows:
+                row, digest, start = zip(*rows, strict=True)
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("th").take(take), pa.array(digest, pa.binary()), pa.array(start, pa.int64())], names=["id", "th", "digest", "start"])
+
+    return run
+
+
+def _joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Each row's intervals (starts of strings, and intervals in them), those that overlap or touch joined, in order."""
+    kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+    for lists in batches:
+        flat = lists.flatten()
+        inner = flat.field(1)
+        many = np.diff(inner.offsets.to_numpy())
+        shift = np.repeat(flat.field(0).to_numpy(), many)
+        s, e = (inner.flatten().field(k).to_numpy() + shift for k in (0, 1))
+        edge = np.r_[0, np.cumsum(many)][lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        out = []
+        for a, b in pairwise(edge.tolist()):
+            order = np.argsort(s[a:b], kind="stable")
+            start, end = s[a:b][order], np.maximum.accumulate(e[a:b][order])
+            new = np.flatnonzero(np.r_[True, start[1:] > end[:-1]])
+            out.append([{"s": x, "e": y} for x, y in zip(start[new].tolist(), end[np.r_[new[1:] - 1, b - a - 1]].tolist(), strict=True)])
+        yield pa.array(out, kind)
+
+
+_joined.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,41 +213,36 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     2. Equal runs count as one string with a weight. Strings are dealt by anchor,
        so equal windows meet in one task, which transforms shards of strings,
        merges the transforms and marks windows of classes of weight two or more (suffix_kernels).
-       Strings of hot anchors are cut finer, which deals them to more tasks.
+       Strings of hot anchors are cut finer and dealt by the bytes that their windows share, those of hot
+       bytes by whole windows, so no task gets all contexts of a common passage.
     3. Marks go back to all places of their string.
     """
     spark = docs.sparkSession
     prepare(spark)
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("text"))
-    anchors = base.select("text").mapInArrow(_count_anchors, "ah long, n long").groupBy("ah").agg(F.sum("n").alias("n")).where("n > 1")
-    anchors = materialize(anchors.select("ah", (F.col("n") >= HOT).alias("hot")), "anchors")
-    runs = base.mapInArrow(_find_runs, f"id {kind}, th long, ah long, start long, count int, off int")
-    runs = runs.join(anchors.hint("merge"), "ah")
-    runs = runs.groupBy("id", "th").agg(F.collect_set(F.struct("start", "count", "off", "ah", "hot")).alias("runs"))
-    runs = runs.select(F.col("id").alias("rid"), F.col("th").alias("rth"), "runs")
+    every = materialize(base.mapInArrow(_find_runs, f"id {kind}, th long, ah long, start long, count int, off int"), "runs")
+    anchors = materialize(every.groupBy("ah").agg(F.count("*").alias("n")).where("n > 1").select("ah", (F.col("n") >= HOT).alias("often")), "anchors")
+    runs = every.join(anchors.hint("merge"), "ah")
+    runs = runs.groupBy(F.col("id").alias("rid"), F.col("th").alias("rth")).agg(F.collect_set(F.struct("start", "count", "off", "ah", "often")).alias("runs"))
+    runs = materialize(runs, "repeated-runs")
+    discard(every)
+    free_shuffles(spark)
     same = lambda a, b: a["id"].eqNullSafe(b["rid"]) & (a["th"] == b["rth"])
-    work = materialize(base.join(runs.hint("merge"), same(base, runs), "left_outer").where("runs is not null").drop("rid", "rth"), "candidates")
+    work = materialize(base.join(runs.hint("merge"), same(base, runs)).drop("rid", "rth"), "candidates")
+    discard(runs)
     free_shuffles(spark)
 
-    strings = work.select("text", "runs").mapInArrow(_send_strings, "ah long, suffix int, digest binary, off int, content binary, n long")
+    hot = spark.sparkContext.broadcast(_hot(work))
+    strings = work.select("text", "runs").mapInArrow(_send_strings(hot), "ah long, suffix int, sub long, digest binary, off int, content binary, n long")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = strings.repartition(parts, "ah", "suffix").sortWithinPartitions("ah", "suffix")
+    dealt = strings.repartition(parts, "ah", "suffix", "sub").sortWithinPartitions("ah", "suffix", "sub")
     marks = materialize(dealt.mapInArrow(_merge_shards, "digest binary, ivs array<struct<s:int,e:int>>"), "marks")
     free_shuffles(spark)
 
-    placed = work.select("id", "th", "text", "runs").mapInArrow(_place, f"id {kind}, th long, digest binary, start long")
-    found = placed.join(marks.hint("merge"), "digest").select("id", "th", F.explode("ivs").alias("iv"), "start")
-    found = found.groupBy("id", "th").agg(F.collect_set(F.struct((F.col("start") + F.col("iv.s")).alias("s"), (F.col("start") + F.col("iv.e")).alias("e"))).alias("all"))
-    # Sorted by start, a span begins where nothing before it reaches; ends follow from the next such place.
-    joined = F.aggregate(
-        F.array_sort("all"),
-        F.array().cast("array<struct<s:bigint,e:bigint>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
+    placed = work.select("id", "th", "text", "runs").mapInArrow(_place(hot), f"id {kind}, th long, digest binary, start long")
+    found = placed.join(marks.hint("merge"), "digest").groupBy("id", "th").agg(F.collect_set(F.struct("start", "ivs")).alias("all"))
+    joined = F.arrow_udf(_joined, "array<struct<s:bigint,e:bigint>>")(F.col("all"))
     return materialize(found.select("id", "th", joined.alias("spans")), "spans")
 
 
@@ -187,7 +253,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     them. A null text is empty. Columns named spans or kept are replaced; kept
     may break a character, as strings are judged by bytes.
     """
-    spans = repeated_spans(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
+    id_, th, spans_ = fresh(docs, "id", "th", "spans")
+    spans = repeated_spans(docs, id_col, text_col).select(F.col("id").alias(id_), F.col("th").alias(th), F.col("spans").alias(spans_))
     free_shuffles(docs.sparkSession)
 
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -200,8 +267,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     cut.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    joined = docs.join(spans.hint("merge"), docs[id_col].eqNullSafe(spans["__id"]) & (F.xxhash64(docs[text_col]) == spans["__th"]), "left")
-    joined = joined.withColumn("spans", F.coalesce("__spans", F.array().cast("array<struct<s:bigint,e:bigint>>"))).drop("__id", "__th", "__spans")
+    joined = docs.join(spans.hint("merge"), docs[id_col].eqNullSafe(spans[id_]) & (F.xxhash64(docs[text_col]) == spans[th]), "left")
+    joined = joined.withColumn("spans", F.coalesce(spans_, F.array().cast("array<struct<s:bigint,e:bigint>>"))).drop(id_, th, spans_)
     return joined.withColumn("kept", F.arrow_udf(cut, "binary")(raw, F.col("spans")))
 
 

@@ -9,8 +9,10 @@ SPAN = 200
 #: Anchors are hashes of this many bytes.
 GRAM = 32
 #: Bytes of a symbol of the transforms, and how many whole symbols lie in any string of SPAN bytes.
-SYMBOL = 8
+SYMBOL = 16
 DEPTH = SPAN // SYMBOL - 1
+#: Bytes of a window besides DEPTH whole symbols; some lie before them, the others after.
+REST = SPAN - SYMBOL * DEPTH
 _POS_BITS = 22
 CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -131,17 +133,52 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     return z, lcp
 
 
+def mixed(columns: list[np.ndarray]) -> np.ndarray:
+    """One 64-bit hash of several 64-bit columns."""
+    out = np.zeros(len(columns[0]), "u8")
+    for c in columns:
+        out = (out ^ c) * _MIX1
+        out ^= out >> np.uint64(29)
+        out *= _MIX2
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def classes(columns: list[np.ndarray]) -> np.ndarray:
+    """Numbers from 0 that are equal where all columns are.
+
+    Rows are sorted by a hash and neighbours compared in full; if rows that differ have
+    one hash, the columns themselves are sorted.
+    """
+    key = mixed(columns)
+    order = np.argsort(key)
+    differ = np.zeros(max(len(order) - 1, 0), bool)
+    for c in columns:
+        c = c[order]
+        differ |= c[1:] != c[:-1]
+    key = key[order]
+    if (differ & (key[1:] == key[:-1])).any():
+        order = np.lexsort(columns)
+        differ = np.zeros(len(order) - 1, bool)
+        for c in columns:
+            c = c[order]
+            differ |= c[1:] != c[:-1]
+    out = np.empty(len(order), "i8")
+    out[order] = np.cumsum(np.r_[0, differ]) if len(order) else 0
+    return out
+
+
 def repeated_windows(strings: list[bytes], anchors: np.ndarray, weights: np.ndarray, shard_symbols: int = 1 << 15) -> list[np.ndarray]:
     """For each string, which of its windows of SPAN bytes occur twice or more in all, a string counting `weights` times.
 
     Strings are cut into symbols of SYMBOL bytes on a grid through their
     anchors, so equal windows have equal grids. Shards of strings are transformed and the
     transforms merged; rows that share DEPTH symbols form a class. A window is some class's
-    whole symbols with l bytes before and SYMBOL - l after them, and these, eight bytes, are compared within the class.
+    whole symbols with l bytes before and REST - l after them, and these are compared within the class.
     """
     lengths = np.fromiter(map(len, strings), "i8", len(strings))
     pad = b"\xff" * SYMBOL
-    text = np.frombuffer(pad + b"".join(s + pad for s in strings), "u1")
+    text = np.frombuffer(pad + b"".join(s + pad for s in strings) + pad, "u1")
     base = np.cumsum(lengths + SYMBOL) - lengths
     head = anchors % SYMBOL
     blocks = (lengths - head) // SYMBOL
@@ -151,12 +188,16 @@ def repeated_windows(strings: list[bytes], anchors: np.ndarray, weights: np.ndar
     within = np.arange(total) - first[owner]
     at = base[owner] + head[owner] + SYMBOL * within
     is_end = within == blocks[owner]
-    words = np.lib.stride_tricks.sliding_window_view(text, SYMBOL)
-    values = np.ascontiguousarray(words[at[~is_end]]).view("u8").ravel()
-    _, ranks = np.unique(values, return_inverse=True)
+    eights = np.lib.stride_tricks.sliding_window_view(text, 8)
+
+    def word(place: np.ndarray) -> np.ndarray:
+        """The eight bytes from each place on, as a little-endian number."""
+        return np.ascontiguousarray(eights[np.minimum(place, len(eights) - 1)]).view("u8").ravel()
+
+    inner = at[~is_end]
     symbols = np.empty(total, "i8")
     symbols[is_end] = np.arange(len(strings))
-    symbols[~is_end] = ranks + len(strings)
+    symbols[~is_end] = classes([word(inner + k) for k in range(0, SYMBOL, 8)]) + len(strings)
 
     cuts, size = [0], 0
     for i, b in enumerate((blocks + 1).tolist()):
@@ -183,30 +224,28 @@ def repeated_windows(strings: list[bytes], anchors: np.ndarray, weights: np.ndar
     mass = np.bincount(klass, weights[owner[row]])
     several = mass[klass] >= 2
     row, klass = row[several], klass[several]
-    marks = [np.zeros(max(0, n - SPAN + 1), bool) for n in lengths.tolist()]
-    if not len(row):
-        return marks
-    place = np.cumsum(np.maximum(lengths - SPAN + 1, 0)) - np.maximum(lengths - SPAN + 1, 0)
-    flat = np.zeros(int(np.maximum(lengths - SPAN + 1, 0).sum()), bool)
-    own = owner[row]
-    f = at[row] - base[own]
-    left = np.ascontiguousarray(words[at[row] - SYMBOL]).view("u8").ravel()
-    after = at[row] + SYMBOL * DEPTH
-    right = np.ascontiguousarray(words[np.minimum(after, len(words) - 1)]).view("u8").ravel()
-    for before in range(SYMBOL):
-        p = f - before
-        ok = (p >= 0) & (p + SPAN <= lengths[own])
-        if not ok.any():
-            continue
-        # Little endian: the last `before` bytes of `left` are its high ones.
-        high = np.uint64((2**64 - 1) ^ ((1 << (8 * (SYMBOL - before))) - 1)) if before else np.uint64(0)
-        key = (left[ok] & high) | (right[ok] & ~high)
-        k = klass[ok]
-        order = np.argsort(key, kind="stable")
-        order = order[stable_argsort(k[order])]
-        key, k, who, start = key[order], k[order], own[ok][order], p[ok][order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (k[1:] != k[:-1])]
-        ids = np.cumsum(new) - 1
-        hit = np.bincount(ids, weights[who])[ids] >= 2
-        flat[place[who[hit]] + start[hit]] = True
-    return [flat[a : a + len(m)] for a, m in zip(place.tolist(), marks, strict=True)]
+    room = np.maximum(lengths - SPAN + 1, 0)
+    place = np.cumsum(room) - room
+    flat = np.zeros(int(room.sum()), bool)
+    if len(row):
+        own = owner[row]
+        f = at[row] - base[own]
+        before = [word(at[row] - k) for k in range(SYMBOL, 0, -8)]
+        after = [word(at[row] + SYMBOL * DEPTH + k) for k in range(0, REST, 8)]
+        for l in range(SYMBOL):
+            p = f - l
+            ok = np.flatnonzero((p >= 0) & (p + SPAN <= lengths[own]))
+            if not len(ok):
+                continue
+            # Little endian: a word's last bytes are its high ones.
+            parts = [klass[ok].view("u8")]
+            for k, w in enumerate(before):
+                if (n := min(8, l - (SYMBOL - 8 * (k + 1)))) > 0:
+                    parts.append(w[ok] & np.uint64((2**64 - 1) ^ ((1 << (8 * (8 - n))) - 1)))
+            for k, w in enumerate(after):
+                if (n := min(8, REST - l - 8 * k)) > 0:
+                    parts.append(w[ok] & np.uint64((1 << (8 * n)) - 1))
+            same = classes(parts)
+            hit = ok[np.bincount(same, weights[own[ok]])[same] >= 2]
+            flat[place[own[hit]] + p[hit]] = True
+    return [flat[a : a + n] for a, n in zip(place.tolist(), room.tolist(), strict=True)]

@@ -78,6 +78,18 @@ def test_merge_is_the_transform_of_all_suffixes():
         assert lcp[j] == same
 
 
+def test_classes_of_rows_whose_hashes_are_equal(monkeypatch):
+    rng = np.random.default_rng(4)
+    columns = [rng.integers(0, 4, 500).astype("u8") for _ in range(3)]
+    want = np.unique(np.stack(columns), axis=1, return_inverse=True)[1]
+    for weak in (False, True):
+        if weak:
+            monkeypatch.setattr(kernels, "mixed", lambda columns: columns[0] % np.uint64(2))
+        got = kernels.classes(columns)
+        assert len(set(zip(got.tolist(), want.tolist(), strict=True))) == len(set(want.tolist())) == got.max() + 1
+    assert len(kernels.classes([np.zeros(0, "u8")])) == 0
+
+
 def test_runs_do_not_depend_on_chunks(monkeypatch):
     rng = random.Random(2)
     text = np.frombuffer(b"".join(corpus(rng)) * 3, "u1")
@@ -86,9 +98,10 @@ def test_runs_do_not_depend_on_chunks(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, kernels.runs(text), strict=True))
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_operator_against_brute_force(make, monkeypatch, hot):
+@pytest.mark.parametrize("hot,most", [(2000, 10_000), (2, 3), (2, 10_000), (1, 10_000)])
+def test_operator_against_brute_force(make, monkeypatch, hot, most):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "MOST_HOT", most)
     rng = random.Random(3)
     texts = [t.decode() for t in corpus(rng)]
     twice = "é" + "".join(rng.choice("xyz ") for _ in range(240))
@@ -104,5 +117,30 @@ def test_operator_against_brute_force(make, monkeypatch, hot):
     assert got == sorted(want, key=repr)
 
 
+def test_contexts_of_a_common_passage_part_their_keys(make, monkeypatch):
+    rng = random.Random(6)
+    word = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    passage = word(260)
+    texts = [word(150) + passage + word(150) for _ in range(60)]
+    count = Counter()
+    for t in texts:
+        start, windows, off, ah = kernels.runs(np.frombuffer(t, "u1"))
+        for s, n, o, h in zip(start.tolist(), windows.tolist(), off.tolist(), ah.view("i8").tolist(), strict=True):
+            cores = [c for _, c, _, _, _ in suffix_dedup._pieces(t, h, s, n, o, set())]
+            keys = {(x[0], x[1], t[x[2] : x[2] + x[3] + SPAN - 1]) for x in suffix_dedup._pieces(t, h, s, n, o, set(cores))}
+            count.update((h, *k[:2]) for k in keys)
+            assert sum(x[3] for x in suffix_dedup._pieces(t, h, s, n, o, set())) == n
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    hot = suffix_dedup._hot(make([t.decode() for t in texts]).select("text").rdd.map(lambda r: (r.text, [{"start": int(s), "count": int(n), "off": int(o), "ah": int(h), "often": True} for s, n, o, h in zip(*[x.tolist() for x in kernels.runs(np.frombuffer(r.text.encode(), "u1"))[:3]], kernels.runs(np.frombuffer(r.text.encode(), "u1"))[3].view("i8").tolist(), strict=True)])).toDF("text string, runs array<struct<start:long,count:int,off:int,ah:long,often:boolean>>"))
+    assert 0 < len(hot.anchors) < 10 and 0 < len(hot.cores) < 40
+    strings = Counter()
+    for t in texts:
+        for s, n, o, h in zip(*[x.tolist() for x in kernels.runs(np.frombuffer(t, "u1"))[:3]], kernels.runs(np.frombuffer(t, "u1"))[3].view("i8").tolist(), strict=True):
+            if h in hot.anchors:
+                strings.update({(h, x[0], x[1], t[x[2] : x[2] + x[3] + SPAN - 1]): 1 for x in suffix_dedup._pieces(t, h, s, n, o, hot.cores)}.keys())
+    keys = Counter(k[:3] for k in strings)
+    assert max(keys.values()) < 20
+
+
 def test_empty_table(make):
     assert suffix_dedup.remove_repeats(make(["a"]).limit(0)).count() == 0
