@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noveltide.llm.common import by_bytes, prepare, table
+from noveltide.llm.common import by_bytes, fresh, prepare, table
 from noveltide.llm.components import connected_components
 from noveltide.llm.shingle_sets import shingles
 from noveltide.session import free_shuffles, materialize
@@ -22,14 +22,14 @@ SLICE = 1 << 12
 CELLS = 32
 #: Longer index lists aren't filtered in one task; all their sets go on.
 LONG_LIST = 20_000
-#: Sets of a group that one task compares; larger groups are cut into blocks of half as many, and tasks take pairs of blocks.
-GROUP = 4096
+#: Sets of a group that one task compares with each other; larger groups are cut into blocks of half as many.
+GROUP = 1024
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted shingle hashes) of each text."""
     texts = [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-    for i, j in by_bytes(texts, 1 << 21):
+    for i, j in by_bytes([len(t) for t in texts], 1 << 21):
         row, found = shingles(texts[i:j], n)
         bounds = np.searchsorted(row, np.arange(j - i + 1))
         for k in range(j - i):
@@ -72,139 +72,247 @@ def _counts(docs: DataFrame, n: int) -> np.ndarray:
     return table.ravel()
 
 
-def _filter_lists(percent: int):
-    """Of each index list, the sets that some other set of the list may link with, under the list's smallest such set.
+def _fixed(column: pa.Array, kind: str) -> np.ndarray:
+    """Binary values of one length, without nulls, as an array of that length in items of `kind`."""
+    column = column.cast(pa.binary())
+    offsets = np.frombuffer(column.buffers()[1], "<i4")[column.offset : column.offset + len(column) + 1]
+    width = int(offsets[1] - offsets[0])
+    return np.frombuffer(column.buffers()[2], kind, count=len(column) * width // np.dtype(kind).itemsize, offset=int(offsets[0])).reshape(len(column), -1)
 
-    A list is sorted by size. Sets of too different sizes, pairs whose positions
-    in the two sets leave too few shingles to come, and pairs whose sketches differ
-    by more than linked sets can, are skipped.
-    """
 
-    def solve(sid: list[bytes], size: np.ndarray, pos: np.ndarray, sketch: np.ndarray) -> list[tuple[bytes, bytes]]:
-        order = np.argsort(size, kind="stable")
-        size, pos, sketch = size[order], pos[order], sketch[order]
-        reach = np.searchsorted(size, size * 100 // percent, side="right")
-        able = np.zeros(len(size), bool)
-        for i in range(len(size) - 1):
-            j = slice(i + 1, reach[i])
-            most = 1 + np.minimum(size[i] - pos[i] - 1, size[j] - pos[j] - 1)
-            least = _least_overlap(int(size[i]), size[j], percent)
-            ok = most >= least
-            if len(near := np.flatnonzero(ok)):
-                ok[near] = np.abs(sketch[j][near] - sketch[i]).sum(1) <= size[i] + size[j][near] - 2 * least[near]
-            if ok.any():
-                able[i] = True
-                able[j] |= ok
-        kept = [sid[k] for k in order[able]]
-        return [(min(kept), s) for s in kept] if kept else []
+def _pairs(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j) with first[i] <= j < end[i]."""
+    n = np.maximum(end - first, 0)
+    i = np.repeat(np.arange(len(first)), n)
+    return i, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members: dict[bytes, tuple[int, int, bytes]] = {}
-        last, out = None, set()
 
-        def flush() -> None:
-            if len(members) > 1:
-                size, pos, raw = zip(*members.values(), strict=True)
-                sketch = np.frombuffer(b"".join(raw), "<u2").reshape(-1, CELLS).astype("i4")
-                out.update(solve(list(members), np.array(size), np.array(pos), sketch))
-            members.clear()
+def linkable(lists: np.ndarray, size: np.ndarray, pos: np.ndarray, sketch: np.ndarray, percent: int, tally: dict[str, int] | None = None) -> np.ndarray:
+    """Of the entries of index lists, those that some other entry of their list may link with.
 
-        def send() -> Iterator[pa.RecordBatch]:
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["leader", "sid"])
-                out.clear()
+    Entries of a list that have one size and one position are a block. Two blocks
+    whose sizes differ too much, or whose positions leave too few
+    shingles to come, are skipped with all their entries; in the blocks that are left, pairs whose sketches differ by more
+    than linked sets can are skipped. `tally` counts pairs of entries, pairs left by the blocks, and pairs left by the sketches.
+    """
+    able = np.zeros(len(lists), bool)
+    if not len(lists):
+        return able
+    order = np.lexsort((pos, size, lists))
+    l, s, p = lists[order], size[order].astype("i8"), pos[order].astype("i8")
+    new = np.flatnonzero(np.r_[True, (l[1:] != l[:-1]) | (s[1:] != s[:-1]) | (p[1:] != p[:-1])])
+    edge = np.r_[new, len(l)]
+    bl, bs, bp, many = l[new], s[new], p[new], np.diff(edge)
+    # Blocks ascend by list and size, so a block's partners follow it up to the largest size that can link.
+    rank = np.unique(bl, return_inverse=True)[1].astype("i8")
+    top = int(bs.max()) * 100 // percent + 2
+    reach = np.searchsorted(rank * top + bs, rank * top + np.minimum(bs * 100 // percent, top - 1), side="right")
+    pairs_before = np.cumsum(reach - np.arange(len(bs)))
+    a = 0
+    while a < len(bs):
+        # As many blocks as have a million partners together, one at least.
+        z = max(a + 1, int(np.searchsorted(pairs_before, (pairs_before[a - 1] if a else 0) + 1_000_000, side="right")))
+        i, j = _pairs(np.arange(a, min(z, len(bs))), reach[a:z])
+        i, a = i + a, z
+        most = 1 + np.minimum(bs[i] - bp[i] - 1, bs[j] - bp[j] - 1)
+        near = (most >= _least_overlap(bs[i], bs[j], percent)) & ((i != j) | (many[i] > 1))
+        i, j = i[near], j[near]
+        # Entries of the first block, a bounded number of pairs at a time.
+        x, own = _pairs(edge[i], edge[i + 1])
+        step = max(1, 400_000 // max(1, int(many[j].max(initial=1))))
+        for c in range(0, len(x), step):
+            at, left = x[c : c + step], own[c : c + step]
+            k, right = _pairs(edge[j[at]], edge[j[at] + 1])
+            left = left[k]
+            once = left < right
+            left, right = left[once], right[once]
+            least = _least_overlap(s[left], s[right], percent)
+            ok = np.abs(sketch[order[left]].astype("i4") - sketch[order[right]].astype("i4")).sum(1) <= s[left] + s[right] - 2 * least
+            able[order[left[ok]]] = True
+            able[order[right[ok]]] = True
+            if tally is not None:
+                tally["blocks_left"] = tally.get("blocks_left", 0) + len(left)
+                tally["sketches_left"] = tally.get("sketches_left", 0) + int(ok.sum())
+    if tally is not None:
+        n = np.unique(lists, return_counts=True)[1]
+        tally["pairs"] = tally.get("pairs", 0) + int((n * (n - 1) // 2).sum())
+    return able
+
+
+def _filter_lists(percent: int, rows_at_once: int = 50_000):
+    """Rows (token, sid, size, pos, sketch) come sorted by token: of each list the entries that may link, under the smallest of them."""
+
+    def solve(batch: pa.Table) -> Iterator[pa.RecordBatch]:
+        batch = batch.combine_chunks()
+        token = batch["token"].to_numpy()
+        column = batch["sid"].chunk(0)
+        sid = _fixed(column, ">u8")
+        # One entry for each set of a list; tasks may have sent a set more than once.
+        order = np.lexsort((sid[:, 1], sid[:, 0], token))
+        t, d = token[order], sid[order]
+        order = order[np.r_[True, (t[1:] != t[:-1]) | (d[1:] != d[:-1]).any(1)]]
+        able = linkable(token[order], batch["size"].to_numpy()[order], batch["pos"].to_numpy()[order], _fixed(batch["sketch"].chunk(0), "<u2")[order], percent)
+        kept = order[able]
+        if not len(kept):
+            return
+        # Entries are in the order of their sets' names within a list, so a list's first is its leader.
+        t = token[kept]
+        new = np.r_[True, t[1:] != t[:-1]]
+        leader = np.repeat(kept[new], np.diff(np.r_[np.flatnonzero(new), len(kept)]))
+        pairs = np.unique(np.column_stack([sid[leader], sid[kept]]), axis=0).astype(">u8")
+        flat = pairs.tobytes()
+        both = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), 2 * len(pairs), [None, pa.py_buffer(flat)]).cast(pa.binary()).take(pa.array(np.arange(k, 2 * len(pairs), 2))) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays(both, names=["leader", "sid"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            for token, sid, size, pos, sketch in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if token != last:
-                    flush()
-                    last = token
-                members[sid] = (size, pos, sketch)
-            if len(out) > 50_000:
-                yield from send()
-        flush()
-        yield from send()
+            if not batch.num_rows:
+                continue
+            token = batch.column(0).to_numpy()
+            if size + len(token) >= rows_at_once:
+                # The last list may go on in the next batch.
+                others = np.flatnonzero(token != token[-1])
+                cut = int(others[-1]) + 1 if len(others) else 0
+                if cut or (held and held[-1].column(0)[-1].as_py() != token[-1]):
+                    yield from solve(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                    held, size, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            size += batch.num_rows
+        if held:
+            yield from solve(pa.Table.from_batches(held))
 
     return run
 
 
-def link_components(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> np.ndarray:
+def link_components(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None, tally: dict[str, int] | None = None) -> np.ndarray:
     """For each set the number of the first set in its component of links; `sides` restricts links to sets of unequal sides.
 
-    Overlaps come from the relation of the sets: shingles that all of them have
-    count once for all pairs, shingles of one set alone count for none, and the matrix
-    product runs over the others only, a block of rows at a time.
+    A set's answers are its overlaps with all others. The first set's come from the
+    index lists of its shingles. Any later set takes the answers of the most similar set that has some: an overlap differs from that
+    set's by no more than the shingles that only one of the two holds. Where this
+    decides every link that could join two components, the set needs no lists at
+    all; else its answers are that set's, less the lists of the shingles it lacks, plus the
+    lists of those it has besides. `tally` counts sets answered from lists, derived, and decided by bounds.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], "i8")
-    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    common = int((seen == n).sum())
-    wanted = (seen > 1) & (seen < n)
-    index = np.cumsum(wanted) - 1
-    row = np.repeat(np.arange(n), sizes)
-    keep = wanted[column]
-    row, column = row[keep], index[column[keep]]
-    width = int(wanted.sum())
-    overlap = np.full((n, n), common, "f4")
-    step = max(1, (8 << 20) // max(n, 1))
-    for a in range(0, width, step):
-        w = min(step, width - a)
-        m = np.zeros((n, w), "f4")
-        here = (column >= a) & (column < a + w)
-        m[row[here], column[here] - a] = 1
-        overlap += m @ m.T
-    union = sizes[:, None] + sizes[None, :] - overlap
-    linked = 100 * overlap >= percent * union
-    if sides is not None:
-        linked &= sides[:, None] != sides[None, :]
-    label = np.full(n, -1, "i8")
+    if n == 2:
+        mine = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([0, 0 if 100 * mine >= percent * (sizes.sum() - mine) and (sides is None or sides[0] != sides[1]) else 1])
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    edge = np.r_[0, np.cumsum(sizes)]
+    holder = np.repeat(np.arange(n, dtype="i4"), sizes)[np.argsort(column, kind="stable")]
+    lists = np.r_[0, np.cumsum(np.bincount(column))]
+    held = np.zeros(len(lists) - 1, bool)
+
+    def count(shingles: np.ndarray) -> np.ndarray:
+        _, at = _pairs(lists[shingles], lists[shingles + 1])
+        return np.bincount(holder[at], minlength=n).astype("i4")
+
+    def others(i: int) -> np.ndarray:
+        return np.ones(n, bool) if sides is None else sides != sides[i]
+
+    answers: dict[int, np.ndarray] = {}
+    answered = np.zeros(n, bool)
+    label = np.arange(n)
+    nearest, similar = np.full(n, -1), np.zeros(n)
+    done = {"listed": 0, "derived": 0, "bounded": 0}
     for i in range(n):
-        if label[i] < 0:
-            front = np.zeros(n, bool)
-            front[i] = True
-            while front.any():
-                label[front] = i
-                front = linked[front].any(0) & (label < 0)
+        own = column[edge[i] : edge[i + 1]]
+        r = int(nearest[i])
+        if r >= 0:
+            known = answers[r]
+            lacks, besides = int(sizes[r] - known[i]), int(sizes[i] - known[i])
+            most = np.minimum(known + besides, np.minimum(sizes, sizes[i]))
+            undecided = (100 * most >= percent * (sizes + sizes[i] - most)) & (label != label[i]) & ~answered & others(i)
+            if not undecided.any():
+                done["bounded"] += 1
+                continue
+        if r >= 0 and lacks + besides < sizes[i]:
+            base = column[edge[r] : edge[r + 1]]
+            held[own] = True
+            lost = base[~held[base]]
+            held[own] = False
+            held[base] = True
+            gained = own[~held[own]]
+            held[base] = False
+            mine = known - count(lost) + count(gained)
+            done["derived"] += 1
+        else:
+            mine = count(own)
+            done["listed"] += 1
+        answered[i] = True
+        union = sizes + sizes[i] - mine
+        linked = (100 * mine >= percent * union) & others(i)
+        linked[i] = True
+        if len(joined := np.unique(label[linked])) > 1:
+            label[np.isin(label, joined)] = joined[0]
+        share = mine / union
+        closer = share > np.maximum(similar, 0.5)
+        closer[: i + 1] = False
+        if closer.any():
+            answers[i] = mine
+            nearest[closer], similar[closer] = i, share[closer]
+        if len(answers) > 256:
+            answers = {k: v for k, v in answers.items() if k in set(nearest[i + 1 :].tolist())}
+    if tally is not None:
+        for k, v in done.items():
+            tally[k] = tally.get(k, 0) + v
     return label
 
 
-def _join_groups(percent: int):
-    """Links within groups: rows (leader, block pair, side, sid, hashes) come sorted by leader and block pair."""
+def _join_blocks(percent: int, across: bool):
+    """Links within blocks: rows (leader, block, side, sid, hashes) come sorted by leader and block.
+
+    Yields a block's spanning links (a, b). With `across`, only sets of unequal sides are compared; without it,
+    the sets of a cut group (side 1) that aren't in its leader's component are given too, as (leader, block, free).
+    """
+    names = ["a", "b", "leader", "block", "free"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, members = None, {}
-        a, b = [], []
+        out: list[list] = [[] for _ in names]
 
         def flush() -> None:
             if len(members) > 1:
                 ids = sorted(members)
                 sides = np.array([members[s][0] for s in ids])
-                label = link_components([members[s][1] for s in ids], percent, sides if len(set(sides.tolist())) > 1 else None)
+                label = link_components([members[s][1] for s in ids], percent, sides if across else None)
+                home = label[ids.index(last[0])] if not across and sides.any() else -1
                 for k, first in enumerate(label.tolist()):
                     if first != k:
-                        a.append(ids[first])
-                        b.append(ids[k])
+                        for c, v in zip(out, (ids[first], ids[k], None, None, None), strict=True):
+                            c.append(v)
+                    if home >= 0 and first != home:
+                        for c, v in zip(out, (None, None, *last, ids[k]), strict=True):
+                            c.append(v)
             members.clear()
 
+        def send() -> Iterator[pa.RecordBatch]:
+            kinds = [pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+                for c in out:
+                    c.clear()
+
         for batch in batches:
-            for leader, pair, side, sid, raw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if (leader, pair) != last:
+            for leader, block, side, sid, raw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if (leader, block) != last:
                     flush()
-                    last = (leader, pair)
+                    last = (leader, block)
                 members[sid] = (side, np.frombuffer(raw, "<u8"))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-                a, b = [], []
+            yield from send()
         flush()
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        yield from send()
 
     return run
 
 
 def _placed(*columns: list) -> pa.RecordBatch:
     kinds = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["leader", "pair", "side", "sid", "hashes"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["leader", "block", "side", "sid", "hashes"])
 
 
 def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,15 +320,17 @@ def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, id_col: st
 
     1. Texts with equal sets are one set from here on, named by a 128-bit digest.
     2. Every set's rarest shingles, as many as two linked sets must share one of,
-       make index lists; a list's sets that can't link by sizes, positions and sketches are skipped.
-    3. All sets of a list form a group under its smallest set, so any two sets
-       that can link meet in a group. A task gets a group's sets, each once, and derives
-       all overlaps from what the sets have in common. It returns each component's spanning links.
+       make index lists, in blocks of one size and position; blocks that can't link are skipped whole (`linkable`).
+    3. All sets left of a list form a group under its smallest set, so any two sets
+       that can link meet in a group. A task gets a group's sets, each once, and derives a set's
+       answers from those of the most similar one (`link_components`). It returns each component's spanning links.
+       Groups of over `GROUP` sets are cut into blocks that each get the leader too. Sets of different blocks that are
+       in the leader's component need no comparison; only the other ones are sent to all blocks.
     4. Labels spread over the links of all groups.
 
     th is xxhash64 of the text. component_id is the smallest id reachable; a text without words has no
     shingles and its own id. Each input row has a row; rows with null ids link
-    like others, but component_id counts ids that aren't null only.
+    like others, but component_id counts ids that aren't null only. Other columns of `docs` are ignored, whatever their names.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -255,71 +365,85 @@ def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, id_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view("i8")), pa.array(sids, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "sid", "size", "pos"])
 
     rows = materialize(base.mapInArrow(digests, f"id {kind}, th long, n_shingles long, sid binary, sketch binary"), "shingle-sets")
-    index = base.select("text").mapInArrow(entries, "token long, sid binary, size int, pos int")
+    index = materialize(base.select("text").mapInArrow(entries, "token long, sid binary, size int, pos int"), "index")
     lists = index.groupBy("token").agg(F.min("sid").alias("leader"), F.max("sid").alias("other"), F.count("*").alias("n")).where("leader <> other")
     lists = materialize(lists.select("token", "leader", "n"), "index-lists")
     free_shuffles(spark)
     postings = materialize(index.join(lists.hint("merge"), "token").select("token", "sid", "size", "pos", "leader", "n"), "postings")
     free_shuffles(spark)
-    named = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("id", "th")).alias("k"), F.min("sketch").alias("sketch"))
+    named = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("id", "th")).alias("k"), F.min("id").alias("least"), F.count("*").alias("copies"), F.min("sketch").alias("sketch"))
+    named = materialize(named, "named-sets")
     short = postings.where(F.col("n") <= LONG_LIST).select("token", "sid", "size", "pos").join(named.select("sid", "sketch").hint("merge"), "sid")
     short = short.select("token", "sid", "size", "pos", "sketch").repartition("token").sortWithinPartitions("token")
     members = short.mapInArrow(_filter_lists(percent), "leader binary, sid binary")
     members = members.unionByName(postings.where(F.col("n") > LONG_LIST).select("leader", "sid")).distinct()
     members = materialize(members, "members")
     # A group whose leader is in a group of a smaller leader joins that one, so that a set is placed less often.
-    over = members.groupBy("sid").agg(F.min("leader").alias("over")).where("over < sid").withColumnRenamed("sid", "under")
+    over = materialize(members.groupBy("sid").agg(F.min("leader").alias("over")).where("over < sid").withColumnRenamed("sid", "under"), "leaders")
     merged = members.join(over, members["leader"] == over["under"], "left")
     members = materialize(merged.select(F.coalesce("over", "leader").alias("leader"), "sid").distinct(), "members")
     free_shuffles(spark)
 
-    groups = members.groupBy("leader").agg(F.count("*").alias("n")).where("n > 1")
-    half = GROUP // 2
-    blocks = F.when(F.col("n") > GROUP, F.ceil(F.col("n") / half)).otherwise(1).cast("int")
-    placed = members.join(groups.withColumn("blocks", blocks), "leader")
-    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct((F.least(own, k) * F.col("blocks") + F.greatest(own, k)).alias("pair"), F.when(own == k, 0).otherwise(F.when(own < k, 1).otherwise(2)).alias("side")))
-    placed = placed.select("leader", "sid", F.inline(others)).groupBy("sid").agg(F.collect_list(F.struct("leader", "pair", "side")).alias("places"))
-    placed = materialize(placed.join(named.select("sid", F.col("k.id").alias("cid"), F.col("k.th").alias("cth")).hint("merge"), "sid").select("cid", "cth", "places"), "places").hint("merge")
-
     def send_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places = batch.column(1).to_pylist()
-            leaders, pairs, sides, sids, raws = [], [], [], [], []
+            rows: list[list] = [[], [], [], [], []]
             for k, s in _sets(batch.column(0), n):
                 sid, raw = xxhash.xxh3_128_digest(s), s.tobytes()
                 for p in places[k]:
-                    leaders.append(p["leader"])
-                    pairs.append(p["pair"])
-                    sides.append(p["side"])
-                    sids.append(sid)
-                    raws.append(raw)
-                if len(raws) > 2000:
-                    yield _placed(leaders, pairs, sides, sids, raws)
-                    leaders, pairs, sides, sids, raws = [], [], [], [], []
-            if raws:
-                yield _placed(leaders, pairs, sides, sids, raws)
-
-    texts = base.join(placed, base["id"].eqNullSafe(placed["cid"]) & (base["th"] == placed["cth"])).select("text", "places")
-    placed = texts.mapInArrow(send_sets, "leader binary, pair int, side int, sid binary, hashes binary")
-    links = placed.repartition("leader", "pair").sortWithinPartitions("leader", "pair").mapInArrow(_join_groups(percent), "a binary, b binary")
-    links = materialize(links, "links")
-    free_shuffles(spark)
+                    for c, v in zip(rows, (p["leader"], p["block"], p["side"], sid, raw), strict=True):
+                        c.append(v)
+                    if len(rows[0]) > 2000:
+                        yield _placed(*rows)
+                        rows = [[], [], [], [], []]
+            if rows[0]:
+                yield _placed(*rows)
+
+    def joined(places: DataFrame, across: bool) -> DataFrame:
+        """The output of `_join_blocks` for sets placed as (sid, leader, block, side)."""
+        packed = places.groupBy("sid").agg(F.collect_list(F.struct("leader", "block", "side")).alias("places"))
+        packed = packed.join(named.select("sid", F.col("k.id").alias("cid"), F.col("k.th").alias("cth")).hint("merge"), "sid").select("cid", "cth", "places")
+        packed = materialize(packed, "places").hint("merge")
+        texts = base.join(packed, base["id"].eqNullSafe(packed["cid"]) & (base["th"] == packed["cth"])).select("text", "places")
+        sent = texts.mapInArrow(send_sets, "leader binary, block int, side int, sid binary, hashes binary")
+        sent = sent.repartition("leader", "block").sortWithinPartitions("leader", "block")
+        out = materialize(sent.mapInArrow(_join_blocks(percent, across), "a binary, b binary, leader binary, block int, free binary"), "links")
+        free_shuffles(spark)
+        return out
+
+    groups = materialize(members.groupBy("leader").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    blocks = F.when(F.col("n") > GROUP, F.ceil(F.col("n") / (GROUP // 2))).otherwise(1).cast("int")
+    placed = materialize(members.join(groups.withColumn("blocks", blocks), "leader").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")), "placed")
+    everywhere = F.when(F.col("sid") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    found = joined(placed.select("sid", "leader", F.explode(everywhere).alias("block"), (F.col("blocks") > 1).cast("int").alias("side")), False)
+    links = found.where("a is not null").select("a", "b")
+    free = found.where("free is not null").select(F.col("leader").alias("fl"), F.col("block").alias("fb"), "free")
+    if free.limit(1).count():
+        cut = placed.where("blocks > 1")
+        sizes = cut.select("leader", "blocks").distinct()
+        wanted = free.join(sizes, F.col("fl") == F.col("leader")).select(F.col("free").alias("sid"), "leader", F.explode(F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array("fb"))).alias("block"), F.lit(0).alias("side"))
+        met = cut.join(wanted.select(F.col("leader").alias("wl"), F.col("block").alias("wb")).distinct(), (F.col("leader") == F.col("wl")) & (F.col("own") == F.col("wb")))
+        met = met.select("sid", "leader", F.col("own").alias("block"), F.lit(1).alias("side"))
+        links = links.unionByName(joined(wanted.unionByName(met), True).where("a is not null").select("a", "b"))
     labels = connected_components(links)
 
-    labelled = rows.join(labels, rows["sid"] == labels["node"], "left").select("id", "th", "n_shingles", F.coalesce("label", "sid").alias("label"))
-    least = labelled.where("label is not null").groupBy(F.col("label").alias("l")).agg(F.min("id").alias("least"))
-    out = labelled.join(least, labelled["label"] == least["l"], "left")
-    return out.select(F.col("id").alias(id_col), "th", "n_shingles", F.coalesce("least", "id").alias("component_id"))
+    # Sets of one row and no link answer for themselves; all others get their component's least id.
+    several = named.join(labels, named["sid"] == labels["node"], "left").where("copies > 1 or node is not null").select("sid", F.coalesce("label", "sid").alias("label"), "least")
+    several = materialize(several, "linked-sets")
+    least = materialize(several.groupBy(F.col("label").alias("l")).agg(F.min("least").alias("component")), "components")
+    found = materialize(several.join(least, F.col("label") == F.col("l")).select(F.col("sid").alias("lsid"), "component"), "components-of-sets")
+    out = rows.join(found, rows["sid"] == found["lsid"], "left")
+    return out.select(F.col("id").alias(id_col), "th", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
     """`docs` without the rows whose component has a smaller id; rows without words or id stay, and so do rows that repeat the smallest id."""
     found = similar_documents(docs, percent, n, id_col=id_col, text_col=text_col)
-    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__id"), F.col("th").alias("__th")).distinct()
+    id_, th = fresh(docs, "id", "th")
+    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias(id_), F.col("th").alias(th)).distinct()
     gone = materialize(gone, "near-copies").hint("merge")
     free_shuffles(docs.sparkSession)
-    return docs.join(gone, (docs[id_col] == gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__th"]), "left_anti")
+    return docs.join(gone, (docs[id_col] == gone[id_]) & (F.xxhash64(docs[text_col]) == gone[th]), "left_anti")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from noveltide.llm import jaccard_join
+from noveltide.llm.components import connected_components
 from noveltide.llm.shingle_sets import shingles
 from tests.llm.conftest import long_text
 
@@ -59,6 +60,64 @@ def test_link_components_equals_brute_force():
     assert jaccard_join.link_components(sets, 90).tolist() == want
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_derived_answers_equal_brute_force(percent):
+    rng = np.random.default_rng(7)
+    base = [rng.integers(0, 2**63, 300).astype("u8") for _ in range(3)]
+    sets = []
+    for k in range(160):
+        b = base[k % 3]
+        sets.append(np.unique(np.r_[b[rng.random(300) > rng.choice([0.01, 0.04, 0.12])], rng.integers(0, 2**63, rng.integers(0, 12)).astype("u8")]))
+    tally = {}
+    assert jaccard_join.link_components(sets, percent, tally=tally).tolist() == components([set(s.tolist()) for s in sets], percent)
+    assert tally["listed"] < 30 and tally["derived"] + tally["bounded"] > 130 and tally["bounded"] > 0
+    sides = rng.integers(0, 2, len(sets))
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sides[a] != sides[b] and (i := len(set(sets[a].tolist()) & set(sets[b].tolist()))) and 100 * i >= percent * (len(sets[a]) + len(sets[b]) - i)]
+    want = list(range(len(sets)))
+    for a, b in links:
+        old, new = max(want[a], want[b]), min(want[a], want[b])
+        want = [new if x == old else x for x in want]
+    assert jaccard_join.link_components(sets, percent, sides).tolist() == want
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_blocks_skip_what_a_walk_over_all_pairs_skips(percent):
+    rng = np.random.default_rng(9)
+    n = 3000
+    lists, size = rng.integers(0, 60, n) ** 2 // 40, rng.integers(5, 60, n)
+    size[rng.random(n) < 0.4] = 30
+    pos = (rng.random(n) * jaccard_join.prefix_length(size, percent)).astype("i4")
+    sketch = rng.multinomial(1, [1 / 32] * 32, (n, 60))
+    sketch = np.where(np.arange(60)[None, :, None] < size[:, None, None], sketch, 0).sum(1).astype("u2")
+    sketch[::3] = sketch[0]
+    want, pairs = np.zeros(n, bool), 0
+    for k in np.unique(lists):
+        own = np.flatnonzero(lists == k)
+        for x in range(len(own)):
+            for y in range(x):
+                a, b = sorted((own[x], own[y]), key=lambda e: size[e])
+                least = -(-percent * (size[a] + size[b]) // (100 + percent))
+                pairs += 1
+                if 100 * size[a] >= percent * size[b] and 1 + min(size[a] - pos[a] - 1, size[b] - pos[b] - 1) >= least and abs(sketch[a].astype(int) - sketch[b]).sum() <= size[a] + size[b] - 2 * least:
+                    want[[a, b]] = True
+    tally = {}
+    assert (jaccard_join.linkable(lists, size, pos, sketch, percent, tally) == want).all()
+    assert tally["pairs"] == pairs and tally["sketches_left"] < tally["blocks_left"] < pairs / 2
+
+
+def test_components_of_chains_stars_and_odd_edges(spark):
+    rng = random.Random(2)
+    edges = [(k, k + 1) for k in range(0, 70)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)] + [(500, 500), (None, 7), (8, None), (3, 2), (3, 2)]
+    want = {k: k for e in edges if None not in e for k in e}
+    for _ in range(200):
+        for a, b in edges:
+            if a is not None and b is not None:
+                want[a] = want[b] = min(want[a], want[b])
+    del want[500]
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.label for r in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("limits", [{}, {"LONG_LIST": 3, "GROUP": 8}])
 def test_operator_against_brute_force(make, monkeypatch, limits):
     for k, v in limits.items():
