@@ -11,29 +11,38 @@ from noveltide.session import materialize
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the classifier predicts to be toxic; it learns from labelled documents that aren't held out."""
+    """Rejects documents that the classifier predicts to be toxic; it learns from labelled documents that aren't held out.
+
+    A null or empty text is scored as text without evidence. Rows that repeat are each scored; an empty table stays empty.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
     return toxicity.drop_toxic(docs, model).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that ten documents or more share; documents stay, n_chars is that of the text left."""
+    """Drops lines that ten documents or more share; documents stay, n_chars is that of the text left.
+
+    A null text stays null with 0 characters. Each row is a document, also when rows or ids repeat.
+    """
     out = line_dedup.drop_common_lines(docs).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
     return out.select(*docs.columns)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each component of near copies."""
-    return jaccard_join.keep_one(docs).select(*docs.columns)
+    """Keeps one document, that of the smallest id, of each component of near copies: five-word shingles, similarity 0.8 or more.
+
+    Documents without words, and those with a null id, stay; so do rows that repeat the smallest id.
+    """
+    return jaccard_join.keep_one(docs, percent=80, n=5).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents that benchmark items contaminate."""
+    """Removes documents that benchmark items contaminate; those without words stay, whatever their other columns hold."""
     return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences; a row per piece of a document."""
+    """Packs what is left into sequences; a row per piece of a document. A null text has the end token alone; rows that repeat have pieces of their own."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
