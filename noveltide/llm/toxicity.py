@@ -111,16 +111,21 @@ class Bags(NamedTuple):
 
 def bags(texts: list[str]) -> Bags:
     known: dict[str, int] = {}
-    word, count, edge = [], [], [0]
+    word: list[np.ndarray] = []
+    count: list[np.ndarray] = []
+    edge = [0]
     for text in texts:
         own: dict[str, int] = {}
         for w in tokens(text):
             own[w] = own.get(w, 0) + 1
-        word += [known.setdefault(w, len(known)) for w in own]
-        count += own.values()
-        edge.append(len(word))
-    flat, sizes = subwords(list(known)) if known else (np.zeros(0, "i4"), np.zeros(0, "i8"))
-    return Bags(np.array(word, "i8"), np.array(count, "f4"), np.array(edge, "i8"), flat, np.r_[0, np.cumsum(sizes)].astype("i8"))
+        word.append(np.array([known.setdefault(w, len(known)) for w in own], "i4"))
+        count.append(np.array(list(own.values()), "f4"))
+        edge.append(edge[-1] + len(own))
+    every = list(known)
+    parts = [subwords(every[k : k + 20_000]) for k in range(0, len(every), 20_000)]  # a part at a time bounds the driver's memory
+    flat = np.concatenate([np.zeros(0, "i4"), *(f for f, _ in parts)])
+    sizes = np.concatenate([np.zeros(0, "i8"), *(s for _, s in parts)])
+    return Bags(np.concatenate([np.zeros(0, "i4"), *word]), np.concatenate([np.zeros(0, "f4"), *count]), np.array(edge, "i8"), flat, np.r_[0, np.cumsum(sizes)].astype("i8"))
 
 
 def _spans(edge: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
