@@ -23,7 +23,7 @@ CELLS = 32
 #: Longer index lists aren't filtered in one task; all their sets go on.
 LONG_LIST = 20_000
 #: Sets of a group that one task compares with each other; larger groups are cut into blocks of half as many.
-GROUP = 1024
+GROUP = 512
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
