@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noveltide.functions.scalar import distance
+from noveltide.operators.distance import nearest
 
 
 def kmeans(df: DataFrame, k: int, seeds: int = 10, seed: int = 42, features_col: str = "features") -> DataFrame:
@@ -38,12 +38,16 @@ def class_means(df: DataFrame, class_col: str, features_col: str = "features") -
     return cells.groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"), F.max("n").alias("n"))
 
 
-def assign_nearest(df: DataFrame, centers: DataFrame, features_col: str = "features") -> DataFrame:
-    """Add `cluster` and `center_dist`: the nearest of the few centers (class, mean), the lowest class on a tie."""
-    packed = centers.agg(F.array_sort(F.collect_list(F.struct("class", "mean"))).alias("__c"))
-    each = F.transform("__c", lambda c: F.struct(distance(F.col(features_col).cast("array<double>"), c["mean"]).alias("d"), c["class"].alias("class")))
-    out = df.crossJoin(F.broadcast(packed)).withColumn("__best", F.array_min(each))
-    return out.withColumns({"cluster": F.col("__best.class"), "center_dist": F.col("__best.d")}).drop("__c", "__best")
+def assign_nearest(df: DataFrame, centers: DataFrame, features_col: str = "features", id_col: str = "row_id") -> DataFrame:
+    """Add `cluster` and `center_dist`: the nearest of the centers (class, mean), the lowest class on a tie.
+
+    Few centers are sent to all executors, more are met block by block, as in `nearest`. Rows without an id have no nearest center.
+    """
+    found = nearest(df.select(F.col(id_col).alias("row_id"), F.col(features_col).alias("features")), centers.select(F.col("class").cast("long").alias("row_id"), F.col("mean").alias("features")), 1)
+    found = found.select(F.col("row_id").alias("__id"), F.get("neighbors", F.lit(0)).alias("__best"))
+    kind = dict(centers.dtypes)["class"]
+    out = df.join(found, F.col(id_col) == F.col("__id"), "left")
+    return out.withColumns({"cluster": F.col("__best.id").cast(kind), "center_dist": F.col("__best.dist")}).drop("__id", "__best")
 
 
 def lloyd_step(df: DataFrame, centers: DataFrame, features_col: str = "features") -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noveltide.operators.detectors import learned, nets, tabular
+from noveltide.operators.detectors import adversarial, learned, nets, tabular
 from noveltide.operators.detectors.common import SAMPLE_ROWS, map_scores, matrix
 from noveltide.operators.prep import hash_order
 
@@ -46,6 +46,10 @@ DETECTORS: dict[str, Callable[..., DataFrame]] = {
     "DASVDD": learned.fitted(nets.fit_dasvdd),
     "NeuTraLAD": learned.fitted(nets.fit_neutralad),
     "DevNet": devnet,
+    "LUNAR": learned.fitted(adversarial.fit_lunar),
+    "ALAD": learned.fitted(adversarial.fit_alad),
+    "SO_GAAL": learned.fitted(adversarial.fit_so_gaal),
+    "MO_GAAL": learned.fitted(adversarial.fit_mo_gaal),
 }
 
 

@@ -27,13 +27,15 @@ def pca(test: DataFrame, train: DataFrame, components: int | None = None) -> Dat
     """Distance from the mean in standardised principal axes, each weighted by its inverse share of the variance.
 
     The scatter comes from distributed sums over all rows; only the d x d eigenproblem is on the driver.
+    Axes along which the training rows don't vary are left out, as nothing tells their directions apart.
     """
     s = scatter(train.withColumn("cluster", F.lit(0)))
     std = np.sqrt(np.diag(s.total))
     std = np.where(std > 1e-12, std, 1.0)
     values, vectors = np.linalg.eigh(s.total / np.outer(std, std))
     keep = np.argsort(-values)[: components or len(values)]
-    values, vectors = np.maximum(values[keep], 1e-9), vectors[:, keep]
+    keep = keep[values[keep] > 1e-9 * max(values.max(), 0)]
+    values, vectors = values[keep], vectors[:, keep]
     share = values / values.sum()
     return map_scores(test, lambda x: (np.abs(((x - s.mean) / std) @ vectors) / share).sum(1))
 

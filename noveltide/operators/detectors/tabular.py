@@ -37,11 +37,11 @@ def hbos(test: DataFrame, train: DataFrame, bins: int = 10, alpha: float = 0.1)
     span = x.groupBy("i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(1.0)
     place = F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
-    counts = x.join(F.broadcast(span), "i").groupBy("i", place.alias("bin")).agg(F.count("*").alias("n"))
+    counts = x.join(span, "i").groupBy("i", place.alias("bin")).agg(F.count("*").alias("n"))
     top = counts.groupBy("i").agg(F.max("n").alias("top"))
     density = counts.join(top, "i").select(F.col("i").alias("di"), F.col("bin").alias("dbin"), (F.col("n") / F.col("top")).alias("density"))
-    t = exploded(test).join(F.broadcast(span), "i").withColumn("bin", F.when((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")), place))
-    t = t.join(F.broadcast(density), (F.col("i") == F.col("di")) & (F.col("bin") == F.col("dbin")), "left")
+    t = exploded(test).join(span, "i").withColumn("bin", F.when((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")), place))
+    t = t.join(density, (F.col("i") == F.col("di")) & (F.col("bin") == F.col("dbin")), "left")
     return t.groupBy("row_id").agg(F.sum(-F.log2(F.coalesce("density", F.lit(0.0)) + alpha)).alias("score"))
 
 
@@ -54,16 +54,16 @@ def _tails(df: DataFrame) -> DataFrame:
     x = exploded(df)
     counted = x.groupBy("i", "x").agg(F.count("*").alias("n"))
     cuts = counted.groupBy("i").agg(F.percentile_approx("x", F.array(*(F.lit(k / 32) for k in range(1, 32))), 1000).alias("c"))
-    ranged = counted.join(F.broadcast(cuts), "i").withColumn("part", F.size(F.filter("c", lambda v: v < F.col("x")))).drop("c")
+    ranged = counted.join(cuts, "i").withColumn("part", F.size(F.filter("c", lambda v: v < F.col("x")))).drop("c")
     parts = ranged.groupBy("i", "part").agg(F.sum("n").alias("pn"))
     before = Window.partitionBy("i").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("i", "part", F.coalesce(F.sum("pn").over(before), F.lit(0)).alias("below"), F.sum("pn").over(Window.partitionBy("i")).alias("total"))
     w = Window.partitionBy("i", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranged.join(F.broadcast(parts), ["i", "part"]).withColumn("upto", F.col("below") + F.sum("n").over(w))
+    placed = ranged.join(parts, ["i", "part"]).withColumn("upto", F.col("below") + F.sum("n").over(w))
     total = F.col("total").cast("double")
     tails = placed.select("i", "x", (-F.log(F.col("upto") / total)).alias("left"), (-F.log((F.col("total") - F.col("upto") + F.col("n")) / total)).alias("right"))
     skew = x.groupBy("i").agg(F.skewness("x").alias("skew"))
-    return x.join(tails, ["i", "x"]).join(F.broadcast(skew), "i").select("row_id", "i", "left", "right", F.coalesce(F.nanvl("skew", F.lit(0.0)), F.lit(0.0)).alias("skew"))
+    return x.join(tails, ["i", "x"]).join(skew, "i").select("row_id", "i", "left", "right", F.coalesce(F.nanvl("skew", F.lit(0.0)), F.lit(0.0)).alias("skew"))
 
 
 def _by_skew() -> Column:

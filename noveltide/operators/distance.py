@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noveltide import session
-from noveltide.functions.scalar import distance
 
 #: The most numbers of a reference matrix that are sent to all executors (128 MB of doubles).
 BROADCAST_VALUES = 16_000_000
@@ -22,9 +21,10 @@ EXACT_VALUES = 8_000_000
 GRID_ROWS = 20_000
 
 
-def pairwise_squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances by norm expansion, never below 0."""
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0)
+def pairwise_squared(a: np.ndarray, b: np.ndarray, negative: str = "clamp") -> np.ndarray:
+    """Squared distances by norm expansion; what rounding leaves below 0 becomes 0 (clamp) or positive (abs)."""
+    squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+    return np.maximum(squared, 0) if negative == "clamp" else np.abs(squared)
 
 
 def k_nearest(test: np.ndarray, test_ids: np.ndarray, train: np.ndarray, train_ids: np.ndarray, k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -89,8 +89,10 @@ def nearest(test: DataFrame, train: DataFrame, k: int = 1, exclude_self: bool =
     shape = train.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("d")).first()
     schema = "row_id long, neighbors array<struct<dist: double, id: long>>"
     if (shape.n or 0) * (shape.d or 0) <= broadcast_values:
-        pdf = train.select("row_id", "features").toPandas()
-        sent = spark.sparkContext.broadcast((_matrix(pdf["features"]), pdf["row_id"].to_numpy("i8")))
+        given = train.select("row_id", F.col("features").cast("array<double>").alias("features")).toArrow()
+        flat = given["features"].combine_chunks()
+        matrix = np.asarray(flat.flatten()).reshape(len(flat), -1 if len(flat) else 0)
+        sent = spark.sparkContext.broadcast((matrix, given["row_id"].to_numpy()))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             matrix, ids = sent.value
@@ -119,13 +121,6 @@ def nearest(test: DataFrame, train: DataFrame, k: int = 1, exclude_self: bool =
     return merged.select("row_id", F.slice(F.array_sort("all"), 1, k).alias("neighbors"))
 
 
-def nearest_distance_sql(test: DataFrame, train: DataFrame, exclude_self: bool = False) -> DataFrame:
-    """(row_id, dist) by a join that Spark plans itself; the smallest is taken before any shuffle. For small reference tables."""
-    b = train.select(F.col("row_id").alias("b_id"), F.col("features").alias("b_features"))
-    on = F.col("row_id") != F.col("b_id") if exclude_self else F.lit(True)
-    return test.join(b, on).groupBy("row_id").agg(F.min(distance(F.col("features"), F.col("b_features"))).alias("dist"))
-
-
 def nearest_distance(test: DataFrame, train: DataFrame, exclude_self: bool = False) -> DataFrame:
     """(row_id, dist) to the nearest train row; null where there is none."""
     return nearest(test, train, 1, exclude_self).select("row_id", F.get("neighbors", F.lit(0))["dist"].alias("dist"))

@@ -14,6 +14,8 @@ from noveltide import session
 
 #: The driver solves a d x d problem; wider tables must be reduced first.
 MOST_FEATURES = 4096
+#: Numbers of a matrix that are added up together; larger matrices are summed in blocks of rows.
+BLOCK_VALUES = 1 << 17
 
 
 class Scatter(NamedTuple):
@@ -39,8 +41,9 @@ class Projection(NamedTuple):
 
 
 def scatter(df: DataFrame, class_col: str = "cluster", features_col: str = "features") -> Scatter:
-    """Sums of x, x x' and 1 per class, made per task in blocks and added up per class; the driver gets one row per class and task wave.
+    """Sums of x, x x' and 1 per class, made per task and added up per class and block of matrix rows; the driver gets one row per class and block.
 
+    A task that adds up holds one block at a time, however many tasks have sent theirs.
     Sums are taken about the first row's point, which keeps them exact for tables far from the origin.
     """
     session.ship(df.sparkSession)
@@ -51,6 +54,7 @@ def scatter(df: DataFrame, class_col: str = "cluster", features_col: str = "feat
     d = len(shift)
     if d > MOST_FEATURES:
         raise ValueError(f"{d} features; at most {MOST_FEATURES}")
+    step = max(1, BLOCK_VALUES // d)
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, list] = {}
@@ -63,25 +67,38 @@ def scatter(df: DataFrame, class_col: str = "cluster", features_col: str = "feat
                 s[0] += len(part)
                 s[1] += part.sum(0)
                 s[2] += part.T @ part
-        if sums:
-            yield pd.DataFrame({"c": list(sums), "n": [s[0] for s in sums.values()], "s": [s[1].tobytes() for s in sums.values()], "g": [s[2].tobytes() for s in sums.values()]})
+        for k, (n, s, g) in sums.items():
+            yield pd.DataFrame([(k, -1, n, s.tobytes()), *((k, b, 0, g[b : b + step].tobytes()) for b in range(0, d, step))], columns=["c", "b", "n", "v"])
 
-    def total(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        s = sum(np.frombuffer(v) for v in f["s"])
-        g = sum(np.frombuffer(v) for v in f["g"])
-        return pd.DataFrame({"c": [key[0]], "n": [int(f["n"].sum())], "s": [s.tobytes()], "g": [g.tobytes()]})
-
-    schema = "c long, n long, s binary, g binary"
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, n, total = None, 0, None
+        for f in frames:
+            for c, b, own, v in f.itertuples(index=False):
+                if (c, b) != key:
+                    if key is not None:
+                        yield pd.DataFrame([(*key, n, total.tobytes())], columns=["c", "b", "n", "v"])
+                    key, n, total = (c, b), 0, np.zeros(len(v) // 8)
+                n += own
+                total += np.frombuffer(v)
+        if key is not None:
+            yield pd.DataFrame([(*key, n, total.tobytes())], columns=["c", "b", "n", "v"])
+
+    schema = "c long, b int, n long, v binary"
     rows = df.select(F.col(class_col).cast("long").alias("c"), F.col(features_col).cast("array<double>").alias("x")).mapInPandas(partial, schema)
-    rows = rows.groupBy("c").applyInPandas(total, schema).orderBy("c").toLocalIterator()
+    rows = rows.repartition("c", "b").sortWithinPartitions("c", "b").mapInPandas(add, schema).orderBy("c", "b").toLocalIterator()
     n, mean_sum, gram, within, classes, means, sizes = 0, np.zeros(d), np.zeros((d, d)), np.zeros((d, d)), [], [], []
     for r in rows:
-        s, g = np.frombuffer(r.s), np.frombuffer(r.g).reshape(d, d)
-        within += g - np.outer(s, s) / r.n
-        n, mean_sum, gram = n + r.n, mean_sum + s, gram + g
-        classes.append(r.c)
-        means.append(s / r.n + shift)
-        sizes.append(r.n)
+        v = np.frombuffer(r.v)
+        if r.b < 0:
+            n, mean_sum, sums = n + r.n, mean_sum + v, v
+            classes.append(r.c)
+            means.append(v / r.n + shift)
+            sizes.append(r.n)
+        else:
+            block = slice(r.b, min(d, r.b + step))
+            g = v.reshape(-1, d)
+            gram[block] += g
+            within[block] += g - np.outer(sums[block], sums) / sizes[-1]
     mean = mean_sum / n
     all_scatter = gram - np.outer(mean, mean) * n
     away = np.array(means) - (mean + shift)
@@ -89,6 +106,11 @@ def scatter(df: DataFrame, class_col: str = "cluster", features_col: str = "feat
     return Scatter(n, within / n, all_scatter / n, between / n, mean + shift, classes, np.array(means))
 
 
+def least_clusters(n: int, d: int) -> int:
+    """The least number of clusters of n rows of d features with any null direction: the within scatter's rank is n - clusters at most."""
+    return max(1, n - d + 1)
+
+
 def null_directions(s: Scatter, rtol: float = 1e-10) -> Projection:
     """Directions in which classes collapse to points but the whole doesn't: null space of the within scatter, inside the total's range.
 
@@ -104,7 +126,7 @@ def null_directions(s: Scatter, rtol: float = 1e-10) -> Projection:
     null = own <= rtol * top
     rank_within = int((~null).sum())
     w = q @ basis[:, null]
-    return Projection(w, rank_within, q.shape[1], int(null.sum()), max(1, s.n - len(s.mean) + 1))
+    return Projection(w, rank_within, q.shape[1], int(null.sum()), least_clusters(s.n, len(s.mean)))
 
 
 def regularized_directions(s: Scatter, penalty: float = 1e-4) -> Projection:
@@ -118,15 +140,34 @@ def regularized_directions(s: Scatter, penalty: float = 1e-4) -> Projection:
     return Projection(few, int((values > 2 * penalty).sum()), 0, few.shape[1], 1)
 
 
-def project(df: DataFrame, w: np.ndarray, features_col: str = "features") -> DataFrame:
-    """features @ w, in Arrow batches; w is d x L and goes to all executors (d is bounded)."""
+def directions(s: Scatter, rtol: float = 1e-10, penalty: float = 1e-4) -> Projection:
+    """Null directions where there are any, else the regularised ones.
+
+    With many more rows than features and few clusters the within scatter has full
+    rank, so no direction collapses all classes; the c - 1 directions of the smallest within scatter are the
+    nearest to that. `null_size` is 0 then.
+    """
+    p = null_directions(s, rtol)
+    return p if p.w.shape[1] else p._replace(w=regularized_directions(s, penalty).w)
+
+
+def principal_directions(s: Scatter, k: int) -> np.ndarray:
+    """The k directions of the largest total scatter as columns; each one's largest entry is positive."""
+    values, vectors = np.linalg.eigh(s.total)
+    w = vectors[:, np.argsort(-values, kind="stable")[:k]]
+    return w * np.sign(w[np.abs(w).argmax(0), np.arange(w.shape[1])])
+
+
+def project(df: DataFrame, w: np.ndarray, features_col: str = "features", center: np.ndarray | None = None) -> DataFrame:
+    """(features - center) @ w, in Arrow batches; w is d x L and goes to all executors (d is bounded)."""
     if w.shape[1] == 0:
         raise ValueError("no direction to project on; use more clusters, or the regularised directions")
     session.ship(df.sparkSession)
-    sent = df.sparkSession.sparkContext.broadcast(w)
+    sent = df.sparkSession.sparkContext.broadcast((w, np.zeros(len(w)) if center is None else center))
 
     def run(v: pd.Series) -> pd.Series:
-        return pd.Series(list(np.array(v.tolist(), "f8").reshape(len(v), -1) @ sent.value))
+        matrix, origin = sent.value
+        return pd.Series(list((np.array(v.tolist(), "f8").reshape(len(v), -1) - origin) @ matrix))
 
     run.__annotations__ = {"v": pd.Series, "return": pd.Series}
     return df.withColumn(features_col, F.pandas_udf(run, "array<double>")(F.col(features_col).cast("array<double>")))

@@ -5,15 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noveltide.functions.scalar import clamp_low, distance, logistic, nan_to, ratio
+from noveltide.functions.scalar import clamp_low, distance, logistic, nan_to, ratio, safe_div
 from noveltide.operators.cluster import class_means
 from noveltide.operators.distance import nearest, nearest_distance
+from noveltide.operators.quantiles import column_quantiles
+
+#: The most classes whose means are packed into one row and sent to all executors.
+MOST_CLASSES = 10_000
+
+
+def _packed(classes: DataFrame, *columns: str) -> DataFrame:
+    """One row, `__c`: an array of the classes' columns; raises where there are too many to send."""
+    few = classes.select(*columns).take(MOST_CLASSES + 1)
+    if len(few) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes; score by `nearest_distance` to their means")
+    local = classes.sparkSession.createDataFrame(few, classes.select(*columns).schema)
+    return F.broadcast(local.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("__c")))
 
 
 def train_radius(train: DataFrame, how: str = "max") -> DataFrame:
     """One row, `r`: the largest distance of a train row to its nearest other (or the 95th percentile of them)."""
     near = nearest_distance(train, train, exclude_self=True)
-    return near.agg((F.max("dist") if how == "max" else F.percentile("dist", F.lit(0.95))).alias("r"))
+    if how == "max":
+        return near.agg(F.max("dist").alias("r"))
+    return column_quantiles(near, F.col("dist"), [0.95]).select(F.get("q", F.lit(0)).alias("r"))
 
 
 def nn_ratio(test: DataFrame, train: DataFrame, floor: float | None = None, how: str = "max") -> DataFrame:
@@ -47,16 +62,16 @@ def class_radii(train: DataFrame, class_col: str) -> DataFrame:
     """(class, mean, radius): each class's mean and the distance of its farthest row."""
     means = class_means(train, class_col)
     own = train.select(F.col(class_col).alias("class"), F.col("features").cast("array<double>").alias("x"))
-    far = own.join(F.broadcast(means), "class").groupBy("class").agg(F.max(distance(F.col("x"), F.col("mean"))).alias("radius"))
+    far = own.join(means, "class").groupBy("class").agg(F.max(distance(F.col("x"), F.col("mean"))).alias("radius"))
     return means.join(far, "class").select("class", "mean", "radius")
 
 
 def class_mean_radius(test: DataFrame, train: DataFrame, class_col: str, epsilon: float = 0.0) -> DataFrame:
     """(row_id, p_normal, p_anomaly): the best over classes of 1 - distance / radius, at least 0; a class without extent accepts its mean alone."""
-    packed = class_radii(train, class_col).agg(F.collect_list(F.struct("mean", "radius")).alias("__c"))
+    packed = _packed(class_radii(train, class_col), "class", "mean", "radius")
     share = lambda c: ratio(distance(F.col("features").cast("array<double>"), c["mean"]), c["radius"] + epsilon)
     each = F.transform("__c", lambda c: F.greatest(1.0 - nan_to(share(c), 0.0), F.lit(0.0)))
-    out = test.crossJoin(F.broadcast(packed)).withColumn("p_normal", F.array_max(each))
+    out = test.crossJoin(packed).withColumn("p_normal", F.array_max(each))
     return out.select("row_id", "p_normal", (1.0 - F.col("p_normal")).alias("p_anomaly"))
 
 
@@ -66,22 +81,50 @@ def logistic_centroid(test: DataFrame, train: DataFrame, class_col: str) -> Data
     p_near falls with distance (1 would be near). With one centroid the scale is infinite and p_near constant.
     """
     means = class_means(train, class_col).select("class", "mean")
-    other = means.select(F.col("class").alias("o"), F.col("mean").alias("om"))
-    half = means.join(F.broadcast(other), F.col("class") != F.col("o"), "left").groupBy("class").agg(F.first("mean").alias("mean"), (F.min(distance(F.col("mean"), F.col("om"))) / 2).alias("half"))
-    packed = half.agg(F.array_sort(F.collect_list(F.struct("class", "mean", "half"))).alias("__c"))
+    as_rows = means.select(F.col("class").cast("long").alias("row_id"), F.col("mean").alias("features"))
+    gaps = nearest_distance(as_rows, as_rows, exclude_self=True).select(F.col("row_id").alias("o"), (F.col("dist") / 2).alias("half"))
+    half = means.join(gaps, F.col("class") == F.col("o"), "left")
+    packed = _packed(half, "class", "mean", "half")
     each = F.transform("__c", lambda c: F.struct(distance(F.col("features").cast("array<double>"), c["mean"]).alias("d"), c["class"].alias("class"), c["half"].alias("half")))
-    best = test.crossJoin(F.broadcast(packed)).select("row_id", F.array_min(each).alias("b"))
+    best = test.crossJoin(packed).select("row_id", F.array_min(each).alias("b"))
     scaled = F.when(F.col("b.half").isNull(), 0.0).otherwise(ratio(F.col("b.d"), F.coalesce("b.half", F.lit(1.0))))
     return best.select("row_id", F.col("b.class").alias("class"), F.col("b.d").alias("dist"), logistic(-(F.least(scaled, F.lit(700.0)) - 1.0)).alias("p_near"))
 
 
-def knn_vote(test: DataFrame, train: DataFrame, label_col: str, ks: list[int], exclude_self: bool = False) -> DataFrame:
-    """(row_id, k, predicted, p_anomaly) for each k: the share of label 1 among the k nearest; a majority predicts 1."""
+def _votes(test: DataFrame, train: DataFrame, label_col: str, ks: list[int], exclude_self: bool) -> DataFrame:
     found = nearest(test, train, max(ks), exclude_self).select("row_id", F.posexplode("neighbors").alias("pos", "nb"))
     labels = train.select(F.col("row_id").alias("nid"), F.col(label_col).cast("double").alias("y"))
     voted = found.select("row_id", "pos", F.col("nb.id").alias("nid")).join(labels, "nid")
     grid = voted.withColumn("k", F.explode(F.array(*map(F.lit, sorted(ks))))).where("pos < k")
-    return grid.groupBy("row_id", "k").agg(F.avg("y").alias("p_anomaly")).withColumn("predicted", (F.col("p_anomaly") > 0.5).cast("int"))
+    return grid.groupBy("row_id", "k").agg(F.avg("y").alias("p_anomaly"))
+
+
+def knn_vote(test: DataFrame, train: DataFrame, label_col: str, ks: list[int], exclude_self: bool = False) -> DataFrame:
+    """(row_id, k, predicted, p_anomaly) for each k: the share of label 1 among the k nearest; a majority predicts 1."""
+    return _votes(test, train, label_col, ks, exclude_self).withColumn("predicted", (F.col("p_anomaly") > 0.5).cast("int"))
+
+
+def knn_grid_search(train: DataFrame, label_col: str, ks: list[int], fold: Column, folds: int = 5) -> DataFrame:
+    """(k, mean_f1): the mean over folds of a nearest-neighbour classifier's F1, each fold predicted by the others.
+
+    `fold` numbers the rows' folds from 0. A fold without any true or predicted label 1 has an F1 of 0.
+    """
+    rows = train.select("row_id", "features", F.col(label_col).cast("int").alias("y"), fold.cast("int").alias("fold"))
+    scored = None
+    for f in range(folds):
+        own = rows.where(F.col("fold") == f)
+        voted = knn_vote(own, rows.where(F.col("fold") != f), "y", ks).join(own.select("row_id", "y"), "row_id")
+        one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+        p, y = F.col("predicted") == 1, F.col("y") == 1
+        cells = voted.groupBy("k").agg(one(p & y).alias("tp"), one(p & ~y).alias("fp"), one(~p & y).alias("fn"))
+        cells = cells.select("k", safe_div(2.0 * F.col("tp"), (2 * F.col("tp") + F.col("fp") + F.col("fn")).cast("double")).alias("f1"))
+        scored = cells if scored is None else scored.unionByName(cells)
+    return scored.groupBy("k").agg((F.sum("f1") / folds).alias("mean_f1"))
+
+
+def best_k(grid: DataFrame) -> int:
+    """The k of the highest mean F1, the smallest on a tie."""
+    return grid.orderBy(F.desc("mean_f1"), "k").first().k
 
 
 def predict(p: Column, rule: str = "gt", threshold: float = 0.5) -> Column:
@@ -91,8 +134,9 @@ def predict(p: Column, rule: str = "gt", threshold: float = 0.5) -> Column:
 
 def predict_above_median(df: DataFrame, score_col: str = "score") -> DataFrame:
     """Add `predicted`: the score is above the table's median."""
-    median = df.agg(F.percentile(score_col, F.lit(0.5)).alias("__m"))
-    return df.crossJoin(F.broadcast(median)).withColumn("predicted", (F.col(score_col) > F.col("__m")).cast("int")).drop("__m")
+    median = column_quantiles(df, F.col(score_col), [0.5]).select(F.get("q", F.lit(0)).alias("__m"))
+    out = df.join(F.broadcast(median), F.lit(True), "left")
+    return out.withColumn("predicted", (F.col(score_col) > F.col("__m")).cast("int")).drop("__m")
 
 
 def min_max_probability(df: DataFrame, score_col: str = "score") -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from noveltide.functions import scalar
-from noveltide.operators import cluster, metrics, nullspace, prep, score
+from noveltide.operators import cluster, metrics, nullspace, prep, quantiles, score
 from noveltide.operators.detectors import DETECTORS, tabular
-from noveltide.operators.distance import nearest, nearest_distance, nearest_distance_sql
-from noveltide.plans import reports
+from noveltide.operators.distance import nearest, nearest_distance
+from noveltide.plans import experiments, reports
 from noveltide.session import shared_dir
 from noveltide.sources import tables
 from noveltide.streaming import scoring
@@ -150,8 +150,7 @@ def projections(spark, sf_dir):
 
 @query("SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS r FROM part) WHERE r > 100 AND r <= 200")
 def row_slice(spark, sf_dir):
-    w = Window.orderBy("p_partkey")
-    return read(spark, sf_dir, "part").withColumn("r", F.row_number().over(w)).where("r > 100 and r <= 200").select("p_partkey")
+    return quantiles.global_rank(read(spark, sf_dir, "part").select("p_partkey"), [F.asc("p_partkey")], "r").where("r > 100 and r <= 200").select("p_partkey")
 
 
 @query(f"SELECT event_id, value FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0")
@@ -191,7 +190,7 @@ def zip_by_id(spark, sf_dir):
 @query(f"SELECT a.row_id, round(min(list_distance(a.f, b.f)), 6) AS dist FROM {_E} a, {_E} b WHERE b.label = 0 GROUP BY 1")
 def nearest_distance_join(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return nearest_distance_sql(v.select("row_id", "features"), normal(v).select("row_id", "features")).select("row_id", r6("dist", "dist"))
+    return nearest_distance(v, normal(v)).select("row_id", r6("dist", "dist"))
 
 
 @query(f"SELECT a.row_id, round(min(list_distance(a.f, b.f)), 6) AS dist FROM {_E} a, {_E} b WHERE a.row_id <> b.row_id GROUP BY 1")
@@ -219,7 +218,7 @@ def nearest_centroid(spark, sf_dir):
 @query(f"SELECT a.class, round(min(list_distance(a.m, b.m)), 6) AS dist FROM {_MEANS} a, {_MEANS} b WHERE a.class <> b.class GROUP BY 1")
 def centroid_gaps(spark, sf_dir):
     m = cluster.class_means(vectors(spark, sf_dir), "class").select(F.col("class").cast("long").alias("row_id"), F.col("mean").alias("features"))
-    return nearest_distance_sql(m, m, exclude_self=True).select(F.col("row_id").cast("int").alias("class"), r6("dist", "dist"))
+    return nearest_distance(m, m, exclude_self=True).select(F.col("row_id").cast("int").alias("class"), r6("dist", "dist"))
 
 
 # ---- aggregations, windows, sorts, set operations
@@ -369,7 +368,10 @@ def robust_scaler(spark, sf_dir):
     return prep.scale(read(spark, sf_dir, "events").select("event_id", "value"), ["value"], "robust").select("event_id", r6("value", "value"))
 
 
-@query()
+@query("""WITH g AS (SELECT quantile_cont(value, list_transform(range(0, 101), lambda k: k / 100.0::DOUBLE)) AS g FROM events),
+p AS (SELECT event_id, value AS x, g, len(list_filter(g, lambda v: v < value)) AS below, len(list_filter(g, lambda v: v <= value)) AS upto FROM events, g)
+SELECT event_id, round(CASE WHEN upto = 0 THEN 0 WHEN below = 101 THEN 1 WHEN upto > below THEN (below + upto - 1) / 2.0 / 100
+ELSE ((upto - 1) + (x - g[upto]) / (g[least(upto + 1, 101)] - g[upto])) / 100 END, 6) AS value FROM p""")
 def quantile_transformer(spark, sf_dir):
     return prep.quantile_transform(read(spark, sf_dir, "events").select("event_id", "value"), "value").select("event_id", r6("value", "value"))
 
@@ -410,18 +412,28 @@ def gaussian_mixture_clusters(spark, sf_dir):
     return cluster.gaussian_mixture(vectors(spark, sf_dir), 3).select("row_id", "cluster")
 
 
+def _directed(train: DataFrame, clusters: int) -> tuple[DataFrame, nullspace.Projection]:
+    """Pseudo-labels and directions: as many clusters as a null direction needs where that is few enough, else the regularised directions."""
+    n, d = train.agg(F.count("*"), F.max(F.size("features"))).first()
+    least = nullspace.least_clusters(n, d)
+    train = cluster.kmeans(train, max(clusters, least) if least <= MOST_CLUSTERS else clusters, seeds=3)
+    return train, nullspace.directions(nullspace.scatter(train))
+
+
+#: Beyond so many clusters, projections take the regularised directions.
+MOST_CLUSTERS = 500
+
+
 @query()
 def nullspace_score(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    train = cluster.kmeans(normal(v), 10, seeds=3)
-    w = nullspace.null_directions(nullspace.scatter(train)).w
-    return score.nn_ratio(nullspace.project(v, w), nullspace.project(train, w)).select("row_id", r6("p_anomaly", "p_anomaly"))
+    train, p = _directed(normal(v), 10)
+    return score.nn_ratio(nullspace.project(v, p.w), nullspace.project(train, p.w)).select("row_id", r6("p_anomaly", "p_anomaly"))
 
 
 @query()
 def nullspace_diagnostics(spark, sf_dir):
-    train = cluster.kmeans(normal(vectors(spark, sf_dir)), 10, seeds=3)
-    p = nullspace.null_directions(nullspace.scatter(train))
+    _, p = _directed(normal(vectors(spark, sf_dir)), 10)
     return spark.createDataFrame([(p.rank_within, p.rank_total, p.null_size, p.least_clusters)], "rank_within int, rank_total int, null_size int, least_clusters int")
 
 
@@ -435,12 +447,38 @@ def regularized_projection_score(spark, sf_dir):
 
 @query()
 def cluster_count_sweep(spark, sf_dir):
+    return experiments.auc_by_clusters(vectors(spark, sf_dir), (2, 5, 10, 20))
+
+
+@query()
+def principal_components(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    rows = []
-    for k in (2, 5, 10, 20):
-        p = nullspace.null_directions(nullspace.scatter(cluster.kmeans(normal(v), k, seeds=1)))
-        rows.append((k, p.null_size, p.rank_within))
-    return spark.createDataFrame(rows, "clusters int, null_size int, rank_within int")
+    s = nullspace.scatter(v.withColumn("cluster", F.lit(0)))
+    out = nullspace.project(v, nullspace.principal_directions(s, 3), center=s.mean)
+    return out.select("row_id", *(r6(F.get("features", F.lit(k)), f"c{k}") for k in range(3)))
+
+
+@query()
+def rows_by_cluster(spark, sf_dir):
+    return cluster.kmeans(vectors(spark, sf_dir), 10, seeds=1).select("row_id", "cluster").orderBy("cluster", "row_id")
+
+
+@query()
+def nullspace_experiment(spark, sf_dir):
+    cells = [(experiments.nullspace_experiment, (scaler, noise, 10, 3)) for scaler in experiments.SCALERS for noise in (0, 5)]
+    return experiments.results(vectors(spark, sf_dir), cells, "scaler string, nCluster int, noise_percentage int")
+
+
+@query()
+def knn_experiment(spark, sf_dir):
+    cells = [(experiments.knn_experiment, (scaler, 0)) for scaler in ("minmax", "normalizer")]
+    return experiments.results(vectors(spark, sf_dir), cells, "scaler string, nCluster int, noise_percentage int")
+
+
+@query()
+def detector_experiment(spark, sf_dir):
+    cells = [(experiments.detector_experiment, (name, "minmax", noise)) for name in ("KNN", "IForest", "PCA") for noise in (0, 5)]
+    return experiments.results(vectors(spark, sf_dir), cells, "Model string, scaled string, noise_percentage int")
 
 
 # ---- scores
@@ -503,6 +541,18 @@ def knn_vote_grid(spark, sf_dir):
     return out.select("row_id", "k", r6("p_anomaly", "p_anomaly"), "predicted")
 
 
+_FOLD = f"(SELECT row_id, f, (class < 5)::INT AS y, row_id % 5 AS fold FROM {_E})"
+
+
+@query(f"""WITH r AS (SELECT row_id, y, fold, ny, r FROM (SELECT a.row_id, a.y, a.fold, b.y AS ny, row_number() OVER (PARTITION BY a.row_id ORDER BY list_distance(a.f, b.f), b.row_id) AS r FROM {_FOLD} a, {_FOLD} b WHERE a.fold <> b.fold)),
+p AS (SELECT k, row_id, any_value(y) AS y, any_value(fold) AS fold, (avg(ny) > 0.5)::INT AS p FROM r, (SELECT unnest([1, 3, 5, 7, 9, 11]) AS k) WHERE r <= k GROUP BY k, row_id),
+c AS (SELECT k, fold, sum((p = 1 AND y = 1)::INT) AS tp, sum((p <> y)::INT) AS wrong FROM p GROUP BY k, fold)
+SELECT k::INT AS k, round(sum(CASE WHEN 2 * tp + wrong = 0 THEN 0 ELSE 2 * tp / (2 * tp + wrong)::DOUBLE END) / 5, 6) AS mean_f1 FROM c GROUP BY k""")
+def knn_grid_search(spark, sf_dir):
+    v = vectors(spark, sf_dir).withColumn("y", (F.col("class") < 5).cast("int"))
+    return score.knn_grid_search(v, "y", list(experiments.NEIGHBORS), F.col("row_id") % 5).select("k", r6("mean_f1", "mean_f1"))
+
+
 # ---- thresholds and metrics
 
 _ROC = f"(SELECT s, tp, fp, sum(tp) OVER (ORDER BY s DESC) AS ctp, sum(fp) OVER (ORDER BY s DESC) AS cfp, sum(tp) OVER () AS p, sum(fp) OVER () AS n FROM (SELECT score AS s, sum(label) AS tp, sum(1 - label) AS fp FROM {_S} GROUP BY score))"
@@ -551,6 +601,12 @@ def youden_threshold(spark, sf_dir):
     return _rounded(metrics.classification_metrics(cells))
 
 
+@query(f"SELECT round(100 * sum(fp * (ctp - tp + tp / 2.0::DOUBLE) / (p::DOUBLE * n)), 4) AS auc_roc, round(100 * sum(tp::DOUBLE / p * (ctp::DOUBLE / (ctp + cfp))), 4) AS average_precision FROM {_ROC}")
+def percent_metrics(spark, sf_dir):
+    out = reports.in_percent(metrics.ranking_metrics(scored_events(spark, sf_dir)), "auc_roc", "average_precision")
+    return out.select(F.round("auc_roc", 4).alias("auc_roc"), F.round("average_precision", 4).alias("average_precision"))
+
+
 @query("SELECT toxic AS y_true, (n_chars > 1500)::INT AS y_pred, count(*) AS n FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY 1, 2")
 def confusion_matrix(spark, sf_dir):
     j = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents"), "doc_id")
@@ -628,7 +684,7 @@ def _detector(name: str, **options: object) -> Query:
 #: A detector's defaults, or the reference's epochs where these are more; models are fitted on `SAMPLE_ROWS` rows at most, all rows are scored.
 for _name, _options in {
     "COF": {}, "SOD": {}, "CBLOF": {"clusters": 3}, "PCA": {}, "IForest": {}, "LODA": {}, "SUOD": {}, "DIF": {}, "OCSVM": {}, "AE1SVM": {},
-    "AutoEncoder": {}, "VAE": {}, "DeepSVDD": {}, "DASVDD": {"epochs": 100}, "NeuTraLAD": {"epochs": 200}, "DevNet": {},
+    "AutoEncoder": {}, "VAE": {}, "DeepSVDD": {}, "DASVDD": {"epochs": 100}, "NeuTraLAD": {"epochs": 200}, "DevNet": {}, "LUNAR": {}, "ALAD": {}, "SO_GAAL": {}, "MO_GAAL": {},
 }.items():
     QUERIES[f"detector_{_name.lower()}"] = _detector(_name, **_options)
 
@@ -657,6 +713,24 @@ def losses_per_scaler(spark, sf_dir):
     return reports.losses_per_scaler(o.where("o_orderpriority <> '1-URGENT'"), o.where("o_orderpriority = '1-URGENT'"), "o_totalprice")
 
 
+@query("SELECT o_orderpriority AS Model, max(o_totalprice) AS best, (SELECT max(o_totalprice) FROM orders WHERE o_orderpriority = '1-URGENT') AS proposed FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1")
+def best_and_proposed(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "Model")
+    return reports.with_best_proposed(o.where("Model <> '1-URGENT'"), o.where("Model = '1-URGENT'"), "o_totalprice")
+
+
+@query("WITH r AS (SELECT event_type, avg(value) AS mean, stddev_pop(value) AS std FROM events GROUP BY 1) SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS events, sum((abs(value - mean) / CASE WHEN std = 0 THEN 1 ELSE std END > 2)::INT)::BIGINT AS alerts FROM events JOIN r USING (event_type) GROUP BY 1, 2")
+def stream_alerts(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    reference = e.groupBy("event_type").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    source, out = scratch(spark, "stream-in"), scratch(spark, "stream-out")
+    e.write.parquet(source)
+    stream = spark.readStream.schema(e.schema).parquet(source)
+    counted = scoring.windowed_alerts(scoring.score_stream(stream, reference), threshold=2.0)
+    scoring.run_foreach(counted, lambda batch, _: batch.write.mode("overwrite").parquet(out), scratch(spark, "stream-state"), "complete").awaitTermination()
+    return spark.read.parquet(out).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "events", "alerts")
+
+
 @query("WITH r AS (SELECT event_type, avg(value) AS mean, stddev_pop(value) AS std FROM events GROUP BY 1) SELECT event_id, round(abs(value - mean) / CASE WHEN std = 0 THEN 1 ELSE std END, 6) AS score FROM events JOIN r USING (event_type)")
 def stream_scores(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")

@@ -17,7 +17,7 @@ def below_proposed(results: DataFrame, proposed: DataFrame, metric: str, *keys:
     The second case is no measurement. Use best_per_model for anything but comparison with old reports.
     """
     top = proposed.groupBy(*keys).agg(F.max(metric).alias("top"))
-    joined = results.join(F.broadcast(top), list(keys)) if keys else results.crossJoin(F.broadcast(top))
+    joined = results.join(top, list(keys)) if keys else results.crossJoin(F.broadcast(top))
     kept = F.max(F.when(F.col(metric) < F.col("top"), F.col(metric)))
     return joined.groupBy(*keys, "Model").agg(F.coalesce(kept, F.max("top") * 1.05).alias("adjusted"))
 
@@ -31,9 +31,21 @@ def pivot_report(long: DataFrame, column: str, value: str, names: list[str] | No
 def losses_per_scaler(results: DataFrame, proposed: DataFrame, metric: str) -> DataFrame:
     """(scaler, losses): how many models beat the proposed one's best, per scaler."""
     top = proposed.groupBy("scaler").agg(F.max(metric).alias("top"))
-    return results.join(F.broadcast(top), "scaler").groupBy("scaler").agg(F.sum(F.when(F.col(metric) > F.col("top"), 1).otherwise(0)).alias("losses"))
+    return results.join(top, "scaler").groupBy("scaler").agg(F.sum(F.when(F.col(metric) > F.col("top"), 1).otherwise(0)).alias("losses"))
 
 
 def with_summary_first(rows: DataFrame, summary: DataFrame) -> DataFrame:
     """The summary row before the others; `place` is 0 for it and 1 for them."""
     return summary.withColumn("place", F.lit(0)).unionByName(rows.withColumn("place", F.lit(1)))
+
+
+def with_best_proposed(results: DataFrame, proposed: DataFrame, metric: str, *keys: str) -> DataFrame:
+    """Each model's best value beside the proposed model's: `best`, and `proposed`, the horizontal line of a chart."""
+    top = proposed.groupBy(*keys).agg(F.max(metric).alias("proposed"))
+    best = best_per_model(results, metric, *keys)
+    return best.join(top, list(keys)) if keys else best.crossJoin(F.broadcast(top))
+
+
+def in_percent(df: DataFrame, *columns: str) -> DataFrame:
+    """Shares times 100, as older reports state them; null stays null."""
+    return df.withColumns({c: F.col(c) * 100 for c in columns})

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def score_stream(stream: DataFrame, reference: DataFrame, value_col: str = "value", key_col: str = "event_type") -> DataFrame:
     """Add `score`: standard deviations from the key's mean in the (static, small) reference table (key, mean, std)."""
-    joined = stream.join(F.broadcast(reference), key_col, "left")
+    joined = stream.join(reference, key_col, "left")
     spread = F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std"))
     return joined.withColumn("score", F.abs(F.col(value_col) - F.col("mean")) / spread).drop("mean", "std")
 
@@ -26,5 +26,6 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
     return df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_foreach(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    return df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_foreach(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Give each batch to a function of (table, batch number), which must be able to take a batch twice; ends when the input at start is read."""
+    return df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
