@@ -86,7 +86,11 @@ def scale_vectors(df: DataFrame, method: str, fit_on: Column | None = None, feat
     row = stats.agg(F.array_sort(F.collect_list(F.struct("i", "a", "b"))).alias("__s"))
     x = F.col(features_col).cast("array<double>")
     if method == "quantile":
-        scaled = F.transform(x, lambda v, i: quantile_place(v, F.get("__s", i)["a"], quantiles))
+        def counted(v: Column, i: Column) -> Column:
+            below, to = quantile_counts(v, F.get("__s", i)["a"])
+            return F.struct(v.alias("v"), below.alias("below"), to.alias("to"))
+
+        scaled = F.transform(F.transform(x, counted), lambda c, i: quantile_place(c["v"], c["below"], c["to"], F.get("__s", i)["a"], quantiles))
     else:
         spread = lambda i: F.when(F.get("__s", i)["b"] == 0, F.lit(1.0)).otherwise(F.get("__s", i)["b"])
         scaled = F.transform(x, lambda v, i: (v - F.get("__s", i)["a"]) / spread(i))
@@ -98,23 +102,29 @@ def normalize_rows(df: DataFrame, vector_col: str) -> DataFrame:
     return df.withColumn(vector_col, l2_normalize(F.col(vector_col).cast("array<double>")))
 
 
-def quantile_place(x: Column, grid: Column, quantiles: int) -> Column:
-    """Where x lies, 0 to 1, among the ascending `grid` of so many quantiles, linear between them; equal neighbours give the middle of their places."""
-    below = F.size(F.filter(grid, lambda v: v < x))
-    to = F.size(F.filter(grid, lambda v: v <= x))
+def quantile_counts(x: Column, grid: Column) -> tuple[Column, Column]:
+    """How many quantiles of the ascending `grid` are below x, and how many are up to it."""
+    return F.size(F.filter(grid, lambda v: v < x)), F.size(F.filter(grid, lambda v: v <= x))
+
+
+def quantile_place(x: Column, below: Column, to: Column, grid: Column, quantiles: int) -> Column:
+    """Where x lies, 0 to 1, among the `grid` of so many quantiles, linear between them; equal neighbours give the middle of their places."""
     step = 1.0 / (quantiles - 1)
     lower, upper = F.element_at(grid, F.greatest(to, F.lit(1))), F.element_at(grid, F.least(to + 1, F.lit(quantiles)))
     inside = ((to - 1) + F.when(upper > lower, (x - lower) / F.when(upper > lower, upper - lower).otherwise(F.lit(1.0))).otherwise(F.lit(0.0))) * step
     tied = (below + to - 1) / F.lit(2.0) * step
-    place = F.when(x.isNull() | grid.isNull(), F.lit(None).cast("double")).when(to == 0, 0.0).when(below == quantiles, 1.0).when(to > below, tied).otherwise(inside)
-    return F.when(place.isNotNull(), F.least(F.greatest(place, F.lit(0.0)), F.lit(1.0)))
+    place = F.when(to == 0, 0.0).when(below == quantiles, 1.0).when(to > below, tied).otherwise(F.least(F.greatest(inside, F.lit(0.0)), F.lit(1.0)))
+    return F.when(x.isNotNull() & grid.isNotNull(), place)
 
 
 def quantile_transform(df: DataFrame, col: str, quantiles: int = QUANTILES, fit_on: Column | None = None, out_col: str | None = None) -> DataFrame:
     """A column's place, 0 to 1, on its own quantiles, linear between them; see `quantile_place`."""
     x = F.col(col).cast("double")
     q = column_quantiles(_fit(df, fit_on), x, [i / (quantiles - 1) for i in range(quantiles)]).withColumnRenamed("q", "__q")
-    return _beside(df, q).withColumn(out_col or col, quantile_place(x, F.col("__q"), quantiles)).drop("__q")
+    below, to = quantile_counts(x, F.col("__q"))
+    # Both counts are columns of their own, so each is made once a row.
+    out = _beside(df, q).withColumns({"__below": below, "__to": to})
+    return out.withColumn(out_col or col, quantile_place(x, F.col("__below"), F.col("__to"), F.col("__q"), quantiles)).drop("__q", "__below", "__to")
 
 
 def hash_order(id_col: str, seed: int = 42) -> Column:
