@@ -6,6 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from noveltide.llm import chunks, packing
+from noveltide.llm.common import by_bytes
 from noveltide.llm.token_counts import token_counts
 from tests.llm.conftest import long_text
 
@@ -124,3 +125,35 @@ def test_packing_holds_each_id_once(make, byte_level):
             at += r.length
         assert at <= 2048
     assert packing.pack_documents(make(["a"]).limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_rows_alike_in_all_keys_are_packed_a_bounded_number_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_TIMES", 2)
+    rows = [(None, 0, 700, 5, 700)] * 95 + [(k, 0, 100 + k, k, 100 + k) for k in range(40)]
+    pieces = spark.createDataFrame(rows, "id long, start long, length long, ids_crc32 long, doc_tokens long")
+    out = packing.pack(pieces, group_pieces=10).collect()
+    assert sorted((r.id if r.id is not None else -1, r.length) for r in out) == sorted((r[0] if r[0] is not None else -1, r[2]) for r in rows)
+    sequences = {}
+    for r in out:
+        sequences.setdefault(r.sequence_id, []).append(r)
+    for rs in sequences.values():
+        at = 0
+        for r in sorted(rs, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+
+
+def test_batches_are_balanced_by_bytes():
+    sizes = [5, 0, 90, 3, 3, 300, 1, 99, 1]
+    cuts = list(by_bytes(sizes, 100))
+    assert [i for i, _ in cuts][1:] == [j for _, j in cuts][:-1] and cuts[0][0] == 0 and cuts[-1][1] == len(sizes)
+    assert all(sum(sizes[i:j]) <= 100 or j == i + 1 for i, j in cuts) and list(by_bytes([])) == []
+
+
+def test_a_vocabulary_of_another_kind_goes_to_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode, library = chunks.Ids(path), Tokenizer.from_file(path)
+    assert encode.fast is None
+    for t in ("Some words, AND more.", ""):
+        assert encode([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
