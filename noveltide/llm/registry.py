@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noveltide.llm import decontaminate, fingerprint, jaccard_join, license_scan, line_dedup, packing, suffix_dedup, token_counts, toxicity, warc
+from noveltide.llm import conversations, decontaminate, fingerprint, jaccard_join, license_scan, line_dedup, packing, quality, suffix_dedup, token_counts, toxicity, warc, whitening
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_conversations": conversations.op12_conversations,
+    "op13_quality": quality.op13_quality,
 }
-ORACLES = {**warc.ORACLES, **license_scan.ORACLES, **decontaminate.ORACLES, **line_dedup.ORACLES}
+ORACLES = {**warc.ORACLES, **license_scan.ORACLES, **decontaminate.ORACLES, **line_dedup.ORACLES, **conversations.ORACLES}
