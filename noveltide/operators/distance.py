@@ -1,15 +1,16 @@
-"""Nearest neighbours: a block product where one side fits a task, a grid of blocks where it doesn't."""
+"""Nearest neighbours: a block product where one side fits a task, an index by pivots where it doesn't."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noveltide import session
+from noveltide.operators import pivots
 
 #: The most numbers of a reference matrix that are sent to all executors (128 MB of doubles).
 BROADCAST_VALUES = 16_000_000
@@ -17,8 +18,6 @@ BROADCAST_VALUES = 16_000_000
 BLOCK = 1024
 #: The most numbers of the differences that are held at once.
 EXACT_VALUES = 8_000_000
-#: Reference rows per block of the grid.
-GRID_ROWS = 20_000
 
 
 def pairwise_squared(a: np.ndarray, b: np.ndarray, negative: str = "clamp") -> np.ndarray:
@@ -68,57 +67,33 @@ def k_nearest(test: np.ndarray, test_ids: np.ndarray, train: np.ndarray, train_i
     return dist, ids
 
 
-def _frame(ids: np.ndarray, dist: np.ndarray, who: np.ndarray) -> pd.DataFrame:
-    rows = [[{"dist": float(d), "id": int(i)} for d, i in zip(ds, ns, strict=True) if i >= 0] for ds, ns in zip(dist, who, strict=True)]
-    return pd.DataFrame({"row_id": ids, "neighbors": rows})
-
-
-def _matrix(features: pd.Series) -> np.ndarray:
-    return np.array(features.tolist(), dtype="f8").reshape(len(features), -1 if len(features) else 0)
-
-
 def nearest(test: DataFrame, train: DataFrame, k: int = 1, exclude_self: bool = False, broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
-    """The k nearest `train` rows of each `test` row: (row_id, neighbors array<struct<dist, id>>).
+    """The k nearest `train` rows of each `test` row: (row_id, neighbors array<struct<dist, id>>), nearest first, ties by id.
 
-    Both have row_id and features. A train side of up to `broadcast_values`
-    numbers is sent to all executors; a larger one is cut into blocks that every test block
-    meets once, and only k candidates per test row and block are shuffled.
+    Both have row_id, distinct in each, and features without nulls. A train side of up to `broadcast_values`
+    numbers is sent to all executors; a larger one is indexed by pivots, so that a row meets only
+    the blocks that may hold a neighbour.
     """
     spark = test.sparkSession
     session.ship(spark)
     shape = train.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("d")).first()
-    schema = "row_id long, neighbors array<struct<dist: double, id: long>>"
-    if (shape.n or 0) * (shape.d or 0) <= broadcast_values:
-        given = train.select("row_id", F.col("features").cast("array<double>").alias("features")).toArrow()
-        flat = given["features"].combine_chunks()
-        matrix = np.asarray(flat.flatten()).reshape(len(flat), -1 if len(flat) else 0)
-        sent = spark.sparkContext.broadcast((matrix, given["row_id"].to_numpy()))
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            matrix, ids = sent.value
-            for frame in frames:
-                own = frame["row_id"].to_numpy("i8")
-                if len(ids) and len(own):
-                    yield _frame(own, *k_nearest(_matrix(frame["features"]), own, matrix, ids, k, exclude_self))
-                else:
-                    yield pd.DataFrame({"row_id": own, "neighbors": [[] for _ in own]})
-
-        return test.select("row_id", "features").mapInPandas(run, schema)
-
-    blocks = -(-shape.n // GRID_ROWS)
-    side = test.select("row_id", "features", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int").alias("a"))
-    other = train.select("row_id", "features", F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int").alias("b"))
-    other = other.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("a"))
-
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own = left["row_id"].to_numpy("i8")
-        if not len(own) or not len(right):
-            return pd.DataFrame({"row_id": own, "neighbors": [[] for _ in own]})
-        return _frame(own, *k_nearest(_matrix(left["features"]), own, _matrix(right["features"]), right["row_id"].to_numpy("i8"), k, exclude_self))
-
-    found = side.groupBy("a", "b").cogroup(other.groupBy("a", "b")).applyInPandas(cell, schema)
-    merged = found.groupBy("row_id").agg(F.flatten(F.collect_list("neighbors")).alias("all"))
-    return merged.select("row_id", F.slice(F.array_sort("all"), 1, k).alias("neighbors"))
+    if (shape.n or 0) * (shape.d or 0) > broadcast_values:
+        return pivots.search(test, pivots.build(train, k), exclude_self)
+    given = train.select("row_id", F.col("features").cast("array<double>").alias("features")).toArrow()
+    sent = spark.sparkContext.broadcast((pivots.matrix(given["features"]), given["row_id"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reference, ids = sent.value
+        for b in batches:
+            own = b.column("row_id").to_numpy()
+            if len(ids) and len(own):
+                lists = pivots.neighbor_lists(*k_nearest(pivots.matrix(b.column("features")), own, reference, ids, k, exclude_self))
+            else:
+                lists = pivots.neighbor_lists(np.zeros((len(own), 1)), np.full((len(own), 1), -1, "i8"))
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), lists], ["row_id", "neighbors"])
+
+    rows = test.select(F.col("row_id").cast("long").alias("row_id"), F.col("features").cast("array<double>").alias("features"))
+    return rows.mapInArrow(run, pivots.NEIGHBORS)
 
 
 def nearest_distance(test: DataFrame, train: DataFrame, exclude_self: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from noveltide.functions import scalar
-from noveltide.operators import cluster, metrics, nullspace, prep, quantiles, score
+from noveltide.operators import cluster, metrics, nullspace, pivots, prep, quantiles, score
 from noveltide.operators.detectors import DETECTORS, tabular
 from noveltide.operators.distance import nearest, nearest_distance
 from noveltide.plans import experiments, reports
@@ -205,6 +205,13 @@ def three_nearest(spark, sf_dir):
     return nearest(v, normal(v), 3, exclude_self=True).select("row_id", F.inline("neighbors")).select("row_id", "id", r6("dist", "dist"))
 
 
+@query(f"SELECT row_id, id, round(d, 6) AS dist FROM (SELECT a.row_id, b.row_id AS id, list_distance(a.f, b.f) AS d, row_number() OVER (PARTITION BY a.row_id ORDER BY list_distance(a.f, b.f), b.row_id) AS r FROM {_E} a, {_E} b WHERE a.row_id <> b.row_id) WHERE r <= 5")
+def five_nearest_by_pivots(spark, sf_dir):
+    """The same search through the index that tables beyond a broadcast take."""
+    v = vectors(spark, sf_dir)
+    return pivots.search(v, pivots.build(v, 5), exclude_self=True).select("row_id", F.inline("neighbors")).select("row_id", "id", r6("dist", "dist"))
+
+
 _MEANS = f"(SELECT class, list(m ORDER BY i) AS m FROM (SELECT class, i, avg(x) AS m FROM (SELECT class, generate_subscripts(f, 1) AS i, unnest(f) AS x FROM {_E}) GROUP BY class, i) GROUP BY class)"
 
 

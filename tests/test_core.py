@@ -131,7 +131,7 @@ def test_nearest_orders_more_ties_than_candidates_by_id(spark, monkeypatch):
     b[rng.permutation(600)[:300]] = b[0]
     test, train = frame(spark, b[:40]), frame(spark, b)
     d = np.sqrt(((b[:40, None] - b[None]) ** 2).sum(2))
-    monkeypatch.setattr("noveltide.operators.distance.GRID_ROWS", 250)
+    monkeypatch.setattr("noveltide.operators.pivots.MEET_ROWS", 250)
     for limit in (10**9, 0):
         for self_too in (True, False):
             got = {r.row_id: [n.id for n in r.neighbors] for r in nearest(test, train, 3, exclude_self=not self_too, broadcast_values=limit).collect()}
