@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noveltide.operators.detectors import adversarial, learned, nets, tabular
+from noveltide.operators.detectors import adversarial, forests, learned, nets, tabular
 from noveltide.operators.detectors.common import SAMPLE_ROWS, map_scores, matrix
 from noveltide.operators.prep import hash_order
 
@@ -18,9 +18,9 @@ def _transductive(detect: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return lambda test, train, **options: detect(test, **options)
 
 
-def devnet(test: DataFrame, train: DataFrame, label_col: str = "label", **options) -> DataFrame:
-    """The one supervised detector: `train` has labels."""
-    rows = train.select("row_id", "features", F.col(label_col).alias("y")).orderBy(hash_order("row_id"), "row_id").limit(SAMPLE_ROWS).toPandas()
+def devnet(test: DataFrame, train: DataFrame, label_col: str = "label", sample_rows: int = SAMPLE_ROWS, **options) -> DataFrame:
+    """The one supervised detector: `train` has labels, of which the classifier sees `sample_rows` rows."""
+    rows = train.select("row_id", "features", F.col(label_col).alias("y")).orderBy(hash_order("row_id"), "row_id").limit(sample_rows).toPandas()
     return map_scores(test, nets.fit_devnet(matrix(rows["features"]), np.asarray(rows["y"]), **options))
 
 
@@ -34,10 +34,10 @@ DETECTORS: dict[str, Callable[..., DataFrame]] = {
     "SOD": _transductive(tabular.sod),
     "CBLOF": tabular.cblof,
     "PCA": learned.pca,
-    "IForest": learned.isolation_forest,
+    "IForest": forests.isolation_forest,
     "LODA": learned.loda,
     "SUOD": learned.suod,
-    "DIF": learned.deep_isolation_forest,
+    "DIF": forests.deep_isolation_forest,
     "OCSVM": learned.fitted(nets.fit_ocsvm),
     "AE1SVM": learned.fitted(nets.fit_ae1svm),
     "AutoEncoder": learned.fitted(nets.fit_autoencoder),

@@ -1,28 +1,23 @@
-"""Detectors with a fitted model: components, forests, projections and ensembles of them."""
+"""Detectors with a fitted model: components, projections and ensembles."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noveltide import session
 from noveltide.operators.detectors import tabular
-from noveltide.operators.detectors.common import map_scores, sample_matrix
+from noveltide.operators.detectors.common import SAMPLE_ROWS, map_scores, sample_matrix
+from noveltide.operators.detectors.forests import isolation_forest
 from noveltide.operators.nullspace import scatter
+from noveltide.operators.pivots import matrix as matrix_of
 from noveltide.operators.score import min_max_probability
 
-_GAMMA = 0.5772156649015329
-
-
-def path_length(n: np.ndarray | float) -> np.ndarray:
-    """Expected path length of an unsuccessful search among n points."""
-    n = np.asarray(n, "f8")
-    m = np.maximum(n, 3)
-    return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, 2 * (np.log(m - 1) + _GAMMA) - 2 * (m - 1) / m))
-
-
 def pca(test: DataFrame, train: DataFrame, components: int | None = None) -> DataFrame:
     """Distance from the mean in standardised principal axes, each weighted by its inverse share of the variance.
 
@@ -40,124 +35,81 @@ def pca(test: DataFrame, train: DataFrame, components: int | None = None) -> Dat
     return map_scores(test, lambda x: (np.abs(((x - s.mean) / std) @ vectors) / share).sum(1))
 
 
-class Tree:
-    """An isolation tree as arrays: feature (-1 for a leaf), threshold, children, and path length at leaves."""
-
-    def __init__(self, x: np.ndarray, rng: np.random.Generator):
-        limit = int(np.ceil(np.log2(max(len(x), 2))))
-        self.feature, self.threshold, self.left, self.right, self.path = [], [], [], [], []
-        self._grow(x, 0, limit, rng)
-        self.feature, self.left, self.right = (np.array(v) for v in (self.feature, self.left, self.right))
-        self.threshold, self.path = np.array(self.threshold), np.array(self.path)
-
-    def _grow(self, x: np.ndarray, depth: int, limit: int, rng: np.random.Generator) -> int:
-        node = len(self.feature)
-        for v, start in ((self.feature, -1), (self.threshold, 0.0), (self.left, 0), (self.right, 0), (self.path, 0.0)):
-            v.append(start)
-        spread = np.flatnonzero(np.ptp(x, axis=0) > 0) if len(x) > 1 else np.zeros(0, int)
-        if depth >= limit or not len(spread):
-            self.path[node] = depth + float(path_length(len(x)))
-            return node
-        f = rng.choice(spread)
-        t = rng.uniform(x[:, f].min(), x[:, f].max())
-        below = x[:, f] < t
-        self.feature[node], self.threshold[node] = f, t
-        self.left[node] = self._grow(x[below], depth + 1, limit, rng)
-        self.right[node] = self._grow(x[~below], depth + 1, limit, rng)
-        return node
-
-    def walk(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Path length, and the mean distance of the row to the thresholds on its way."""
-        node, away, steps = np.zeros(len(x), int), np.zeros(len(x)), np.zeros(len(x))
-        rows = np.arange(len(x))
-        while True:
-            f = self.feature[node]
-            go = f >= 0
-            if not go.any():
-                return self.path[node], away / np.maximum(steps, 1)
-            gap = x[rows[go], f[go]] - self.threshold[node[go]]
-            away[go] += np.abs(gap)
-            steps[go] += 1
-            node[go] = np.where(gap < 0, self.left[node[go]], self.right[node[go]])
-
-
-def forest(x: np.ndarray, trees: int, sample: int, rng: np.random.Generator) -> list[Tree]:
-    return [Tree(x[rng.choice(len(x), min(sample, len(x)), replace=False)], rng) for _ in range(trees)]
-
-
-def isolation_forest(test: DataFrame, train: DataFrame, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """2 ** (-mean path / expected path); trees are fitted on a bounded sample and sent to all executors."""
-    x = sample_matrix(train, seed=seed)
-    grown = forest(x, trees, sample, np.random.default_rng(seed))
-    expected = float(path_length(min(sample, len(x))))
-    return map_scores(test, lambda v: 2 ** (-np.mean([t.walk(v)[0] for t in grown], 0) / expected))
-
-
-def deep_isolation_forest(test: DataFrame, train: DataFrame, members: int = 50, trees: int = 6, sample: int = 256, hidden: tuple[int, ...] = (500, 100), out: int = 20, seed: int = 42) -> DataFrame:
-    """Isolation forests on random tanh representations; path scores times the mean deviation on the way, averaged over members.
-
-    All members share the weights of one random net and differ by sign-free vectors on
-    inputs and outputs of each layer. Representations are standardised by the training sample, never by the scored batch.
-    """
-    x = sample_matrix(train, seed=seed)
-    rng = np.random.default_rng(seed)
-    sizes = [x.shape[1], *hidden, out]
-    shared = [rng.normal(0, 1, (a, b)) / np.sqrt(a) for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
-    vectors = [[(rng.normal(1, 0.5, a), rng.normal(1, 0.5, b)) for a, b in zip(sizes[:-1], sizes[1:], strict=True)] for _ in range(members)]
-
-    def represent(v: np.ndarray, k: int) -> np.ndarray:
-        for w, (r, s) in zip(shared, vectors[k], strict=True):
-            v = np.tanh(((v * r) @ w) * s)
-        return v
-
-    fitted = []
-    for k in range(members):
-        z = represent(x, k)
-        mean, std = z.mean(0), z.std(0) + 1e-9
-        fitted.append((mean, std, forest(np.tanh((z - mean) / std), trees, sample, rng)))
-    expected = float(path_length(min(sample, len(x))))
-
-    def score(v: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(v))
-        for k, (mean, std, grown) in enumerate(fitted):
-            z = np.tanh((represent(v, k) - mean) / std)
-            walks = [t.walk(z) for t in grown]
-            total += 2 ** (-np.mean([w[0] for w in walks], 0) / expected) * np.mean([w[1] for w in walks], 0)
-        return total / members
-
-    return map_scores(test, score)
+class Loda(NamedTuple):
+    """Sparse random projections as columns, and for each its edges and the shares of all rows in its bins."""
 
+    w: np.ndarray
+    edges: np.ndarray
+    density: np.ndarray
 
-def loda(test: DataFrame, train: DataFrame, cuts: int = 100, bins: int = 10, seed: int = 42) -> DataFrame:
-    """Mean negative log density over histograms of sparse random projections."""
-    x = sample_matrix(train, seed=seed)
-    rng = np.random.default_rng(seed)
-    d = x.shape[1]
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Mean negative log density; outside of the training rows' range the density is 1e-12."""
+        p = x @ self.w
+        total = np.zeros(len(x))
+        for k, edges in enumerate(self.edges):
+            at = bins_of(p[:, k], edges)
+            inside = (p[:, k] >= edges[0]) & (p[:, k] <= edges[-1])
+            total -= np.log(np.where(inside, self.density[k][at], 1e-12))
+        return total / self.w.shape[1]
+
+
+def bins_of(p: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The bin of each value; the last one holds its upper edge."""
+    return np.clip(np.searchsorted(edges, p, side="right") - 1, 0, len(edges) - 2)
+
+
+def fit_loda(train: DataFrame, cuts: int = 100, bins: int = 10, seed: int = 42) -> Loda:
+    """Histograms of all rows: a pass for each projection's least and greatest value, one for the bins' counts, both summed per task."""
+    session.ship(train.sparkSession)
+    head = train.select("features").first()
+    if head is None:
+        raise ValueError("no rows to fit on")
+    rng, d = np.random.default_rng(seed), len(head[0])
     w = np.zeros((d, cuts))
     for k in range(cuts):
         own = rng.choice(d, max(1, int(np.sqrt(d))), replace=False)
         w[own, k] = rng.normal(size=len(own))
-    z = x @ w
-    edges = [np.histogram_bin_edges(z[:, k], bins) for k in range(cuts)]
-    density = [(np.histogram(z[:, k], edges[k])[0] + 1e-12) / len(z) for k in range(cuts)]
+    rows = train.select(F.col("features").cast("array<double>").alias("x"))
+
+    def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high, n = np.full(cuts, np.inf), np.full(cuts, -np.inf), 0
+        for b in batches:
+            if b.num_rows:
+                p = matrix_of(b.column(0)) @ w
+                low, high, n = np.minimum(low, p.min(0)), np.maximum(high, p.max(0)), n + len(p)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(cuts), pa.int32()), pa.array(low), pa.array(high)], ["k", "low", "high"])
+
+    ends = rows.mapInArrow(extremes, "k int, low double, high double").groupBy("k").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("k").collect()
+    edges = np.array([np.histogram_bin_edges(np.array([r.low, r.high]), bins) for r in ends])
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, shift = np.zeros(cuts * bins, "i8"), np.arange(cuts) * bins
+        for b in batches:
+            if b.num_rows:
+                p = matrix_of(b.column(0)) @ w
+                at = np.stack([bins_of(p[:, k], edges[k]) for k in range(cuts)], 1) + shift
+                total += np.bincount(at.ravel(), minlength=cuts * bins)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(cuts * bins), pa.int32()), pa.array(total)], ["i", "n"])
+
+    held = np.zeros(cuts * bins)
+    for r in rows.mapInArrow(counts, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # a row a bin
+        held[r.i] = r.n
+    held = held.reshape(cuts, bins)
+    return Loda(w, edges, (held + 1e-12) / held.sum(1, keepdims=True))
 
-    def score(v: np.ndarray) -> np.ndarray:
-        p = v @ w
-        total = np.zeros(len(v))
-        for k in range(cuts):
-            at = np.clip(np.searchsorted(edges[k], p[:, k], side="right") - 1, 0, bins - 1)
-            inside = (p[:, k] >= edges[k][0]) & (p[:, k] <= edges[k][-1])
-            total -= np.log(np.where(inside, density[k][at], 1e-12))
-        return total / cuts
 
-    return map_scores(test, score)
+def loda(test: DataFrame, train: DataFrame, cuts: int = 100, bins: int = 10, seed: int = 42) -> DataFrame:
+    """(row_id, score): mean negative log density over histograms of sparse random projections of all training rows."""
+    return map_scores(test, fit_loda(train, cuts, bins, seed).score)
 
 
 def fitted(fit: Callable[..., Callable[[np.ndarray], np.ndarray]]) -> Callable[..., DataFrame]:
-    """A detector (test, train, **options) from a function that fits a bounded sample and returns a scorer."""
+    """A detector (test, train, sample_rows=..., **options) from a function that fits a bounded sample and returns a scorer."""
 
-    def detect(test: DataFrame, train: DataFrame, **options) -> DataFrame:
-        return map_scores(test, fit(sample_matrix(train), **options))
+    def detect(test: DataFrame, train: DataFrame, sample_rows: int = SAMPLE_ROWS, **options) -> DataFrame:
+        return map_scores(test, fit(sample_matrix(train, sample_rows), **options))
 
     return detect
 

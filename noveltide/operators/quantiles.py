@@ -27,9 +27,11 @@ def exact_quantiles(long: DataFrame, key: str, value: str, qs: list[float]) -> D
     totals = ranged.groupBy("k", "part").agg(F.sum("n").alias("pn"))
     before = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("k", "part", "pn", F.coalesce(F.sum("pn").over(before), F.lit(0)).alias("below"), F.sum("pn").over(Window.partitionBy("k")).alias("total"))
-    place = lambda q: F.lit(float(q)) * (F.col("total") - 1)
-    wanted = [F.struct(F.lit(i).alias("i"), F.lit(h).alias("high"), (F.ceil(place(q)) if h else F.floor(place(q))).cast("long").alias("r"), (place(q) - F.floor(place(q))).alias("share")) for i, q in enumerate(qs) for h in (0, 1)]
-    wanted = totals.select("k", "part", "pn", "below", F.inline(F.array(*wanted))).where("r >= below and r < below + pn").drop("pn")
+    # A row for each quantile, made from one array of numbers, and its two ranks as columns of that row.
+    wanted = totals.select("k", "part", "pn", "below", "total", F.posexplode(F.array(*(F.lit(float(q)) for q in qs))).alias("i", "q"))
+    wanted = wanted.withColumn("place", F.col("q") * (F.col("total") - 1)).withColumn("share", F.col("place") - F.floor("place"))
+    wanted = wanted.withColumn("high", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("r", F.when(F.col("high") == 1, F.ceil("place")).otherwise(F.floor("place")))
+    wanted = wanted.where("r >= below and r < below + pn").select("k", "part", "below", "i", "high", "r", "share")
     inside = ranged.join(wanted.select("k", "part", "below").distinct(), ["k", "part"])
     upto = Window.partitionBy("k", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("upto", F.col("below") + F.sum("n").over(upto)).drop("below")

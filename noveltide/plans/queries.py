@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from noveltide.functions import scalar
-from noveltide.operators import cluster, metrics, nullspace, pivots, prep, quantiles, score
+from noveltide.operators import cluster, metrics, nullspace, optimize, pivots, prep, quantiles, score
 from noveltide.operators.detectors import DETECTORS, tabular
 from noveltide.operators.distance import nearest, nearest_distance
 from noveltide.plans import experiments, reports
@@ -560,6 +560,22 @@ def knn_grid_search(spark, sf_dir):
     return score.knn_grid_search(v, "y", list(experiments.NEIGHBORS), F.col("row_id") % 5).select("k", r6("mean_f1", "mean_f1"))
 
 
+# ---- optimisation
+
+
+@query()
+def training_losses(spark, sf_dir):
+    """The summed log loss of each epoch and batch of a logistic regression over all vectors."""
+    return optimize.fit_logistic(vectors(spark, sf_dir), "label", batches=8).table(read(spark, sf_dir, "embeddings"))
+
+
+@query()
+def logistic_score(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    out = optimize.logistic_scores(v, optimize.fit_logistic(v, "label"))
+    return out.select("row_id", r6("score", "p"), score.predict(F.col("score"), "ge", 0.5).alias("predicted"))
+
+
 # ---- thresholds and metrics
 
 _ROC = f"(SELECT s, tp, fp, sum(tp) OVER (ORDER BY s DESC) AS ctp, sum(fp) OVER (ORDER BY s DESC) AS cfp, sum(tp) OVER () AS p, sum(fp) OVER () AS n FROM (SELECT score AS s, sum(label) AS tp, sum(1 - label) AS fp FROM {_S} GROUP BY score))"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from noveltide.functions import scalar
 from noveltide.operators import cluster, metrics, nullspace, prep, score
-from noveltide.operators.detectors import DETECTORS, get_detector, learned, nets
+from noveltide.operators.detectors import DETECTORS, forests, get_detector, learned, nets
 from noveltide.operators.distance import k_nearest, nearest
 from noveltide.plans import reports
 
@@ -104,7 +104,7 @@ def test_scalar_edges(spark):
     assert value(spark, scalar.nan_to(F.lit(nan))) == 1.0 and value(spark, scalar.nan_to(F.lit(None).cast("double"))) == 1.0
     assert np.isnan(value(spark, scalar.clamp_high(F.lit(nan), 1.0))) and value(spark, scalar.clamp_high(F.lit(3.0), 1.0)) == 1.0
     assert [value(spark, scalar.average_path_length(F.lit(n))) for n in (0, 1, 2)] == [0, 0, 1]
-    assert value(spark, scalar.average_path_length(F.lit(256))) == pytest.approx(float(learned.path_length(256)))
+    assert value(spark, scalar.average_path_length(F.lit(256))) == pytest.approx(float(forests.path_length(256)))
     assert value(spark, scalar.gelu(F.lit(0.0))) == 0 and value(spark, scalar.relu(F.lit(-2.0))) == 0
     assert value(spark, scalar.contrast_normalize(F.array(*map(F.lit, (1.0, 1.0))))) == [0, 0]
 
