@@ -18,10 +18,22 @@ from noveltide.operators.nullspace import scatter
 from noveltide.operators.pivots import matrix as matrix_of
 from noveltide.operators.score import min_max_probability
 
-def pca(test: DataFrame, train: DataFrame, components: int | None = None) -> DataFrame:
-    """Distance from the mean in standardised principal axes, each weighted by its inverse share of the variance.
+class Pca(NamedTuple):
+    """Mean and deviation of the features, principal axes as columns, and each axis's share of the variance."""
+
+    mean: np.ndarray
+    std: np.ndarray
+    vectors: np.ndarray
+    share: np.ndarray
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Distance from the mean along the axes, each weighted by its inverse share."""
+        return (np.abs(((x - self.mean) / self.std) @ self.vectors) / self.share).sum(1)
+
+
+def fit_pca(train: DataFrame, components: int | None = None) -> Pca:
+    """The scatter comes from distributed sums over all rows; only the d x d eigenproblem is on the driver.
 
-    The scatter comes from distributed sums over all rows; only the d x d eigenproblem is on the driver.
     Axes along which the training rows don't vary are left out, as nothing tells their directions apart.
     """
     s = scatter(train.withColumn("cluster", F.lit(0)))
@@ -31,8 +43,12 @@ def pca(test: DataFrame, train: DataFrame, components: int | None = None) -> Dat
     keep = np.argsort(-values)[: components or len(values)]
     keep = keep[values[keep] > 1e-9 * max(values.max(), 0)]
     values, vectors = values[keep], vectors[:, keep]
-    share = values / values.sum()
-    return map_scores(test, lambda x: (np.abs(((x - s.mean) / std) @ vectors) / share).sum(1))
+    return Pca(s.mean, std, vectors, values / values.sum())
+
+
+def pca(test: DataFrame, train: DataFrame, components: int | None = None) -> DataFrame:
+    """(row_id, score): distance from the mean in standardised principal axes, each weighted by its inverse share of the variance."""
+    return map_scores(test, fit_pca(train, components).score)
 
 
 class Loda(NamedTuple):

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noveltide import session
+from noveltide.operators.pivots import matrix
 
-#: The driver solves a d x d problem; wider tables must be reduced first.
+#: The driver solves a d x d problem; wider tables take `wide_directions`.
 MOST_FEATURES = 4096
+#: Directions of wide tables that are looked for at most.
+MOST_RANK = 1024
 #: Numbers of a matrix that are added up together; larger matrices are summed in blocks of rows.
 BLOCK_VALUES = 1 << 17
 
@@ -39,6 +43,11 @@ class Projection(NamedTuple):
     null_size: int
     least_clusters: int
 
+    @property
+    def kind(self) -> str:
+        """What the directions are: "null", or "regularised" where no direction is null."""
+        return "null" if self.null_size and self.w.shape[1] == self.null_size else "regularised"
+
 
 def scatter(df: DataFrame, class_col: str = "cluster", features_col: str = "features") -> Scatter:
     """Sums of x, x x' and 1 per class, made per task and added up per class and block of matrix rows; the driver gets one row per class and block.
@@ -53,7 +62,7 @@ def scatter(df: DataFrame, class_col: str = "cluster", features_col: str = "feat
     shift = np.array(head[0], "f8")
     d = len(shift)
     if d > MOST_FEATURES:
-        raise ValueError(f"{d} features; at most {MOST_FEATURES}")
+        raise ValueError(f"{d} features; at most {MOST_FEATURES}: use wide_directions")
     step = max(1, BLOCK_VALUES // d)
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,19 +120,20 @@ def least_clusters(n: int, d: int) -> int:
     return max(1, n - d + 1)
 
 
-def null_directions(s: Scatter, rtol: float = 1e-10) -> Projection:
+def null_directions(s: Scatter, rtol: float = 1e-10, atol: float = 0.0) -> Projection:
     """Directions in which classes collapse to points but the whole doesn't: null space of the within scatter, inside the total's range.
 
     Where rows are fewer than features the null space of the within scatter alone
     holds directions in which nothing varies; these are left out. `rtol` is relative to the largest eigenvalue, so the
-    result doesn't depend on units. Without any direction w has no columns.
+    result doesn't depend on units; `atol` is an absolute bound on the singular values of the centred rows, as older
+    reports have it (1e-8), below which a direction is null as well. Without any direction w has no columns.
     """
     values, vectors = np.linalg.eigh(s.total)
     q = vectors[:, values > rtol * max(values[-1], 0)] if values[-1] > 0 else vectors[:, :0]
     inner = q.T @ s.within @ q
     own, basis = np.linalg.eigh(inner) if inner.size else (np.zeros(0), np.zeros((0, 0)))
     top = max(values[-1], 0)
-    null = own <= rtol * top
+    null = (own <= rtol * top) | (np.sqrt(np.maximum(own, 0) * s.n) <= atol)
     rank_within = int((~null).sum())
     w = q @ basis[:, null]
     return Projection(w, rank_within, q.shape[1], int(null.sum()), least_clusters(s.n, len(s.mean)))
@@ -137,7 +147,7 @@ def regularized_directions(s: Scatter, penalty: float = 1e-4) -> Projection:
     if inner.size:
         own, basis = np.linalg.eigh(inner)
         few = few @ basis[:, np.argsort(-own)]
-    return Projection(few, int((values > 2 * penalty).sum()), 0, few.shape[1], 1)
+    return Projection(few, int((values > 2 * penalty).sum()), 0, 0, 1)
 
 
 def directions(s: Scatter, rtol: float = 1e-10, penalty: float = 1e-4) -> Projection:
@@ -151,6 +161,144 @@ def directions(s: Scatter, rtol: float = 1e-10, penalty: float = 1e-4) -> Projec
     return p if p.w.shape[1] else p._replace(w=regularized_directions(s, penalty).w)
 
 
+def _added(partial: DataFrame) -> dict[tuple[int, int], tuple[int, np.ndarray]]:
+    """{(key, block): (rows, sum)} of the tasks' sums (k, b, n, v); a task that adds up holds one block at a time."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, total = None, 0, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["k", "b", "n", "v"])
+        for batch in batches:
+            for k, b, own, v in zip(*batch.columns, strict=True):
+                if (k.as_py(), b.as_py()) != key:
+                    if key is not None:
+                        yield row()
+                    key, n, total = (k.as_py(), b.as_py()), 0, 0.0
+                n, total = n + own.as_py(), total + np.frombuffer(v.as_buffer())
+        if key is not None:
+            yield row()
+
+    rows = partial.repartition("k", "b").sortWithinPartitions("k", "b").mapInArrow(add, _SUMS).toLocalIterator()
+    return {(r.k, r.b): (r.n, np.frombuffer(r.v)) for r in rows}
+
+
+_SUMS = "k long, b int, n long, v binary"
+
+
+def _sum_rows(sums: dict[int, tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """A task's sums, in blocks of `BLOCK_VALUES` numbers."""
+    for k, (n, s) in sums.items():
+        flat = s.ravel()
+        for b in range(0, max(1, -(-flat.size // BLOCK_VALUES))):
+            part = flat[b * BLOCK_VALUES : (b + 1) * BLOCK_VALUES]
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([b], pa.int32()), pa.array([n], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["k", "b", "n", "v"])
+
+
+def _matrix_of(found: dict[tuple[int, int], tuple[int, np.ndarray]], key: int, shape: tuple[int, ...]) -> np.ndarray:
+    return np.concatenate([found[k][1] for k in sorted(found) if k[0] == key]).reshape(shape)
+
+
+def tall_qr(rows: DataFrame, of: Callable[[np.ndarray, np.ndarray], dict[int, np.ndarray]], width: int, groups: int = 32) -> dict[int, np.ndarray]:
+    """The R factors (width x width, their signs aside) of tall matrices whose rows `of(classes, features)` makes from batches, by key.
+
+    Each task keeps one factor a key and folds batch after batch into it; factors are then folded in groups, and the groups' in one task. No product of the matrix with
+    itself is made, so small singular values keep their digits.
+    """
+
+    def fold(r: np.ndarray | None, more: np.ndarray) -> np.ndarray:
+        both = more if r is None else np.vstack([r, more])
+        return np.linalg.qr(both, mode="r") if len(both) > width else both
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for a in range(0, b.num_rows, 2048):
+                part = b.slice(a, 2048)
+                for k, m in of(part.column("c").to_numpy(), matrix(part.column("x"))).items():
+                    held[k] = fold(held.get(k), m)
+        for k, r in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([0], pa.int32()), pa.array([len(r)], pa.int64()), pa.array([r.tobytes()], pa.binary())], ["k", "b", "n", "v"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, v in zip(batch.column("k").to_pylist(), batch.column("v"), strict=True):
+                held[k] = fold(held.get(k), np.frombuffer(v.as_buffer()).reshape(-1, width))
+        for k, r in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([0], pa.int32()), pa.array([len(r)], pa.int64()), pa.array([r.tobytes()], pa.binary())], ["k", "b", "n", "v"])
+
+    found = rows.mapInArrow(partial, _SUMS).repartition(groups).mapInArrow(merge, _SUMS).repartition(1).mapInArrow(merge, _SUMS).collect()
+    return {r.k: np.frombuffer(r.v).reshape(-1, width) for r in found}
+
+
+def wide_directions(df: DataFrame, rank: int = MOST_RANK, class_col: str = "cluster", features_col: str = "features", rtol: float = 1e-10, passes: int = 2, seed: int = 42) -> Projection:
+    """Null directions of tables of any width, without a matrix of features by features: those inside the `rank` directions of the largest scatter.
+
+    A randomised range finder (products with a row's own random vector, then `passes` turns towards the larger
+    scatter) gives up to `rank` directions that hold the rows' spread, all of it where there are at most that many; rows projected on them
+    go through a QR reduction tree, once about the mean and once about their class's mean, and the null directions come from these factors' singular values. The
+    driver holds features by `rank` numbers, and one mean a class. Equal to `null_directions` where the total's rank is at most `rank`.
+    """
+    spark = df.sparkSession
+    session.ship(spark)
+    rows = df.select(F.col(class_col).cast("long").alias("c"), F.col("row_id").cast("long").alias("i"), F.col(features_col).cast("array<double>").alias("x"))
+    head = rows.select("x").first()
+    if head is None:
+        raise ValueError("no rows")
+    d, shift = len(head[0]), np.array(head[0], "f8")
+
+    def class_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[int, np.ndarray]] = {}
+        for b in batches:
+            x, c = matrix(b.column("x")), b.column("c").to_numpy()
+            for k in np.unique(c):
+                n, s = sums.get(int(k), (0, np.zeros(d)))
+                sums[int(k)] = n + int((c == k).sum()), s + (x[c == k] - shift).sum(0)
+        yield from _sum_rows(sums)
+
+    found = _added(rows.mapInArrow(class_sums, _SUMS))
+    classes = sorted({k for k, _ in found})
+    sizes = np.array([found[k, 0][0] for k in classes])
+    sums = np.array([_matrix_of(found, k, (d,)) for k in classes])
+    n = int(sizes.sum())
+    mean, means = sums.sum(0) / n + shift, sums / sizes[:, None] + shift
+    width = max(1, min(rank, n - 1, d))
+    sent = spark.sparkContext.broadcast((mean, means, np.array(classes)))
+
+    def spread(q: np.ndarray | None) -> np.ndarray:
+        """Sum of centred row times its random vector, or times its own projection on q; orthonormal columns."""
+        basis = None if q is None else spark.sparkContext.broadcast(q)
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, count = np.zeros((d, width)), 0
+            for b in batches:
+                if b.num_rows:
+                    x = matrix(b.column("x")) - sent.value[0]
+                    g = np.array([np.random.default_rng([seed, i & 0xFFFFFFFF, i >> 32 & 0xFFFFFFFF]).standard_normal(width) for i in b.column("i").to_pylist()]) if basis is None else x @ basis.value
+                    total, count = total + x.T @ g, count + len(x)
+            if count:
+                yield from _sum_rows({0: (count, total)})
+
+        return np.linalg.qr(_matrix_of(_added(rows.mapInArrow(partial, _SUMS)), 0, (d, width)))[0]
+
+    q = spread(None)
+    for _ in range(passes):
+        q = spread(q)
+    basis = spark.sparkContext.broadcast(q)
+
+    def both(c: np.ndarray, x: np.ndarray) -> dict[int, np.ndarray]:
+        mean, means, known = sent.value
+        return {0: (x - mean) @ basis.value, 1: (x - means[np.searchsorted(known, c)]) @ basis.value}
+
+    r = tall_qr(rows.select("c", "x"), both, width)
+    _, s, vt = np.linalg.svd(r[0])
+    s = np.r_[s, np.zeros(len(vt) - len(s))]
+    kept = vt[(s**2 > rtol * s[0] ** 2) & (s > 0)].T
+    _, s2, v2 = np.linalg.svd(r[1] @ kept) if kept.shape[1] else (None, np.zeros(0), np.zeros((0, 0)))
+    s2 = np.r_[s2, np.zeros(len(v2) - len(s2))]
+    null = s2**2 <= rtol * s[0] ** 2
+    return Projection(q @ kept @ v2[null].T, int((~null).sum()), kept.shape[1], int(null.sum()), least_clusters(n, d))
+
+
 def principal_directions(s: Scatter, k: int) -> np.ndarray:
     """The k directions of the largest total scatter as columns; each one's largest entry is positive."""
     values, vectors = np.linalg.eigh(s.total)

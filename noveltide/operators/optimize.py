@@ -33,10 +33,10 @@ class Fit(NamedTuple):
         return df.sparkSession.createDataFrame(self.losses, "epoch int, batch int, rows long, loss double")
 
 
-def sums(rows: DataFrame, objective: Objective, parameters: np.ndarray, groups: int = GROUPS) -> tuple[dict[int, tuple[int, float]], np.ndarray]:
+def sums(rows: DataFrame, objective: Objective, parameters: np.ndarray, groups: int = 0) -> tuple[dict[int, tuple[int, float]], np.ndarray]:
     """({batch: (rows, loss)}, gradient) over all of `rows` (batch, y, x).
 
-    A task sends a row a batch and one gradient; these are added up in `groups` groups before the driver sees them.
+    A task sends a row a batch and one gradient; with `groups` these are added up in so many groups before the driver sees them.
     """
     sent = rows.sparkSession.sparkContext.broadcast(parameters)
 
@@ -67,7 +67,10 @@ def sums(rows: DataFrame, objective: Objective, parameters: np.ndarray, groups:
             yield _sums(held, gradient)
 
     schema = "batch int, n long, loss double, g binary"
-    found = rows.mapInArrow(partial, schema).repartition(groups).mapInArrow(merge, schema).collect()
+    found = rows.mapInArrow(partial, schema)
+    if groups:
+        found = found.repartition(groups).mapInArrow(merge, schema)
+    found = found.collect()
     total, gradient = {}, np.zeros(len(parameters))
     for r in sorted(found, key=lambda r: (r.batch, r.n, r.loss)):
         n, s = total.get(r.batch, (0, 0.0))
@@ -94,8 +97,10 @@ def minimise(rows: DataFrame, objective: Objective, start: np.ndarray, penalty:
     damped = np.ones(len(start))
     damped[len(start) - free :] = 0.0
 
+    groups = GROUPS if data.rdd.getNumPartitions() > 2 * GROUPS else 0
+
     def evaluate(w: np.ndarray) -> tuple[dict[int, tuple[int, float]], float, np.ndarray]:
-        held, g = sums(data, objective, w)
+        held, g = sums(data, objective, w, groups)
         n = sum(c for c, _ in held.values())
         return held, sum(s for _, s in held.values()) / n + penalty / 2 * float((damped * w * w).sum()), g / n + penalty * damped * w
 

@@ -127,7 +127,7 @@ def quantile_transform(df: DataFrame, col: str, quantiles: int = QUANTILES, fit_
     return out.withColumn(out_col or col, quantile_place(x, F.col("__below"), F.col("__to"), F.col("__q"), quantiles)).drop("__q", "__below", "__to")
 
 
-def hash_order(id_col: str, seed: int = 42) -> Column:
+def hash_order(id_col: str, seed: int | str = 42) -> Column:
     """An order of rows that depends on seed and id alone and is the same in any engine with md5."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
 

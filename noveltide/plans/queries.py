@@ -12,10 +12,11 @@ from pyspark.sql.window import Window
 from noveltide.functions import scalar
 from noveltide.operators import cluster, metrics, nullspace, optimize, pivots, prep, quantiles, score
 from noveltide.operators.detectors import DETECTORS, tabular
+from noveltide.operators.detectors.estimator import Detector, DetectorModel
 from noveltide.operators.distance import nearest, nearest_distance
 from noveltide.plans import experiments, reports
 from noveltide.session import shared_dir
-from noveltide.sources import tables
+from noveltide.sources import results, tables
 from noveltide.streaming import scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,9 +113,30 @@ def existence_guard(spark, sf_dir):
     return gone.crossJoin(tables.read_if_exists(spark, f"{sf_dir}/region.parquet", schema).agg(F.count("*").alias("present_rows")))
 
 
-@query("SELECT s_suppkey, s_suppkey < 368 AS is_test FROM supplier")
+@query("SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) <= CAST(floor((SELECT count(*) FROM supplier) * 0.1) AS BIGINT) AS is_test FROM supplier")
 def speech_source_split(spark, sf_dir):
-    return tables.speech_split(read(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey")
+    """The first tenth of a CSV source of several files, by place."""
+    path = scratch(spark, "speech")
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey").repartitionByRange(4, "s_suppkey").sortWithinPartitions("s_suppkey")
+    rows.write.option("header", True).csv(path)
+    return tables.head_split(spark.read.option("header", True).schema("s_suppkey long").csv(path)).select("s_suppkey", "is_test")
+
+
+@query("SELECT event_type, user_id, value, n FROM (SELECT event_type, user_id, round(sum(value), 2) AS value, count(*) AS n FROM events GROUP BY 1, 2), (SELECT unnest([1, 2]) AS run)")
+def csv_results(spark, sf_dir):
+    """Two runs appended to one CSV table of a single header, read back."""
+    path = scratch(spark, "results")
+    rows = read(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.round(F.sum("value"), 2).alias("value"), F.count("*").alias("n"))
+    for _ in range(2):
+        results.append_csv(rows, path)
+    return results.read_results(spark, path, rows.schema)
+
+
+@query("""WITH r AS (SELECT epoch, event_id, value, row_number() OVER (PARTITION BY epoch ORDER BY md5('42:' || epoch || ':' || event_id), event_id) - 1 AS r FROM events, (SELECT unnest([0, 1]) AS epoch))
+SELECT epoch::INT AS epoch, (r // 256)::INT AS batch, count(*) AS n, sum(event_id)::BIGINT AS ids, round(sum(value), 4) AS total FROM r WHERE r // 256 < (SELECT count(*) FROM events) // 256 GROUP BY 1, 2""")
+def minibatch_epochs(spark, sf_dir):
+    out = tables.minibatches(read(spark, sf_dir, "events").select("event_id", "value"), "event_id", 256, 2, drop_last=True)
+    return out.groupBy("epoch", "batch").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY toxic DESC, doc_id) <= CAST(floor((SELECT count(*) FROM labels) * 0.4) AS BIGINT) AS is_test FROM labels")
@@ -341,9 +363,12 @@ def vector_functions(spark, sf_dir):
     return v.select("row_id", r6(F.aggregate("features", F.lit(0.0), lambda s, x: s + F.abs(x)), "l1_of_unit"), r6(scalar.mean_squared_error(F.col("raw"), zero), "mean_square"))
 
 
-@query("SELECT i::INT AS i, round(i / 9.0, 6) AS x FROM range(10) t(i)")
+@query("SELECT event_type, i::INT AS i, round(lo + (hi - lo) * (i / 9.0::DOUBLE), 6) AS x FROM (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1), range(10) t(i)")
 def linspace(spark, sf_dir):
-    return spark.range(1).select(F.posexplode(scalar.linspace(0, 1, 10)).alias("i", "x")).select("i", r6("x", "x"))
+    """Ten evenly spaced thresholds over each event type's range of values."""
+    ends = read(spark, sf_dir, "events").groupBy("event_type").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    out = ends.select("event_type", "lo", "hi", F.posexplode(scalar.linspace(0, 1, 10)).alias("i", "u"))
+    return out.select("event_type", "i", r6(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("u"), "x"))
 
 
 @query(f"SELECT row_id, round(list_sum(list_transform(f, lambda x: abs(x - m) / s)) / len(f), 6) AS mean_abs FROM (SELECT row_id, f, m, list_sum(list_transform(f, lambda x: abs(x - m))) / len(f) AS s FROM (SELECT row_id, f, list_sum(f) / len(f) AS m FROM {_E}))")
@@ -427,7 +452,7 @@ def _directed(train: DataFrame, clusters: int) -> tuple[DataFrame, nullspace.Pro
     return train, nullspace.directions(nullspace.scatter(train))
 
 
-#: Beyond so many clusters, projections take the regularised directions.
+#: Tables that would need more clusters than this for a null direction take the regularised ones; results name the kind in `directions`.
 MOST_CLUSTERS = 500
 
 
@@ -435,12 +460,21 @@ MOST_CLUSTERS = 500
 def nullspace_score(spark, sf_dir):
     v = vectors(spark, sf_dir)
     train, p = _directed(normal(v), 10)
-    return score.nn_ratio(nullspace.project(v, p.w), nullspace.project(train, p.w)).select("row_id", r6("p_anomaly", "p_anomaly"))
+    out = score.nn_ratio(nullspace.project(v, p.w), nullspace.project(train, p.w))
+    return out.select("row_id", r6("p_anomaly", "p_anomaly"), F.lit(p.kind).alias("directions"))
 
 
 @query()
 def nullspace_diagnostics(spark, sf_dir):
     _, p = _directed(normal(vectors(spark, sf_dir)), 10)
+    return spark.createDataFrame([(p.rank_within, p.rank_total, p.null_size, p.least_clusters, p.kind)], "rank_within int, rank_total int, null_size int, least_clusters int, directions string")
+
+
+@query()
+def wide_nullspace(spark, sf_dir):
+    """Diagnostics of the null directions that a search without a matrix of features by features finds, by the vectors' classes cut in eight."""
+    v = vectors(spark, sf_dir).withColumn("cluster", F.col("class") * 8 + F.col("row_id") % 8)
+    p = nullspace.wide_directions(v)
     return spark.createDataFrame([(p.rank_within, p.rank_total, p.null_size, p.least_clusters)], "rank_within int, rank_total int, null_size int, least_clusters int")
 
 
@@ -712,6 +746,14 @@ for _name, _options in {
     QUERIES[f"detector_{_name.lower()}"] = _detector(_name, **_options)
 
 
+@query()
+def saved_detector(spark, sf_dir):
+    """Components fitted on the normal vectors, saved, loaded, and applied to all."""
+    v, path = vectors(spark, sf_dir), scratch(spark, "model")
+    Detector(algorithm="PCA", contamination=0.05).fit(normal(v)).save(path)
+    return DetectorModel.load(path).transform(v).select("row_id", r6("score", "score"), r6("p_anomaly", "p_anomaly"), "prediction")
+
+
 @query(f"SELECT row_id, round(avg(s), 6) AS score FROM (SELECT row_id, (nn - min(nn) OVER ()) / (max(nn) OVER () - min(nn) OVER () + 1e-10) AS s FROM {_NN} UNION ALL SELECT row_id, (q - min(q) OVER ()) / (max(q) OVER () - min(q) OVER () + 1e-10) FROM (SELECT row_id, nn * nn AS q FROM {_NN})) GROUP BY 1")
 def ensemble_average(spark, sf_dir):
     from noveltide.operators.detectors.learned import average

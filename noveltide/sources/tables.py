@@ -7,8 +7,11 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
-from noveltide.operators.prep import head_share_split
+from noveltide import session
+from noveltide.operators.prep import hash_order, head_share_split
+from noveltide.operators.quantiles import global_rank
 
 # Columns of result tables.
 NOISE_RESULT = "scaler string, nCluster int, noise_percentage int, AUCROC double, AUCPR double, Accuracy double, MCC double, `F1 Score` double, Precision double, Recall double, `Time Train` double, `Time Test` double"
@@ -55,9 +58,41 @@ def overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").option("header", True).format(fmt).save(path)
 
 
-def speech_split(df: DataFrame, id_col: str, rows: int = 3625 + 61, share: float = 0.1) -> DataFrame:
-    """`is_test` for the first int(rows * share) rows by id."""
-    return df.withColumn("is_test", F.col(id_col) < int(rows * share))
+def numbered(df: DataFrame, name: str = "position") -> DataFrame:
+    """Add the row's place, from 0, in the files that `df` was read from: by file name, by place of the block in the file, by place in the block.
+
+    `df` comes straight from a file source. Rows are written once with their block and their number in the task, so that
+    places hold whatever happens to executors; then a row a block gives the rows before it. No rows are sorted.
+    """
+    file, block, at = "__file", "__block", "__at"
+    rows = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.file_block_start").alias(block), F.monotonically_increasing_id().alias(at))
+    rows = session.materialize(rows, "numbered")
+    blocks = rows.groupBy(file, block).agg(F.count("*").alias("__n"), F.min(at).alias("__first"))
+    before = Window.orderBy(file, block).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = session.materialize(blocks.select(file, block, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")), "blocks")
+    return rows.join(blocks, [file, block]).withColumn(name, F.col("__before") + F.col(at) - F.col("__first")).drop(file, block, at, "__first", "__before")
+
+
+def head_split(df: DataFrame, share: float = 0.1) -> DataFrame:
+    """Add `is_test`: the first int(rows * share) rows in the order of the files."""
+    rows = numbered(df, "__position")
+    return rows.withColumn("is_test", F.col("__position") < int(rows.count() * share)).drop("__position")
+
+
+def minibatches(df: DataFrame, id_col: str, size: int, epochs: int, drop_last: bool = False, seed: int = 42) -> DataFrame:
+    """Each epoch's rows in an order of its own: `epoch` and `batch` from 0, `size` rows a batch; `drop_last` leaves out a short last one.
+
+    Orders are those of md5 of seed, epoch and id, so they are the same in any run and engine. Ranks are taken in two
+    levels, ranges of the order first; nothing is gathered. To train on one batch after the other, filter by both columns or write partitioned by them.
+    """
+    out = None
+    for epoch in range(epochs):
+        ranked = global_rank(df.withColumn("epoch", F.lit(epoch)), [hash_order(id_col, f"{seed}:{epoch}"), F.col(id_col)], "__rank")
+        ranked = ranked.withColumn("batch", F.floor((F.col("__rank") - 1) / size).cast("int")).drop("__rank")
+        if drop_last:
+            ranked = ranked.where(F.col("batch") < df.count() // size)
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
 
 
 def sorted_label_split(df: DataFrame, id_col: str, label_col: str, share: float = 0.4) -> DataFrame:

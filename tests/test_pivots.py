@@ -42,7 +42,7 @@ def clustered(n, centers, d, seed=1):
 def test_clustered_rows_meet_under_a_tenth_of_the_blocks(spark):
     x = clustered(4000, 40, 8)
     df = frame(spark, x)
-    index = pivots.build(df, 3, pivots=100, block_rows=100)
+    index = pivots.build(df, 3, pivots=100, block_rows=10)
     first, second = pivots.visits(df, index, True)
     home = pivots._visits(df, index, False)
     met = second.count() + home.count()
@@ -85,7 +85,7 @@ def test_bounds_hold(spark):
     """No lower bound is over a row's true distance."""
     x = clustered(1500, 30, 6, seed=5)
     df = frame(spark, x)
-    index = pivots.build(df, 1, pivots=40, block_rows=30)
+    index = pivots.build(df, 1, pivots=40, block_rows=5)
     rows = index.rows.collect()
     least = index.bounds.below(x[:100])[1]
     for r in rows:
