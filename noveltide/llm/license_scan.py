@@ -19,6 +19,8 @@ SIMILARITY = 0.8
 BAND_BITS = 7
 #: The most band values of templates that the scan holds as literals; with more, positions are joined with them.
 MOST_KEYS = 50_000
+#: Tables made from the templates of at most so many rows are sent to all executors in these joins, so that no text moves; larger ones are left to Spark.
+MOST_SENT = 500_000
 #: Lengths of templates are rounded up to classes that grow by this factor, so any set of templates has a few dozens.
 GROWTH = 1.25
 
@@ -49,6 +51,11 @@ def _band(x: Column) -> Column:
     return F.shiftrightunsigned(x, 64 - BAND_BITS)
 
 
+def _sent(table: DataFrame, rows: int) -> DataFrame:
+    """The template side of a join, sent to all executors where its rows are few enough."""
+    return F.broadcast(table) if rows <= MOST_SENT else table
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", most_keys: int = MOST_KEYS) -> DataFrame:
     """The license templates in each row's text.
 
@@ -91,7 +98,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, simila
         at = F.when(F.size("h") > 0, F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: is_one_of(F.get("h", i), keys)))
         base = barrier(base, at=at).where(F.size("at") > 0)
     else:
-        known = spark.createDataFrame([(v,) for v in keys], "v long")
+        known = _sent(spark.createDataFrame([(v,) for v in keys], "v long"), len(keys))
         at = base.select("id", "th", F.posexplode("h").alias("i", "v")).join(known, "v").groupBy(F.col("id").alias("aid"), F.col("th").alias("ath")).agg(F.collect_set("i").alias("at"))
         base = base.join(at.hint("merge"), base["id"].eqNullSafe(at["aid"]) & (base["th"] == at["ath"])).drop("aid", "ath")
 
@@ -112,10 +119,15 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, simila
     base = materialize(base.select("id", "th", "w", "hits"), "licensed-texts")
 
     band_rows = spark.createDataFrame(sorted(bands), "s int, n int, v long, license string")
-    named = base.select("id", "th", F.inline("hits")).join(band_rows, ["s", "n", "v"]).select(F.col("id").alias("cid"), F.col("th").alias("cth"), F.col("license").alias("clicense")).distinct()
+    named = base.select("id", "th", F.inline("hits")).join(_sent(band_rows, len(bands)), ["s", "n", "v"]).select(F.col("id").alias("cid"), F.col("th").alias("cth"), F.col("license").alias("clicense")).distinct()
     gram_rows = spark.createDataFrame(grams, "license string, gram string, g int, m int, s int, n int")
-    each = F.transform(F.sequence(F.lit(1), F.size("w") - SHINGLE + 1), lambda i: F.array_join(F.slice("w", i, SHINGLE), " "))
-    found = base.select("id", "th", F.posexplode(each).alias("i", "gram")).join(gram_rows, "gram").select("id", "th", "license", "i", "g", "m", "s", "n")
+    # Only shingles whose hash a template has become rows, and these meet the templates' words where they are.
+    gram_keys = sorted({x for r in given for x in r.h})
+    places = F.sequence(F.lit(0), F.size("h") - 1)
+    here = F.filter(places, lambda i: is_one_of(F.get("h", i), gram_keys)) if len(gram_keys) <= most_keys else places
+    each = F.transform(here, lambda i: F.struct(i.alias("i"), F.array_join(F.slice("w", i + 1, SHINGLE), " ").alias("gram")))
+    found = barrier(base.select("id", "th", "w"), h=shingle_hashes(F.col("w"), SHINGLE)).select("id", "th", F.inline(each))
+    found = found.join(_sent(gram_rows, len(grams)), "gram").select("id", "th", "license", "i", "g", "m", "s", "n")
     found = found.join(named, found["id"].eqNullSafe(named["cid"]) & (found["th"] == named["cth"]) & (found["license"] == named["clicense"]), "left_semi")
     first = F.greatest(F.lit(0), F.ceil((F.col("i") + SHINGLE - F.col("n")) / F.col("s")).cast("int"))
     windows = found.select("id", "th", "license", "i", "g", "m", F.explode(F.sequence(first, F.floor(F.col("i") / F.col("s")).cast("int"))).alias("window"))

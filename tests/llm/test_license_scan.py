@@ -101,3 +101,23 @@ def test_query_equals_sql(spark, sf):
     want = sorted(con.execute("SELECT doc_id, license, containment, first_word, n_windows FROM (" + license_scan.ORACLES["op2_license_scan"] + ")").fetchall())
     got = sorted(tuple(r) for r in license_scan.op2_license_scan(spark, sf).select("doc_id", "license", "containment", "first_word", "n_windows").collect())
     assert got == want
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_no_join_moves_or_sends_the_texts(spark, make, most):
+    """However large the table of texts: templates are sent, shingles of texts aren't dealt by their words."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = license_scan.scan_licenses(make(TEXTS), most_keys=most)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {(r.doc_id, r.license): (pytest.approx(r.containment), r.first_word, r.n_windows) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin [gram" in plan and "hashpartitioning(gram" not in plan and "BuildLeft" not in plan
+    assert got == brute(TEXTS, license_scan.TEMPLATES)
+
+
+def test_clashing_columns_are_ignored(spark, make):
+    docs = make([MIT]).withColumnsRenamed({"h": "gram", "id": "license", "w": "at", "th": "hits"})
+    assert [(r.doc_id, r.license) for r in license_scan.scan_licenses(docs).collect()] == sorted((0, k) for _, k in brute([MIT], license_scan.TEMPLATES))
