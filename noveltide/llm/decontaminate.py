@@ -13,6 +13,8 @@ from noveltide.session import materialize
 WINDOW = 13
 #: The most (window, item) pairs that are sent to all executors; with more, a shuffle join finds the windows.
 BROADCAST_PAIRS = 50_000
+#: The most hashes of windows that are sent to all executors then, to tell before any shuffle which document windows may be hits.
+BROADCAST_HASHES = 2_000_000
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -25,12 +27,13 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str =
     return items.select("item", "n", F.explode(F.array_distinct(grams)).alias("gram")).distinct()
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_pairs: int = BROADCAST_PAIRS, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """Contamination per row of `docs`: id, th (xxhash64 of the text), n_words, covered (the hit words' positions from 1), items (as strings, sorted).
 
     Up to `broadcast_pairs` windows the scan looks every document window's hash
     up in a set that all executors hold and compares the words of hits, all
-    within the row; with more windows, hashes of all windows are joined.
+    within the row; with more windows, up to `broadcast_hashes` hashes are sent to all executors and pick the document windows that
+    are joined with the items' words, and with more hashes still, both sides of that join are dealt by hash.
     Texts are read once; what is found is written without them and then given its items.
     A null text has no words; items without words have no windows. Repeated rows have a row each.
     """
@@ -58,12 +61,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_co
     else:
         sizes = [r.n for r in grams.select("n").distinct().collect()]
         keyed = grams.select("n", "gram", F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
-        # One scan for all lengths; Spark sends the windows to all executors or deals both sides, by their size.
+        keyed = materialize(keyed, "windows")
+        hashes = keyed.select("n", "h").distinct()
+        hashes = F.broadcast(hashes) if hashes.count() <= broadcast_hashes else hashes
+        # One scan for all lengths. Windows whose hash no item has go where they're read, unless there are too many hashes to send.
         placed = F.array().cast("array<struct<n:int,i:int,h:bigint>>")
         for n in sizes:
             base = barrier(base, **{f"h{n}": shingle_hashes(w, n)})
             placed = F.concat(placed, _at(F.col(f"h{n}"), n))
-        hits = base.select("id", "th", F.inline(placed)).join(keyed, ["n", "h"]).select("id", "th", "i", "n", "gram")
+        hits = base.select("id", "th", F.inline(placed)).join(hashes, ["n", "h"], "left_semi").join(keyed, ["n", "h"]).select("id", "th", "i", "n", "gram")
         hits = hits.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("i", "n", "gram"))).alias("at"))
         hits = hits.select(F.col("id").alias("hid"), F.col("th").alias("hth"), "at").hint("merge")
         base = base.join(hits, base["id"].eqNullSafe(hits["hid"]) & (base["th"] == hits["hth"]), "left")
