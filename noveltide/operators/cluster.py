@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -9,15 +11,20 @@ from pyspark.sql import functions as F
 
 from noveltide.operators.distance import nearest
 
+#: Runs of K-means at a time; each is a series of small Spark jobs.
+PARALLEL = 4
+
 
 def kmeans(df: DataFrame, k: int, seeds: int = 10, seed: int = 42, features_col: str = "features") -> DataFrame:
-    """Add `cluster`: the run of the lowest cost among `seeds` runs. k is no more than the number of distinct points."""
+    """Add `cluster`: the run of the lowest cost among `seeds` runs, several of which go on at a time. k is no more than the number of distinct points."""
     vectors = df.withColumn("__v", array_to_vector(F.col(features_col).cast("array<double>"))).cache()
     try:
-        k = max(1, min(k, df.select(features_col).distinct().limit(k).count()))
+        k = max(1, min(k, df.select(F.xxhash64(features_col).alias("h")).distinct().limit(k).count()))
         if k == 1:
             return df.withColumn("cluster", F.lit(0))
-        models = [KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="cluster").fit(vectors) for i in range(seeds)]
+        fit = lambda i: KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="cluster").fit(vectors)
+        with ThreadPoolExecutor(min(seeds, PARALLEL)) as pool:
+            models = list(pool.map(fit, range(seeds)))
         best = min(models, key=lambda m: m.summary.trainingCost)
     finally:
         vectors.unpersist()

@@ -4,17 +4,25 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noveltide.operators import cluster, metrics, nullspace, prep, score
 from noveltide.operators.detectors import DETECTORS
+from noveltide.sources import results as results_csv
+from noveltide.sources import tables
 
-# Scalers of the experiments, percentages of anomalies among the training rows, numbers of neighbours.
+# Scalers of the experiments, percentages of anomalies among the training rows, numbers of neighbours, numbers of clusters.
 SCALERS = ("minmax", "normalizer", "quantile", "robust", "standard")
 NOISE = (0, 1, 3, 5)
 NEIGHBORS = (1, 3, 5, 7, 9, 11)
+CLUSTER_COUNTS = range(1, 311, 3)
+
+#: Tables that would need more clusters than this for a null direction take the regularised ones; results name the kind in `directions`.
+MOST_CLUSTERS = 500
 
 METRICS = "AUCROC double, AUCPR double, Accuracy double, MCC double, `F1 Score` double, Precision double, Recall double, `Time Train` double, `Time Test` double"
 
@@ -39,23 +47,36 @@ def _split(v: DataFrame, scaler: str, noise: int) -> tuple[DataFrame, DataFrame]
     return train.select("row_id", "features", F.col("train_label").alias("label")), v.where("is_test").select("row_id", "features", "label")
 
 
-def nullspace_experiment(v: DataFrame, scaler: str, noise: int, clusters: int, seeds: int = 10) -> tuple:
-    """One cell: pseudo-labels by K-means, projecting directions, nearest-neighbour ratio, and its metrics and times."""
+def _clusters(train: DataFrame, clusters: int | None) -> int:
+    """The given number, or as many as a null direction takes, ten at least; where that is over `MOST_CLUSTERS`, ten."""
+    if clusters is not None:
+        return clusters
+    n, d = train.agg(F.count("*"), F.max(F.size("features"))).first()
+    least = nullspace.least_clusters(n, d)
+    return max(10, least) if least <= MOST_CLUSTERS else 10
+
+
+def nullspace_experiment(v: DataFrame, scaler: str, noise: int, clusters: int | None = None, seeds: int = 10, name_directions: bool = False) -> tuple:
+    """One cell: pseudo-labels by K-means, projecting directions, nearest-neighbour ratio, and its metrics and times.
+
+    Without `clusters` there are as many as a null direction takes; with `name_directions` the last value tells which kind the directions are.
+    """
     train, test = _split(v, scaler, noise)
     train, test = train.cache(), test.cache()
     try:
         train.count(), test.count()
         start = time.time()
+        clusters = _clusters(train, clusters)
         labelled = cluster.kmeans(train, clusters, seeds=seeds)
-        w = nullspace.directions(nullspace.scatter(labelled)).w
+        p = nullspace.directions(nullspace.scatter(labelled))
         fitted = time.time()
-        scores = score.nn_ratio(nullspace.project(test, w), nullspace.project(train, w))
+        scores = score.nn_ratio(nullspace.project(test, p.w), nullspace.project(train, p.w))
         scored = scores.select("row_id", F.col("p_anomaly").alias("score")).join(test.select("row_id", "label"), "row_id").cache()
         scored.count()
         ended = time.time()
         row = _row(scored)
         scored.unpersist()
-        return scaler, clusters, noise, *row, fitted - start, ended - fitted
+        return scaler, clusters, noise, *row, fitted - start, ended - fitted, *([p.kind] if name_directions else [])
     finally:
         train.unpersist()
         test.unpersist()
@@ -64,11 +85,16 @@ def nullspace_experiment(v: DataFrame, scaler: str, noise: int, clusters: int, s
 def knn_experiment(v: DataFrame, scaler: str, noise: int, clusters: int = 2, folds: int = 5, seeds: int = 10) -> tuple:
     """One cell: K-means pseudo-labels, a nearest-neighbour classifier tuned on them by cross-validated F1, compared with the true labels.
 
+    The smallest cluster is taken for the anomalies (of several, the one of the least row id), so results don't depend on how K-means numbers its clusters.
     "Time Train" is the clustering's, "Time Test" that of tuning and prediction.
     """
     train, test = _split(v, scaler, noise)
+    train, test = train.cache(), test.cache()
+    train.count(), test.count()
     start = time.time()
-    labelled = cluster.kmeans(train, clusters, seeds=seeds).withColumn("y", (F.col("cluster") == 1).cast("int")).cache()
+    labelled = cluster.kmeans(train, clusters, seeds=seeds)
+    few = labelled.groupBy("cluster").agg(F.count("*").alias("n"), F.min("row_id").alias("first")).orderBy("n", "first").first()
+    labelled = labelled.withColumn("y", (F.col("cluster") == (few.cluster if few else 0)).cast("int")).cache()
     try:
         labelled.count()
         fitted = time.time()
@@ -79,38 +105,100 @@ def knn_experiment(v: DataFrame, scaler: str, noise: int, clusters: int = 2, fol
         row = _row(scored, "predicted")
         return scaler, clusters, noise, *row, fitted - start, time.time() - fitted
     finally:
-        labelled.unpersist()
+        for df in (labelled, train, test):
+            df.unpersist()
 
 
 def detector_experiment(v: DataFrame, name: str, scaler: str, noise: int, **options: object) -> tuple:
-    """One cell of the comparison: a detector by name, classes by the median of the test scores."""
+    """One cell of the comparison: a detector by name, classes by the median of the test scores. Times hold neither scaling nor splitting."""
     train, test = _split(v, scaler, noise)
-    start = time.time()
-    scores = DETECTORS[name](test, train, **options).select("row_id", "score")
-    fitted = time.time()
-    scored = score.predict_above_median(scores.join(test.select("row_id", "label"), "row_id")).cache()
-    scored.count()
-    ended = time.time()
-    row = _row(scored, "predicted")
-    scored.unpersist()
-    return name, scaler, noise, *row, fitted - start, ended - fitted
+    train, test = train.cache(), test.cache()
+    try:
+        train.count(), test.count()
+        start = time.time()
+        scores = DETECTORS[name](test, train, **options).select("row_id", "score")
+        fitted = time.time()
+        scored = score.predict_above_median(scores.join(test.select("row_id", "label"), "row_id")).cache()
+        scored.count()
+        ended = time.time()
+        row = _row(scored, "predicted")
+        scored.unpersist()
+        return name, scaler, noise, *row, fitted - start, ended - fitted
+    finally:
+        train.unpersist()
+        test.unpersist()
 
 
-def results(v: DataFrame, cells: Iterable[tuple[Callable[..., tuple], tuple]], keys: str) -> DataFrame:
-    """A table of results: a row per cell, in the order given. A cell is a function of this module and its arguments after the table."""
-    rows = [tuple(x if x is None or isinstance(x, (str, int)) else float(x) for x in f(v, *args)) for f, args in cells]
-    return v.sparkSession.createDataFrame(rows, f"{keys}, {METRICS}")
+Cell = tuple[Callable[..., tuple], tuple]
 
 
-def auc_by_clusters(v: DataFrame, counts: Iterable[int], scaler: str = "minmax", seeds: int = 3) -> DataFrame:
-    """(clusters, null_size, rank_within, auc_roc) for each number of clusters."""
+def _plain(row: tuple) -> tuple:
+    return tuple(x if x is None or isinstance(x, (str, int)) else float(x) for x in row)
+
+
+def results(v: DataFrame, cells: Iterable[Cell], keys: str, more: str = "", workers: int = 4) -> DataFrame:
+    """A table of results: a row per cell, in the order given; `workers` cells run at a time. A cell is a function of this module and its arguments after the table."""
+    v = v.cache()
+    try:
+        with ThreadPoolExecutor(workers) as pool:
+            rows = list(pool.map(lambda c: _plain(c[0](v, *c[1])), cells))
+    finally:
+        v.unpersist()
+    return v.sparkSession.createDataFrame(rows, f"{keys}, {METRICS}{more}")
+
+
+def study(v: DataFrame, cells: Iterable[Cell], path: str, keys: str, more: str = "", workers: int = 4) -> tuple[DataFrame, list[tuple[tuple, str]]]:
+    """Run the cells that the CSV table at `path` doesn't hold yet: (all results so far, [(a failed cell's arguments, its error)]).
+
+    Each cell's row is appended as soon as it is there, so a study that was stopped goes on where it was; a
+    cell that fails is reported, and the others go on. The table's key columns, in the order of `keys`, are the first of a
+    cell's arguments; a cell is known by as many of its arguments as there are key columns.
+    """
+    spark, schema = v.sparkSession, f"{keys}, {METRICS}{more}"
+    names = [k.split()[0] for k in keys.split(",")]
+    known = set()
+    if tables.path_exists(spark, path):
+        known = {tuple(r) for r in results_csv.read_results(spark, path, schema).select(*names).collect()}  # a row a cell
+    v, failed, lock = v.cache(), [], Lock()
+
+    def run(cell: Cell) -> None:
+        f, args = cell
+        try:
+            row = _plain(f(v, *args))
+            with lock:
+                results_csv.append_csv(spark.createDataFrame([row], schema).coalesce(1), path)
+        except Exception as e:  # the other cells go on
+            failed.append((args, f"{type(e).__name__}: {e}"))
+
+    try:
+        with ThreadPoolExecutor(workers) as pool:
+            list(pool.map(run, [c for c in cells if tuple(c[1][: len(names)]) not in known]))
+    finally:
+        v.unpersist()
+    done = results_csv.read_results(spark, path, schema) if tables.path_exists(spark, path) else spark.createDataFrame([], schema)
+    return done, failed
+
+
+def auc_by_clusters(v: DataFrame, counts: Iterable[int], scaler: str = "minmax", seeds: int = 10) -> DataFrame:
+    """(clusters, null_size, rank_within, auc_roc) for each number of clusters; from as many as there are training rows on, each row is its own."""
     train, test = _split(v, scaler, 0)
-    train = train.cache()
+    train, test = train.cache(), test.cache()
     rows = []
-    for k in counts:
-        p = nullspace.directions(nullspace.scatter(cluster.kmeans(train, k, seeds=seeds)))
-        scores = score.nn_ratio(nullspace.project(test, p.w), nullspace.project(train, p.w))
-        scored = scores.select("row_id", F.col("p_anomaly").alias("score")).join(test.select("row_id", "label"), "row_id")
-        rows.append((int(k), p.null_size, p.rank_within, metrics.ranking_metrics(scored).first().auc_roc))
-    train.unpersist()
+    try:
+        n = train.count()
+
+        def one(k: int) -> tuple:
+            p = nullspace.directions(nullspace.scatter(cluster.kmeans(train, k, seeds=seeds)))
+            scores = score.nn_ratio(nullspace.project(test, p.w), nullspace.project(train, p.w)) if p.w.shape[1] else test.select("row_id", F.lit(1.0).alias("p_anomaly"))
+            scored = scores.select("row_id", F.col("p_anomaly").alias("score")).join(test.select("row_id", "label"), "row_id")
+            return p.null_size, p.rank_within, metrics.ranking_metrics(scored).first().auc_roc
+
+        counts = list(counts)
+        different = sorted({min(k, n) for k in counts})
+        with ThreadPoolExecutor(4) as pool:
+            found = dict(zip(different, pool.map(one, different), strict=True))
+        rows = [(int(k), *found[min(k, n)]) for k in counts]
+    finally:
+        train.unpersist()
+        test.unpersist()
     return v.sparkSession.createDataFrame(rows, "clusters int, null_size int, rank_within int, auc_roc double")

@@ -436,7 +436,7 @@ def lloyd_step(spark, sf_dir):
 
 @query()
 def kmeans_clusters(spark, sf_dir):
-    return cluster.kmeans(vectors(spark, sf_dir), 10, seeds=3).select("row_id", "cluster")
+    return cluster.kmeans(vectors(spark, sf_dir), 10).select("row_id", "cluster")
 
 
 @query()
@@ -448,14 +448,10 @@ def _directed(train: DataFrame, clusters: int) -> tuple[DataFrame, nullspace.Pro
     """Pseudo-labels and directions: as many clusters as a null direction needs where that is few enough, else the regularised directions."""
     n, d = train.agg(F.count("*"), F.max(F.size("features"))).first()
     least = nullspace.least_clusters(n, d)
-    train = cluster.kmeans(train, max(clusters, least) if least <= MOST_CLUSTERS else clusters, seeds=3)
+    train = cluster.kmeans(train, max(clusters, least) if least <= experiments.MOST_CLUSTERS else clusters)
     return train, nullspace.directions(nullspace.scatter(train))
 
 
-#: Tables that would need more clusters than this for a null direction take the regularised ones; results name the kind in `directions`.
-MOST_CLUSTERS = 500
-
-
 @query()
 def nullspace_score(spark, sf_dir):
     v = vectors(spark, sf_dir)
@@ -488,7 +484,7 @@ def regularized_projection_score(spark, sf_dir):
 
 @query()
 def cluster_count_sweep(spark, sf_dir):
-    return experiments.auc_by_clusters(vectors(spark, sf_dir), (2, 5, 10, 20))
+    return experiments.auc_by_clusters(vectors(spark, sf_dir), experiments.CLUSTER_COUNTS[::10])
 
 
 @query()
@@ -501,13 +497,13 @@ def principal_components(spark, sf_dir):
 
 @query()
 def rows_by_cluster(spark, sf_dir):
-    return cluster.kmeans(vectors(spark, sf_dir), 10, seeds=1).select("row_id", "cluster").orderBy("cluster", "row_id")
+    return cluster.kmeans(vectors(spark, sf_dir), 10).select("row_id", "cluster").orderBy("cluster", "row_id")
 
 
 @query()
 def nullspace_experiment(spark, sf_dir):
-    cells = [(experiments.nullspace_experiment, (scaler, noise, 10, 3)) for scaler in experiments.SCALERS for noise in (0, 5)]
-    return experiments.results(vectors(spark, sf_dir), cells, "scaler string, nCluster int, noise_percentage int")
+    cells = [(experiments.nullspace_experiment, (scaler, noise, None, 10, True)) for scaler in experiments.SCALERS for noise in (0, 5)]
+    return experiments.results(vectors(spark, sf_dir), cells, "scaler string, nCluster int, noise_percentage int", ", directions string")
 
 
 @query()
@@ -518,8 +514,15 @@ def knn_experiment(spark, sf_dir):
 
 @query()
 def detector_experiment(spark, sf_dir):
+    """Detectors as a study that is stopped halfway and goes on where it was."""
     cells = [(experiments.detector_experiment, (name, "minmax", noise)) for name in ("KNN", "IForest", "PCA") for noise in (0, 5)]
-    return experiments.results(vectors(spark, sf_dir), cells, "Model string, scaled string, noise_percentage int")
+    path = scratch(spark, "study")
+    rows = None
+    for part in (cells[: len(cells) // 2], cells):
+        rows, failed = experiments.study(vectors(spark, sf_dir), part, path, "Model string, scaled string, noise_percentage int")
+        if failed:
+            raise RuntimeError(f"failed cells: {failed}")
+    return rows
 
 
 # ---- scores
