@@ -152,13 +152,57 @@ def cof(df: DataFrame, k: int = 20) -> DataFrame:
     return ac.join(means, "row_id").select("row_id", (F.col("ac") / (F.col("m") + 1e-10)).alias("score"))
 
 
+def _shared(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """(row_id, other, n): how many ids the lists of both rows have in common."""
+    own, others = lists.select("row_id", "ids"), lists.select(F.col("row_id").alias("other"), F.col("ids").alias("theirs"))
+    return pairs.join(own, "row_id").join(others, "other").select("row_id", "other", F.size(F.array_intersect("ids", "theirs")).alias("n"))
+
+
+def _first(pairs: DataFrame, top: int) -> DataFrame:
+    w = Window.partitionBy("row_id").orderBy(F.desc("n"), "other")
+    return pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).drop("r")
+
+
+def most_shared(near: DataFrame, top: int) -> DataFrame:
+    """(row_id, other, n): for each row the `top` others that share most of its list, ties by id; `near` is (row_id, nid), each id once a row.
+
+    Ids are ordered by how many lists hold them, rarest first. Rows that share t ids share one of the first ones, all but
+    t - 1, so the pairs of these prefixes hold all that share t or more; hubs come last and are in no prefix. t falls
+    from half of a list to 2, and a row that has `top` others drops out, as nobody left shares more. What's missing then shares one
+    id, of which the least rows of each inverted list, twice `top` and one, are enough. Lists of hubs are so never met with themselves; only
+    rows whose lists hold several hubs and hardly any other id in common meet at t = 2.
+    """
+    often = near.groupBy("nid").agg(F.count("*").alias("often"))
+    lists = near.join(often, "nid").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("often", "nid"))).alias("all"))
+    lists = session.materialize(lists.select("row_id", F.transform("all", lambda s: s["nid"]).alias("ids")), "neighbor-lists")
+    longest = lists.agg(F.max(F.size("ids"))).first()[0] or 0
+    open_, done, found = lists.select("row_id"), None, None
+    t = max(2, longest // 2)
+    while True:
+        prefix = lists.select("row_id", F.explode(F.slice("ids", 1, F.greatest(F.size("ids") - (t - 1), F.lit(0)))).alias("nid"))
+        others = prefix.withColumnRenamed("row_id", "other")
+        pairs = prefix.join(open_, "row_id", "left_semi").join(others, "nid").where("row_id <> other").select("row_id", "other").distinct()
+        found = session.materialize(_first(_shared(pairs, lists).where(F.col("n") >= t), top), "most-shared")
+        full = found.groupBy("row_id").agg(F.count("*").alias("c")).where(F.col("c") >= top).select("row_id")
+        kept = found.join(full, "row_id", "left_semi")
+        done = kept if done is None else done.unionByName(kept)
+        open_ = session.materialize(open_.join(full, "row_id", "left_anti"), "open-rows")
+        if t == 2 or open_.isEmpty():
+            break
+        t = max(2, t // 2)
+    least = lists.select("row_id", F.explode("ids").alias("nid"))
+    for keys in (["nid", F.pmod(F.xxhash64("row_id"), F.lit(64))], ["nid"]):
+        least = least.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("row_id"))).where(F.col("r") <= 2 * top + 1).drop("r")
+    rest = lists.join(open_, "row_id", "left_semi").select("row_id", F.explode("ids").alias("nid")).join(least.withColumnRenamed("row_id", "other"), "nid").where("row_id <> other")
+    rest = rest.select("row_id", "other").unionByName(found.join(open_, "row_id", "left_semi").select("row_id", "other")).distinct()
+    return done.unionByName(_first(_shared(rest, lists), top))
+
+
 def sod(df: DataFrame, k: int = 20, reference: int = 10, alpha: float = 0.8) -> DataFrame:
     """Subspace outlier degree: the distance to the mean of the rows sharing most neighbours, in the features where these vary little."""
     session.ship(df.sparkSession)
     near = nearest(df, df, k, exclude_self=True).select("row_id", F.explode("neighbors.id").alias("nid"))
-    shared = near.join(near.select(F.col("row_id").alias("other"), "nid"), "nid").where("row_id <> other").groupBy("row_id", "other").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("row_id").orderBy(F.desc("n"), "other")
-    best = shared.withColumn("r", F.row_number().over(w)).where(F.col("r") <= reference)
+    best = most_shared(session.materialize(near, "neighbors"), reference)
     feats = df.select(F.col("row_id").alias("other"), F.col("features").cast("array<double>").alias("f"))
     sets = best.join(feats, "other").groupBy("row_id").agg(F.collect_list("f").alias("refs"))
     rows = df.select("row_id", F.col("features").cast("array<double>").alias("features")).join(sets, "row_id", "left")
