@@ -16,6 +16,7 @@ from noveltide.operators.prep import hash_order
 
 #: The most pivots; they and their distances from each other go to all executors.
 MOST_PIVOTS = 2048
+LEAST_PIVOTS = 16
 #: Rings of a cell, at quantiles of the distance from its pivot.
 RINGS = 16
 #: Rows of a block. Tables of over MOST_BLOCKS times as many have larger blocks, so that the blocks' bounds fit in a broadcast.
@@ -23,7 +24,7 @@ BLOCK_ROWS, MOST_BLOCKS = 4096, 100_000
 #: Test rows that meet a block in one task.
 MEET_ROWS = 20_000
 #: Bounds worked out at once.
-BOUND_VALUES = 4_000_000
+BOUND_VALUES = 500_000
 #: Salts of vectors that many rows share.
 SALTS = 64
 
@@ -121,7 +122,7 @@ def build(train: DataFrame, k: int, pivots: int | None = None, block_rows: int =
     """Index `train` (row_id, features) for searches of up to k rows besides oneself.
 
     Rows with null or non-finite entries are nobody's neighbours and left out. Pivots are the rows first in hash
-    order, about the square root of the rows. Each row goes to its nearest pivot's cell, to a ring of
+    order, as many as it takes for cells of about a block: a row that visits a block is sent there, so blocks aren't small. Each row goes to its nearest pivot's cell, to a ring of
     distances from it, and, where a ring holds more than `block_rows`, to a part by hash.
     """
     spark = train.sparkSession
@@ -132,7 +133,7 @@ def build(train: DataFrame, k: int, pivots: int | None = None, block_rows: int =
     n = rows.count()
     if not n:
         return Index(rows.select(F.lit(0).alias("block"), "row_id", "features"), Bounds(np.zeros((0, 0)), np.zeros((0, 0)), *(np.zeros(0, "i8") for _ in range(4))), k)
-    count = pivots or min(MOST_PIVOTS, int(np.ceil(np.sqrt(n))))
+    count = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, -(-n // block_rows)))
     points = np.unique(matrix(rows.orderBy(hash_order("row_id"), "row_id").limit(count).select("features").toArrow()["features"]), axis=0)
     block_rows = max(block_rows, -(-n // MOST_BLOCKS))
     sent = spark.sparkContext.broadcast(points)
