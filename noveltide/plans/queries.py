@@ -122,21 +122,21 @@ def speech_source_split(spark, sf_dir):
     return tables.head_split(spark.read.option("header", True).schema("s_suppkey long").csv(path)).select("s_suppkey", "is_test")
 
 
-@query("SELECT event_type, user_id, value, n FROM (SELECT event_type, user_id, round(sum(value), 2) AS value, count(*) AS n FROM events GROUP BY 1, 2), (SELECT unnest([1, 2]) AS run)")
+@query("SELECT conv_id, n, chars, mean FROM (SELECT conv_id, count(*) AS n, sum(length(text))::BIGINT AS chars, round(avg(turn), 6) AS mean FROM conversations GROUP BY 1), (SELECT unnest([1, 2]) AS run)")
 def csv_results(spark, sf_dir):
     """Two runs appended to one CSV table of a single header, read back."""
     path = scratch(spark, "results")
-    rows = read(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.round(F.sum("value"), 2).alias("value"), F.count("*").alias("n"))
+    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"), r6(F.avg("turn"), "mean"))
     for _ in range(2):
         results.append_csv(rows, path)
     return results.read_results(spark, path, rows.schema)
 
 
-@query("""WITH r AS (SELECT epoch, event_id, value, row_number() OVER (PARTITION BY epoch ORDER BY md5('42:' || epoch || ':' || event_id), event_id) - 1 AS r FROM events, (SELECT unnest([0, 1]) AS epoch))
-SELECT epoch::INT AS epoch, (r // 256)::INT AS batch, count(*) AS n, sum(event_id)::BIGINT AS ids, round(sum(value), 4) AS total FROM r WHERE r // 256 < (SELECT count(*) FROM events) // 256 GROUP BY 1, 2""")
+@query("""WITH r AS (SELECT epoch, vec_id, label, row_number() OVER (PARTITION BY epoch ORDER BY md5('42:' || epoch || ':' || vec_id), vec_id) - 1 AS r FROM embeddings, (SELECT unnest([0, 1]) AS epoch))
+SELECT epoch::INT AS epoch, (r // 64)::INT AS batch, count(*) AS n, sum(vec_id)::BIGINT AS ids, sum(label)::BIGINT AS labels FROM r WHERE r // 64 < (SELECT count(*) FROM embeddings) // 64 GROUP BY 1, 2""")
 def minibatch_epochs(spark, sf_dir):
-    out = tables.minibatches(read(spark, sf_dir, "events").select("event_id", "value"), "event_id", 256, 2, drop_last=True)
-    return out.groupBy("epoch", "batch").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.round(F.sum("value"), 4).alias("total"))
+    out = tables.minibatches(read(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", 64, 2, drop_last=True)
+    return out.groupBy("epoch", "batch").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"), F.sum("label").alias("labels"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY toxic DESC, doc_id) <= CAST(floor((SELECT count(*) FROM labels) * 0.4) AS BIGINT) AS is_test FROM labels")
