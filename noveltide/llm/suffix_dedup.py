@@ -21,19 +21,39 @@ from noveltide.session import discard, free_shuffles, materialize
 BATCH_BYTES = 4 << 20
 #: Distinct strings that a task remembers having sent.
 SENT = 300_000
-#: Anchors with this many different strings are hot: these are cut so that a key holds HOT_WINDOWS windows and one core each.
+#: Anchors with HOT different strings are hot: these are cut so that a key holds HOT_WINDOWS windows and one core each.
+#: Cores with HOT different strings are hot too; their windows have keys of their own.
 HOT = 2000
 HOT_WINDOWS = 8
-#: Cores with HOT different strings are hot too; their windows have keys of their own. Of either kind those count
-#: that make more than one in MOST_HOT of all strings of hot keys, and so at most MOST_HOT.
-MOST_HOT = 10_000
+#: Hot keys go to all tasks as marks in 2**MARK_BITS bits, 8 MB of each kind whatever their number.
+MARK_BITS = 26
+
+
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    x = keys.view("u8")
+    return ((x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+
+class Marked:
+    """A set of 64-bit keys of fixed size: it holds each marked key, and may hold others, whose strings are then cut without need."""
+
+    def __init__(self, bits: int, marks: bytes):
+        self.bits, self.marks = bits, marks
+
+    def __contains__(self, key: int) -> bool:
+        x = key & (2**64 - 1)
+        slot = ((x ^ (x >> 32)) * 0x9E3779B97F4A7C15 & (2**64 - 1)) >> (64 - self.bits)
+        return bool(self.marks[slot >> 3] >> (slot & 7) & 1)
+
+    def __len__(self) -> int:
+        return int.from_bytes(self.marks, "little").bit_count()
 
 
 class Hot(NamedTuple):
-    """Hot anchors and hot cores; MOST_HOT of each at most."""
+    """Hot anchors and hot cores."""
 
-    anchors: set[int] = frozenset()
-    cores: set[int] = frozenset()
+    anchors: Marked
+    cores: Marked
 
 
 def _texts(column: pa.Array) -> list[np.ndarray]:
@@ -92,12 +112,33 @@ def _count_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.bool_()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["is_core", "key", "string"])
 
 
+def _mark(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = _slots(batch.column("key").to_numpy(), bits)
+            mark = (np.uint64(1) << (slot & np.uint64(63))).view("i8")
+            yield pa.RecordBatch.from_arrays([batch.column("is_core"), pa.array((slot >> np.uint64(6)).astype("i4")), pa.array(mark)], names=["is_core", "word", "mark"])
+
+    return run
+
+
+def _marked(keys: DataFrame) -> Hot:
+    """(is_core, key) as marks. Words of marks are made up by Spark, so the driver gets 2**(MARK_BITS - 6) words of each kind at most."""
+    bits = MARK_BITS
+    words = keys.select("is_core", "key").mapInArrow(_mark(bits), "is_core boolean, word int, mark long").groupBy("is_core", "word").agg(F.bit_or("mark").alias("marks")).toArrow()
+    word, marks, is_core = (words.column(k).to_numpy() for k in ("word", "marks", "is_core"))
+    out = []
+    for kind in (False, True):
+        all_words = np.zeros(max(1, 1 << (bits - 6)), "<i8")
+        all_words[word[is_core == kind]] = marks[is_core == kind]
+        out.append(Marked(bits, all_words.tobytes()))
+    return Hot(*out)
+
+
 def _hot(work: DataFrame) -> Hot:
+    """Each anchor and each core with HOT different strings is marked, however many there are, so no key that isn't cut holds more."""
     counted = work.where(F.exists("runs", lambda r: r["often"])).select("text", "runs").mapInArrow(_count_hot, "is_core boolean, key long, string long")
-    counted = materialize(counted.distinct().groupBy("is_core", "key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT), "hot-keys")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    keys = counted.where(F.col("n") > total // MOST_HOT).collect()
-    return Hot({r.key for r in keys if not r.is_core}, {r.key for r in keys if r.is_core})
+    return _marked(counted.distinct().groupBy("is_core", "key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT))
 
 
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from noveltide.llm import suffix_dedup
 from noveltide.llm import suffix_kernels as kernels
@@ -98,10 +99,10 @@ def test_runs_do_not_depend_on_chunks(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, kernels.runs(text), strict=True))
 
 
-@pytest.mark.parametrize("hot,most", [(2000, 10_000), (2, 3), (2, 10_000), (1, 10_000)])
-def test_operator_against_brute_force(make, monkeypatch, hot, most):
+@pytest.mark.parametrize("hot,bits", [(2000, 26), (2, 6), (2, 26), (1, 26)])
+def test_operator_against_brute_force(make, monkeypatch, hot, bits):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    monkeypatch.setattr(suffix_dedup, "MOST_HOT", most)
+    monkeypatch.setattr(suffix_dedup, "MARK_BITS", bits)
     rng = random.Random(3)
     texts = [t.decode() for t in corpus(rng)]
     twice = "é" + "".join(rng.choice("xyz ") for _ in range(240))
@@ -142,5 +143,19 @@ def test_contexts_of_a_common_passage_part_their_keys(make, monkeypatch):
     assert max(keys.values()) < 20
 
 
+@pytest.mark.parametrize("bits", [8, 26])
+def test_every_hot_key_is_marked_in_marks_of_fixed_size(spark, monkeypatch, bits):
+    monkeypatch.setattr(suffix_dedup, "MARK_BITS", bits)
+    keys = spark.range(200_000).select((F.col("id") % 2 == 1).alias("is_core"), F.xxhash64("id").alias("key"))
+    hot = suffix_dedup._marked(keys)
+    assert len(hot.anchors.marks) == len(hot.cores.marks) == 2**bits // 8
+    assert all(r.key in (hot.cores if r.is_core else hot.anchors) for r in keys.collect())
+    if bits == 26:
+        assert 99_000 < len(hot.anchors) <= 100_000
+        assert sum(r.key in hot.anchors for r in keys.where("is_core").collect()) < 1000
+    none = suffix_dedup._marked(keys.limit(0))
+    assert len(none.anchors) == len(none.cores) == 0
+
+
 def test_empty_table(make):
     assert suffix_dedup.remove_repeats(make(["a"]).limit(0)).count() == 0
