@@ -16,7 +16,7 @@ from noveltide.operators.detectors.estimator import Detector, DetectorModel
 from noveltide.operators.distance import nearest, nearest_distance
 from noveltide.plans import experiments, reports
 from noveltide.session import shared_dir
-from noveltide.sources import results, tables
+from noveltide.sources import idx, profile, results, tables
 from noveltide.streaming import scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,6 +139,30 @@ def minibatch_epochs(spark, sf_dir):
     return out.groupBy("epoch", "batch").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"), F.sum("label").alias("labels"))
 
 
+@query("""SELECT vec_id, coalesce(label, -1)::BIGINT AS label, len(embedding)::BIGINT AS dims, embedding[1]::DOUBLE AS head, embedding[len(embedding)]::DOUBLE AS tail, list_min(embedding)::DOUBLE AS least, list_max(embedding)::DOUBLE AS most
+FROM embeddings WHERE len(embedding) = (SELECT max(len(embedding)) FROM embeddings) AND list_count(embedding) = len(embedding)""")
+def image_source(spark, sf_dir):
+    """Vectors written as IDX images, their ids as last values, and read back by byte ranges with their labels."""
+    e = read(spark, sf_dir, "embeddings")
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    whole = e.where((F.size("embedding") == width) & F.forall("embedding", lambda x: x.isNotNull()))
+    rows = whole.select(F.concat(F.col("embedding").cast("array<double>"), F.array(F.col("vec_id").cast("double"))).alias("features"), F.coalesce("label", F.lit(-1)).alias("label"))
+    path = scratch(spark, "images")
+    idx.write_idx(rows, path, (width + 1,))
+    back = idx.read_idx(spark, f"{path}/images", f"{path}/labels", range_bytes=1 << 20)
+    v = back.select(F.element_at("features", -1).cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.slice("features", 1, width).alias("f"))
+    return v.select("vec_id", "label", F.size("f").cast("long").alias("dims"), F.element_at("f", 1).alias("head"), F.element_at("f", -1).alias("tail"), F.array_min("f").alias("least"), F.array_max("f").alias("most"))
+
+
+@query("SELECT count(*)::BIGINT AS rows_read, (SELECT count(*) FROM (SELECT DISTINCT conv_id FROM conversations))::BIGINT AS rows_written FROM conversations")
+def profile_sink(spark, sf_dir):
+    """The rows that another query's stages read and write, from its profile's table."""
+    path = scratch(spark, "profile")
+    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"))
+    profile.append_profile(spark, lambda: turns.write.parquet(scratch(spark, "profiled")), path)
+    return spark.read.parquet(path).where("status = 'COMPLETE'").agg(F.sum("rows_read").alias("rows_read"), F.sum("rows_written").alias("rows_written"))
+
+
 @query("SELECT doc_id, row_number() OVER (ORDER BY toxic DESC, doc_id) <= CAST(floor((SELECT count(*) FROM labels) * 0.4) AS BIGINT) AS is_test FROM labels")
 def sorted_source_split(spark, sf_dir):
     return tables.sorted_label_split(read(spark, sf_dir, "labels"), "doc_id", "toxic").select("doc_id", "is_test")
