@@ -15,9 +15,10 @@ from noveltide.operators.detectors import DETECTORS
 from noveltide.sources import results as results_csv
 from noveltide.sources import tables
 
-# Scalers of the experiments, percentages of anomalies among the training rows, numbers of neighbours, numbers of clusters.
+# Scalers of the experiments, percentages of anomalies among the training rows, modes of outliers, numbers of neighbours, numbers of clusters.
 SCALERS = ("minmax", "normalizer", "quantile", "robust", "standard")
 NOISE = (0, 1, 3, 5)
+OUTLIER_MODES = ("cluster", "local", "global")
 NEIGHBORS = (1, 3, 5, 7, 9, 11)
 CLUSTER_COUNTS = range(1, 311, 3)
 
@@ -56,12 +57,8 @@ def _clusters(train: DataFrame, clusters: int | None) -> int:
     return max(10, least) if least <= MOST_CLUSTERS else 10
 
 
-def nullspace_experiment(v: DataFrame, scaler: str, noise: int, clusters: int | None = None, seeds: int = 10, name_directions: bool = False) -> tuple:
-    """One cell: pseudo-labels by K-means, projecting directions, nearest-neighbour ratio, and its metrics and times.
-
-    Without `clusters` there are as many as a null direction takes; with `name_directions` the last value tells which kind the directions are.
-    """
-    train, test = _split(v, scaler, noise)
+def _nullspace_cell(train: DataFrame, test: DataFrame, clusters: int | None, seeds: int) -> tuple:
+    """(clusters, metrics and times, kind of directions) of given rows."""
     train, test = train.cache(), test.cache()
     try:
         train.count(), test.count()
@@ -76,12 +73,21 @@ def nullspace_experiment(v: DataFrame, scaler: str, noise: int, clusters: int |
         ended = time.time()
         row = _row(scored)
         scored.unpersist()
-        return scaler, clusters, noise, *row, fitted - start, ended - fitted, *([p.kind] if name_directions else [])
+        return clusters, *row, fitted - start, ended - fitted, p.kind
     finally:
         train.unpersist()
         test.unpersist()
 
 
+def nullspace_experiment(v: DataFrame, scaler: str, noise: int, clusters: int | None = None, seeds: int = 10, name_directions: bool = False) -> tuple:
+    """One cell: pseudo-labels by K-means, projecting directions, nearest-neighbour ratio, and its metrics and times.
+
+    Without `clusters` there are as many as a null direction takes; with `name_directions` the last value tells which kind the directions are.
+    """
+    clusters, *row, kind = _nullspace_cell(*_split(v, scaler, noise), clusters, seeds)
+    return scaler, clusters, noise, *row, *([kind] if name_directions else [])
+
+
 def knn_experiment(v: DataFrame, scaler: str, noise: int, clusters: int = 2, folds: int = 5, seeds: int = 10) -> tuple:
     """One cell: K-means pseudo-labels, a nearest-neighbour classifier tuned on them by cross-validated F1, compared with the true labels.
 
@@ -109,9 +115,8 @@ def knn_experiment(v: DataFrame, scaler: str, noise: int, clusters: int = 2, fol
             df.unpersist()
 
 
-def detector_experiment(v: DataFrame, name: str, scaler: str, noise: int, **options: object) -> tuple:
-    """One cell of the comparison: a detector by name, classes by the median of the test scores. Times hold neither scaling nor splitting."""
-    train, test = _split(v, scaler, noise)
+def _detector_cell(train: DataFrame, test: DataFrame, name: str, options: dict[str, object]) -> tuple:
+    """Metrics and times of given rows."""
     train, test = train.cache(), test.cache()
     try:
         train.count(), test.count()
@@ -123,12 +128,33 @@ def detector_experiment(v: DataFrame, name: str, scaler: str, noise: int, **opti
         ended = time.time()
         row = _row(scored, "predicted")
         scored.unpersist()
-        return name, scaler, noise, *row, fitted - start, ended - fitted
+        return *row, fitted - start, ended - fitted
     finally:
         train.unpersist()
         test.unpersist()
 
 
+def detector_experiment(v: DataFrame, name: str, scaler: str, noise: int, **options: object) -> tuple:
+    """One cell of the comparison: a detector by name, classes by the median of the test scores. Times hold neither scaling nor splitting."""
+    return name, scaler, noise, *_detector_cell(*_split(v, scaler, noise), name, options)
+
+
+def _given(v: DataFrame, mode: str, scaler: str) -> tuple[DataFrame, DataFrame]:
+    """(train, test) of a table by outlier_mode, scaler and split, whose rows are scaled and split as they are."""
+    rows = v.where((F.col("outlier_mode") == mode) & (F.col("scaler") == scaler))
+    return tuple(rows.where(F.col("split") == part).select("row_id", "features", "label") for part in ("train", "test"))
+
+
+def outlier_experiment(v: DataFrame, mode: str, scaler: str, clusters: int | None = None, seeds: int = 10) -> tuple:
+    """One cell of the study by outlier mode: as `nullspace_experiment`, on the train and test rows that the table has for mode and scaler."""
+    return mode, scaler, *_nullspace_cell(*_given(v, mode, scaler), clusters, seeds)[:-1]
+
+
+def outlier_detector_experiment(v: DataFrame, name: str, mode: str, scaler: str, **options: object) -> tuple:
+    """One cell of the comparison by outlier mode: as `detector_experiment`, on the train and test rows that the table has for mode and scaler."""
+    return name, mode, scaler, *_detector_cell(*_given(v, mode, scaler), name, options)
+
+
 Cell = tuple[Callable[..., tuple], tuple]
 
 

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from noveltide.operators import cluster
-from noveltide.plans import experiments
+from noveltide.operators import cluster, prep
+from noveltide.plans import experiments, queries
 from noveltide.sources import results
 
 
@@ -83,3 +83,31 @@ def test_mixture_separates_clouds(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>")
     label = np.array([r.cluster for r in cluster.gaussian_mixture(df, 3).orderBy("row_id").collect()])
     assert all(len(set(label[60 * k : 60 * k + 60])) == 1 for k in range(3)) and len(set(label)) == 3
+
+
+def test_study_by_outlier_mode_equals_numpy(spark, sf):
+    got = {(r.Model, r.outlier_mode, r.scaler): r.AUCROC for r in queries.QUERIES["outlier_mode_study"](spark, sf).collect()}
+    assert len(got) == 12
+    v = prep.hash_split(queries.vectors(spark, sf), "row_id").collect()
+    x, y, c, t = (np.array([r[k] for r in v]) for k in ("features", "label", "class", "is_test"))
+    train = (y == 0) & ~t
+    for scaler in ("minmax", "standard"):
+        z = x[train]
+        z = (x - z.min(0)) / (z.max(0) - z.min(0)) if scaler == "minmax" else (x - z.mean(0)) / z.std(0)
+        for k, mode in enumerate(experiments.OUTLIER_MODES):
+            test = ((y == 0) & t) | ((y == 1) & (c % 3 == k))
+            s = np.sort(np.sqrt(((z[test][:, None, :] - z[train][None]) ** 2).sum(2)), 1)[:, 4]
+            a, b = s[y[test] == 1], s[y[test] == 0]
+            auc = ((a[:, None] > b[None]).sum() + 0.5 * (a[:, None] == b[None]).sum()) / (len(a) * len(b))
+            assert got["KNN", mode, scaler] == pytest.approx(auc, abs=1e-6)
+
+
+def test_studies_by_mode_are_resumed_by_mode_and_scaler(spark, tmp_path):
+    v = table(spark).withColumn("split", F.when((F.col("label") == 0) & (F.col("row_id") < 80), "train").otherwise("test")).withColumn("scaler", F.lit("minmax"))
+    v = v.crossJoin(spark.createDataFrame([("local",), ("global",)], "outlier_mode string"))
+    cells = [(experiments.outlier_experiment, (mode, "minmax", 3, 1)) for mode in ("local", "global", "cluster")]
+    keys, more = "outlier_mode string, scaler string", "nCluster int, "
+    out, failed = experiments.study(v, cells, f"{tmp_path}/study", keys + ", " + more.rstrip(", "))
+    assert {(r.outlier_mode, r.scaler, r.nCluster) for r in out.collect()} == {("local", "minmax", 3), ("global", "minmax", 3)}
+    assert [a[0] for a, _ in failed] == ["cluster"]
+    assert all(r.AUCROC > 0.9 for r in out.collect())
