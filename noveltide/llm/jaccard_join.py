@@ -381,7 +381,9 @@ def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, id_col: st
     # A group whose leader is in a group of a smaller leader joins that one, so that a set is placed less often.
     over = materialize(members.groupBy("sid").agg(F.min("leader").alias("over")).where("over < sid").withColumnRenamed("sid", "under"), "leaders")
     merged = members.join(over, members["leader"] == over["under"], "left")
-    members = materialize(merged.select(F.coalesce("over", "leader").alias("leader"), "sid").distinct(), "members")
+    merged = merged.select(F.coalesce("over", "leader").alias("leader"), "sid")
+    # A leader that has itself gone to a smaller one stays in the group that keeps its name: blocks are cut around it.
+    members = materialize(merged.unionByName(merged.select("leader", F.col("leader").alias("sid"))).distinct(), "members")
     free_shuffles(spark)
 
     def send_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -153,3 +153,12 @@ def test_keep_one_takes_the_length_of_shingles(make):
     assert [r.doc_id for r in jaccard_join.keep_one(df, 80, n=5).collect()] == [0]
     assert sorted(r.doc_id for r in jaccard_join.keep_one(df, 83, n=5).collect()) == [0, 1]
     assert sorted(r.doc_id for r in jaccard_join.keep_one(df).collect()) == [0, 1]
+
+
+def test_cut_groups_whose_leader_has_gone_to_a_smaller_one(make, monkeypatch):
+    """A long row of texts of which each nearly links to the next: leaders are themselves under smaller leaders, and groups are cut."""
+    monkeypatch.setattr(jaccard_join, "GROUP", 4)
+    texts = [long_text(200, start) for start in np.cumsum([8, 11, 11] * 100).tolist()]
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_documents(make(texts)).collect()}
+    want = components(sets_of(texts))
+    assert [got[k] for k in range(len(texts))] == want
