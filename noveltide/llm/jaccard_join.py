@@ -18,12 +18,18 @@ from noveltide.session import free_shuffles, materialize
 #: Counts of shingles by the low bits of their hash put rare ones first; a table of fixed size, whatever the input.
 COUNTERS = 1 << 18
 SLICE = 1 << 12
-#: Cells of a set's sketch: how many of its shingles fall on each. Cells differ by no more than sets do.
+#: Cells of a set's sketch: how many of its shingles fall on each, modulo 256. Cells differ by no more than sets do.
 CELLS = 32
+#: Bytes of an entry of an index list: shingle, set, size, position, sketch.
+ENTRY = 8 + 16 + 4 + 4 + CELLS
+#: Entries of the buckets that index lists are dealt to, about, and entries that a task gathers before it sends them.
+BUCKET, GATHERED = 250_000, 250_000
 #: Longer index lists aren't filtered in one task; all their sets go on.
 LONG_LIST = 20_000
 #: Sets of a group that one task compares with each other; larger groups are cut into blocks of half as many.
 GROUP = 512
+#: Bytes of sets that are sent at once.
+SENT_BYTES = 1 << 24
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -72,14 +78,6 @@ def _counts(docs: DataFrame, n: int) -> np.ndarray:
     return table.ravel()
 
 
-def _fixed(column: pa.Array, kind: str) -> np.ndarray:
-    """Binary values of one length, without nulls, as an array of that length in items of `kind`."""
-    column = column.cast(pa.binary())
-    offsets = np.frombuffer(column.buffers()[1], "<i4")[column.offset : column.offset + len(column) + 1]
-    width = int(offsets[1] - offsets[0])
-    return np.frombuffer(column.buffers()[2], kind, count=len(column) * width // np.dtype(kind).itemsize, offset=int(offsets[0])).reshape(len(column), -1)
-
-
 def _pairs(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All (i, j) with first[i] <= j < end[i]."""
     n = np.maximum(end - first, 0)
@@ -127,7 +125,9 @@ def linkable(lists: np.ndarray, size: np.ndarray, pos: np.ndarray, sketch: np.nd
             once = left < right
             left, right = left[once], right[once]
             least = _least_overlap(s[left], s[right], percent)
-            ok = np.abs(sketch[order[left]].astype("i4") - sketch[order[right]].astype("i4")).sum(1) <= s[left] + s[right] - 2 * least
+            # Cells count modulo 256, so their distance is the shorter way round.
+            apart = (sketch[order[left]].astype("u1") - sketch[order[right]].astype("u1")).view("i1").astype("i4")
+            ok = np.abs(apart).sum(1) <= s[left] + s[right] - 2 * least
             able[order[left[ok]]] = True
             able[order[right[ok]]] = True
             if tally is not None:
@@ -139,49 +139,83 @@ def linkable(lists: np.ndarray, size: np.ndarray, pos: np.ndarray, sketch: np.nd
     return able
 
 
-def _filter_lists(percent: int, rows_at_once: int = 50_000):
-    """Rows (token, sid, size, pos, sketch) come sorted by token: of each list the entries that may link, under the smallest of them."""
+def _pack(token: np.ndarray, sid: np.ndarray, size: np.ndarray, pos: np.ndarray, sketch: np.ndarray) -> bytes:
+    """Entries of index lists, column by column, sizes and positions by their bytes, compressed."""
+    planes = [np.ascontiguousarray(c, "<u4").view("u1").reshape(-1, 4).T.tobytes() for c in (size, pos)]
+    return len(token).to_bytes(4, "little") + pa.Codec("zstd").compress(b"".join([token.astype("<u8").tobytes(), sid.tobytes(), *planes, sketch.tobytes()]), asbytes=True)
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
+    n = int.from_bytes(raw[:4], "little")
+    flat = np.frombuffer(pa.Codec("zstd").decompress(raw[4:], n * ENTRY, asbytes=True), "u1")
+    token, sid, size, pos, sketch = np.split(flat, np.cumsum([8, 16, 4, 4]) * n)
+    size, pos = (np.ascontiguousarray(c.reshape(4, n).T).view("<u4").ravel().astype("i8") for c in (size, pos))
+    return token.view("<u8"), sid.view(">u8").reshape(n, 2), size, pos, sketch.reshape(n, CELLS)
+
 
-    def solve(batch: pa.Table) -> Iterator[pa.RecordBatch]:
-        batch = batch.combine_chunks()
-        token = batch["token"].to_numpy()
-        column = batch["sid"].chunk(0)
-        sid = _fixed(column, ">u8")
-        # One entry for each set of a list; tasks may have sent a set more than once.
+def _filter_lists(percent: int, most_held: int = 1_000_000):
+    """Rows (bucket, entries) come sorted by bucket: of each list the entries that may link, under the smallest of them.
+
+    A bucket's lists are filtered together. Where a bucket holds over `most_held` entries, its lists of over `LONG_LIST` are sent on whole as they come.
+    """
+
+    def distinct(columns: list[np.ndarray]) -> list[np.ndarray]:
+        """One entry for each set of a list, in the order of lists and sets; tasks may have sent a set more than once."""
+        token, sid = columns[:2]
         order = np.lexsort((sid[:, 1], sid[:, 0], token))
         t, d = token[order], sid[order]
         order = order[np.r_[True, (t[1:] != t[:-1]) | (d[1:] != d[:-1]).any(1)]]
-        able = linkable(token[order], batch["size"].to_numpy()[order], batch["pos"].to_numpy()[order], _fixed(batch["sketch"].chunk(0), "<u2")[order], percent)
-        kept = order[able]
-        if not len(kept):
-            return
-        # Entries are in the order of their sets' names within a list, so a list's first is its leader.
-        t = token[kept]
-        new = np.r_[True, t[1:] != t[:-1]]
-        leader = np.repeat(kept[new], np.diff(np.r_[np.flatnonzero(new), len(kept)]))
-        pairs = np.unique(np.column_stack([sid[leader], sid[kept]]), axis=0).astype(">u8")
+        return [c[order] for c in columns]
+
+    def rows(leader: np.ndarray, sid: np.ndarray) -> pa.RecordBatch:
+        pairs = np.unique(np.column_stack([leader, sid]), axis=0).astype(">u8")
         flat = pairs.tobytes()
         both = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), 2 * len(pairs), [None, pa.py_buffer(flat)]).cast(pa.binary()).take(pa.array(np.arange(k, 2 * len(pairs), 2))) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays(both, names=["leader", "sid"])
+        return pa.RecordBatch.from_arrays(both, names=["leader", "sid"])
+
+    def led(token: np.ndarray, sid: np.ndarray, leaders: dict[int, np.ndarray]) -> pa.RecordBatch:
+        """Entries in the order of their lists and sets: each list under its known leader, or else under its first set."""
+        new = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        first = np.array([leaders.get(t, sid[k]) for t, k in zip(token[new].tolist(), new.tolist(), strict=True)])
+        return rows(np.repeat(first, np.diff(np.r_[new, len(token)]), axis=0), sid)
+
+    def send_long(columns: list[np.ndarray], leaders: dict[int, np.ndarray]) -> tuple[list[np.ndarray], list[pa.RecordBatch]]:
+        """Entries that stay, and those of long lists, whose leaders are noted."""
+        columns = distinct(columns)
+        token, sid = columns[:2]
+        new = np.r_[True, token[1:] != token[:-1]]
+        many = np.diff(np.r_[np.flatnonzero(new), len(token)])
+        for k in np.flatnonzero(new)[many > LONG_LIST].tolist():
+            leaders.setdefault(int(token[k]), sid[k])
+        long = np.isin(token, np.array(list(leaders), "u8"))
+        return [c[~long] for c in columns], [led(token[long], sid[long], leaders)] if long.any() else []
+
+    def solve(parts: list[tuple[np.ndarray, ...]], leaders: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        columns, out = send_long([np.concatenate(c) for c in zip(*parts, strict=True)], leaders)
+        yield from out
+        token, sid, size, pos, sketch = columns
+        kept = linkable(token, size, pos, sketch, percent)
+        # Entries are in the order of their sets' names within a list, so a list's first is its leader.
+        if kept.any():
+            yield led(token[kept], sid[kept], {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+        now, held, size, most, leaders = None, [], 0, most_held, {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            token = batch.column(0).to_numpy()
-            if size + len(token) >= rows_at_once:
-                # The last list may go on in the next batch.
-                others = np.flatnonzero(token != token[-1])
-                cut = int(others[-1]) + 1 if len(others) else 0
-                if cut or (held and held[-1].column(0)[-1].as_py() != token[-1]):
-                    yield from solve(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                    held, size, batch = [], 0, batch.slice(cut)
-            held.append(batch)
-            size += batch.num_rows
+            for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != now:
+                    if held:
+                        yield from solve(held, leaders)
+                    now, held, size, most, leaders = bucket, [], 0, most_held, {}
+                held.append(_unpack(raw.as_py()))
+                size += len(held[-1][0])
+                if size > most:
+                    left, out = send_long([np.concatenate(c) for c in zip(*held, strict=True)], leaders)
+                    yield from out
+                    held, size = [tuple(left)], len(left[0])
+                    most = most_held + 2 * size
         if held:
-            yield from solve(pa.Table.from_batches(held))
+            yield from solve(held, leaders)
 
     return run
 
@@ -320,7 +354,7 @@ def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, id_col: st
 
     1. Texts with equal sets are one set from here on, named by a 128-bit digest.
     2. Every set's rarest shingles, as many as two linked sets must share one of,
-       make index lists, in blocks of one size and position; blocks that can't link are skipped whole (`linkable`).
+       make index lists, which go once, packed, to the tasks of their buckets, in blocks of one size and position; blocks that can't link are skipped whole (`linkable`).
     3. All sets left of a list form a group under its smallest set, so any two sets
        that can link meet in a group. A task gets a group's sets, each once, and derives a set's
        answers from those of the most similar one (`link_components`). It returns each component's spanning links.
@@ -336,48 +370,56 @@ def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, id_col: st
     prepare(spark)
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("text"))
-    counts = spark.sparkContext.broadcast(_counts(base, n))
+    found = _counts(base, n)
+    total = int(found.astype("i8").sum())
+    counts = spark.sparkContext.broadcast(found)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(s), xxhash.xxh3_128_digest(s) if len(s) else None, np.minimum(np.bincount((s >> np.uint64(59)).astype("i8"), minlength=CELLS), 65535).astype("<u2").tobytes()) for _, s in _sets(batch.column("text"), n)]
-            kinds = [pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), *(pa.array([f[k] for f in found], kinds[k]) for k in range(3))], names=["id", "th", "n_shingles", "sid", "sketch"])
+            found = [(len(s), xxhash.xxh3_128_digest(s) if len(s) else None) for _, s in _sets(batch.column("text"), n)]
+            kinds = [pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), *(pa.array([f[k] for f in found], kinds[k]) for k in range(2))], names=["id", "th", "n_shingles", "sid"])
+
+    buckets = max(1, int(total * (100 - percent) // 100 // BUCKET))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
         freq = counts.value
+        held: list[tuple] = []
+        size = 0
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            times = np.array([len(h[0]) for h in held])
+            columns = [np.concatenate([h[0] for h in held]), np.repeat(np.frombuffer(b"".join(h[1] for h in held), "u1").reshape(-1, 16), times, axis=0), np.repeat([h[2] for h in held], times), np.concatenate([np.arange(k) for k in times]), np.repeat(np.array([h[3] for h in held]), times, axis=0)]
+            # The low bits of rare shingles are those of rare counters, so buckets go by higher ones.
+            bucket = ((columns[0] >> np.uint64(20)) % np.uint64(buckets)).astype("i4")
+            order = np.argsort(bucket, kind="stable")
+            new = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order[new]]), pa.array([_pack(*(c[at] for c in columns)) for at in np.split(order, new[1:])], pa.binary())], names=["bucket", "entries"])
+
         for batch in batches:
-            tokens, sids, sizes, places = [], [], [], []
             for _, s in _sets(batch.column(0), n):
                 if not len(s) or (sid := xxhash.xxh3_128_digest(s)) in sent:
                     continue
                 if len(sent) > 500_000:
                     sent.clear()
                 sent.add(sid)
-                p = prefix_length(len(s), percent)
-                first = s[np.argsort(freq[(s & np.uint64(COUNTERS - 1)).astype("i8")], kind="stable")[:p]]
-                tokens.append(first)
-                sids += [sid] * p
-                sizes.append(np.full(p, len(s), "i4"))
-                places.append(np.arange(p, dtype="i4"))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view("i8")), pa.array(sids, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "sid", "size", "pos"])
-
-    rows = materialize(base.mapInArrow(digests, f"id {kind}, th long, n_shingles long, sid binary, sketch binary"), "shingle-sets")
-    index = materialize(base.select("text").mapInArrow(entries, "token long, sid binary, size int, pos int"), "index")
-    lists = index.groupBy("token").agg(F.min("sid").alias("leader"), F.max("sid").alias("other"), F.count("*").alias("n")).where("leader <> other")
-    lists = materialize(lists.select("token", "leader", "n"), "index-lists")
+                first = s[np.argsort(freq[(s & np.uint64(COUNTERS - 1)).astype("i8")], kind="stable")[: prefix_length(len(s), percent)]]
+                held.append((first, sid, len(s), np.bincount((s >> np.uint64(59)).astype("i8"), minlength=CELLS).astype("u1")))
+                size += len(first)
+                if size > GATHERED:
+                    yield from dealt()
+                    held, size = [], 0
+        if held:
+            yield from dealt()
+
+    rows = materialize(base.mapInArrow(digests, f"id {kind}, th long, n_shingles long, sid binary"), "shingle-sets")
     free_shuffles(spark)
-    postings = materialize(index.join(lists.hint("merge"), "token").select("token", "sid", "size", "pos", "leader", "n"), "postings")
+    dealt = base.select("text").mapInArrow(entries, "bucket int, entries binary").repartition("bucket").sortWithinPartitions("bucket")
+    members = materialize(dealt.mapInArrow(_filter_lists(percent), "leader binary, sid binary").distinct(), "members")
     free_shuffles(spark)
-    named = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("id", "th")).alias("k"), F.min("id").alias("least"), F.count("*").alias("copies"), F.min("sketch").alias("sketch"))
+    named = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("id", "th")).alias("k"), F.min("id").alias("least"), F.count("*").alias("copies"))
     named = materialize(named, "named-sets")
-    short = postings.where(F.col("n") <= LONG_LIST).select("token", "sid", "size", "pos").join(named.select("sid", "sketch").hint("merge"), "sid")
-    short = short.select("token", "sid", "size", "pos", "sketch").repartition("token").sortWithinPartitions("token")
-    members = short.mapInArrow(_filter_lists(percent), "leader binary, sid binary")
-    members = members.unionByName(postings.where(F.col("n") > LONG_LIST).select("leader", "sid")).distinct()
-    members = materialize(members, "members")
     # A group whose leader is in a group of a smaller leader joins that one, so that a set is placed less often.
     over = materialize(members.groupBy("sid").agg(F.min("leader").alias("over")).where("over < sid").withColumnRenamed("sid", "under"), "leaders")
     merged = members.join(over, members["leader"] == over["under"], "left")
@@ -390,14 +432,16 @@ def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, id_col: st
         for batch in batches:
             places = batch.column(1).to_pylist()
             rows: list[list] = [[], [], [], [], []]
+            size = 0
             for k, s in _sets(batch.column(0), n):
                 sid, raw = xxhash.xxh3_128_digest(s), s.tobytes()
                 for p in places[k]:
                     for c, v in zip(rows, (p["leader"], p["block"], p["side"], sid, raw), strict=True):
                         c.append(v)
-                    if len(rows[0]) > 2000:
+                    size += len(raw)
+                    if size > SENT_BYTES:
                         yield _placed(*rows)
-                        rows = [[], [], [], [], []]
+                        rows, size = [[], [], [], [], []], 0
             if rows[0]:
                 yield _placed(*rows)
 

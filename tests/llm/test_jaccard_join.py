@@ -162,3 +162,36 @@ def test_cut_groups_whose_leader_has_gone_to_a_smaller_one(make, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard_join.similar_documents(make(texts)).collect()}
     want = components(sets_of(texts))
     assert [got[k] for k in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("most_held", [10, 1_000_000])
+def test_packed_lists_keep_every_pair_that_may_link(most_held, monkeypatch):
+    """Entries come packed by bucket, sets more than once; long lists go on whole and under one leader, also where a bucket is gathered in parts."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", 12)
+    rng = np.random.default_rng(5)
+    sets, batches, lists = rng.integers(0, 2**63, (40, 2)).astype(">u8"), [], {}
+    size, sketch = rng.integers(300, 330, 40), rng.integers(0, 40, (40, 32)).astype("u1")
+    sketch[::2] = sketch[0]
+    for bucket in range(2):
+        for _ in range(9):
+            who = rng.integers(0, 40, 30)
+            token = (rng.geometric(0.2, 30) * 2 + bucket).astype("u8")
+            batches.append(pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([jaccard_join._pack(token, sets[who], size[who], np.zeros(30, "i8"), sketch[who])], pa.binary())], ["bucket", "entries"]))
+            for t, w in zip(token.tolist(), who.tolist(), strict=True):
+                lists.setdefault(t, set()).add(w)
+    groups = {}
+    for b in jaccard_join._filter_lists(90, most_held)(iter(batches)):
+        for leader, sid in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            groups.setdefault(leader, set()).add(sid)
+    together = {(a, b) for g in groups.values() for a in g for b in g}
+    name = [s.tobytes() for s in sets]
+    assert all(leader in g for leader, g in groups.items())
+    for t, held in lists.items():
+        for a in held:
+            for b in held:
+                apart = np.abs((sketch[a] - sketch[b]).view("i1").astype(int)).sum()
+                least = -(-90 * (size[a] + size[b]) // 190)
+                if a != b and (len(held) > 12 or (100 * min(size[a], size[b]) >= 90 * max(size[a], size[b]) and apart <= size[a] + size[b] - 2 * least)):
+                    assert (name[a], name[b]) in together, t
