@@ -90,3 +90,24 @@ def test_bounds_hold(spark):
     least = index.bounds.below(x[:100])[1]
     for r in rows:
         assert (least[:, r.block] <= np.sqrt(((x[:100] - np.array(r.features)) ** 2).sum(1)) + 1e-9).all()
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_products_of_packs_and_blocks_hold_bounded_memory(spark, monkeypatch, exclude_self):
+    """Neither side is sent: packs meet packs, and no product is larger than a block by a block."""
+    import tracemalloc
+
+    from noveltide.operators import distance
+
+    monkeypatch.setattr(distance, "PACK", 50)
+    monkeypatch.setattr(distance, "MEET", 120)
+    monkeypatch.setattr(distance, "TRAIN_BLOCK", 64)
+    monkeypatch.setattr(pivots, "build", None)
+    x = np.random.default_rng(8).integers(0, 4, (500, 3)).astype(float)
+    check(nearest(frame(spark, x), frame(spark, x), 4, exclude_self, broadcast_values=0), brute(x, np.arange(500), x, np.arange(500), 4, exclude_self))
+    monkeypatch.undo()
+    train = np.random.default_rng(9).standard_normal((60_000, 8))
+    tracemalloc.start()
+    distance.k_nearest(train[:1024], np.arange(1024), train, np.arange(60_000), 5, exclude_self)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
