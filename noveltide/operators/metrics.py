@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from noveltide.functions.scalar import safe_div
+from noveltide.session import materialize
 
 
 def roc_curve(df: DataFrame, score_col: str = "score", label_col: str = "label") -> DataFrame:
@@ -16,8 +17,9 @@ def roc_curve(df: DataFrame, score_col: str = "score", label_col: str = "label")
     levels, inside ranges of scores and over the ranges' totals, so no task sorts all scores.
     """
     y = F.col(label_col).cast("long")
-    by_score = df.groupBy(F.col(score_col).cast("double").alias("s")).agg(F.sum(y).alias("tp"), F.sum(1 - y).alias("fp"))
-    cuts = by_score.agg(F.percentile_approx("s", F.array(*(F.lit(i / 64) for i in range(1, 64))), 2000).alias("c"))
+    # Both are written: scores may have taken long to make, and approximate quantiles depend on the order in which parts arrive.
+    by_score = materialize(df.groupBy(F.col(score_col).cast("double").alias("s")).agg(F.sum(y).alias("tp"), F.sum(1 - y).alias("fp")), "scores")
+    cuts = materialize(by_score.agg(F.percentile_approx("s", F.array(*(F.lit(i / 64) for i in range(1, 64))), 2000).alias("c")), "cuts")
     ranged = by_score.crossJoin(F.broadcast(cuts)).withColumn("part", F.size(F.filter("c", lambda v: v < F.col("s")))).drop("c")
     totals = ranged.groupBy("part").agg(F.sum("tp").alias("ptp"), F.sum("fp").alias("pfp"))
     above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)

@@ -111,3 +111,29 @@ def test_products_of_packs_and_blocks_hold_bounded_memory(spark, monkeypatch, ex
     distance.k_nearest(train[:1024], np.arange(1024), train, np.arange(60_000), 5, exclude_self)
     assert tracemalloc.get_traced_memory()[1] < 300e6
     tracemalloc.stop()
+
+
+def test_cuts_are_worked_out_once(spark, monkeypatch):
+    """Approximate quantiles depend on the order in which tasks' parts arrive, so both uses of them must see one result."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from noveltide.operators.detectors import tabular
+
+    x = np.random.default_rng(3).normal(size=(400, 3))
+    want = {r.row_id: r.score for r in tabular.ecod(frame(spark, x)).collect()}
+
+    def shaky(v: pd.Series) -> list:
+        return sorted(np.random.default_rng().choice(v, 31).tolist())
+
+    shaky.__annotations__ = {"v": pd.Series, "return": list}
+    monkeypatch.setattr(F, "percentile_approx", lambda c, *_: F.pandas_udf(shaky, "array<double>", F.PandasUDFType.GROUPED_AGG)(F.col(c)))
+    # Cuts of large tables aren't broadcast.
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        got = {r.row_id: r.score for r in tabular.ecod(frame(spark, x)).collect()}
+    finally:
+        spark.conf.set(key, old)
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
