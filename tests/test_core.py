@@ -258,3 +258,10 @@ def test_reports(spark):
     assert {r.Model: r.best for r in reports.best_per_model(rows, "m", "d").collect()} == {"a": 0.9, "b": 0.95, "c": 0.99}
     got = {r.Model: r.adjusted for r in reports.below_proposed(rows, top, "m", "d").collect()}
     assert got == pytest.approx({"a": 0.9, "b": 0.92 * 1.05, "c": 0.92 * 1.05})
+
+
+def test_contrast_normalize_folds_each_row_a_fixed_number_of_times(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0, 6.0])], "row_id long, features array<double>")
+    out = df.select(scalar.contrast_normalize(F.col("features")).alias("c"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 2
+    assert [round(x, 9) for x in out.first().c] == [-1.0, -0.5, 1.5]
