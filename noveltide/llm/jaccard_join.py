@@ -20,6 +20,12 @@ COUNTERS = 1 << 18
 SLICE = 1 << 12
 #: Cells of a set's sketch: how many of its shingles fall on each, modulo 256. Cells differ by no more than sets do.
 CELLS = 32
+#: Shingles a cell of the finer sketch by which sets of a group are compared before they are sent, and its most cells.
+FINE, MOST_CELLS = 16, 4096
+#: Larger groups aren't compared by sketches.
+COMPARED = 4096
+#: Texts to be sent are marked in 2**MARK_BITS bits, whatever their number.
+MARK_BITS = 26
 #: Bytes of an entry of an index list: shingle, set, size, position, sketch.
 ENTRY = 8 + 16 + 4 + 4 + CELLS
 #: Entries of the buckets that index lists are dealt to, about, and entries that a task gathers before it sends them.
@@ -220,6 +226,81 @@ def _filter_lists(percent: int, most_held: int = 1_000_000):
     return run
 
 
+def fine_sketch(s: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes fall on each of its cells, modulo 256: at least one cell for `FINE` shingles, a power of two.
+
+    With a fixed number of cells, sets of thousands of shingles that have nothing in common would look alike.
+    """
+    bits = min(MOST_CELLS, max(CELLS, -(-len(s) // FINE)))
+    bits = (bits - 1).bit_length()
+    return np.bincount((s >> np.uint64(64 - bits)).astype("i8"), minlength=1 << bits).astype("u1")
+
+
+def sketch_components(size: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the number of the first set of its component, where sets are joined whose sizes and finer sketches leave it open that they link."""
+    label = np.arange(len(size))
+    order = np.argsort(size, kind="stable")
+    s = size[order].astype("i8")
+    width = np.array([len(sketches[k]) for k in order.tolist()])
+    # Larger sets have no fewer cells; of these, adjacent ones are added up to the smaller set's.
+    for cells in np.unique(width).tolist():
+        at = np.flatnonzero(width == cells)
+        first, end = int(at[0]), int(np.searchsorted(s, s[at[-1]] * 100 // percent, side="right"))
+        folded = np.stack([sketches[k].reshape(cells, -1).sum(1, dtype="u1") for k in order[first:end].tolist()])
+        for i in at.tolist():
+            z = int(np.searchsorted(s, s[i] * 100 // percent, side="right"))
+            apart = np.abs((folded[i + 1 - first : z - first] - folded[i - first]).view("i1").astype("i2")).sum(1, dtype="i8")
+            near = order[i + 1 : z][apart <= s[i] + s[i + 1 : z] - 2 * _least_overlap(s[i], s[i + 1 : z], percent)]
+            joined = np.unique(label[np.r_[order[i], near]])
+            if len(joined) > 1:
+                label[np.isin(label, joined)] = joined[0]
+    return label
+
+
+def _filter_groups(percent: int):
+    """Rows (leader, sid, n_shingles, sketch) come sorted by leader: of each group the sets that their finer sketches let link, each component of these under its smallest.
+
+    Groups of over `COMPARED` sets are sent on whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, whole = None, [], False
+        out: tuple[list, list] = ([], [])
+
+        def solve() -> None:
+            if whole:
+                out[0].extend([now] * len(held))
+                out[1].extend(h[0] for h in held)
+            elif len(held) > 1:
+                held.sort(key=lambda h: h[0])
+                label = sketch_components(np.array([h[1] for h in held]), [np.frombuffer(h[2], "u1") for h in held], percent)
+                several = np.bincount(label, minlength=len(held))[label] > 1
+                out[0].extend(held[k][0] for k in label[several].tolist())
+                out[1].extend(held[k][0] for k in np.flatnonzero(several).tolist())
+            held.clear()
+
+        def send() -> Iterator[pa.RecordBatch]:
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], names=["leader", "sid"])
+                for c in out:
+                    c.clear()
+
+        for batch in batches:
+            for leader, *row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if leader != now:
+                    solve()
+                    now, whole = leader, False
+                held.append(row)
+                if len(held) > COMPARED:
+                    whole = True
+                    solve()
+            yield from send()
+        solve()
+        yield from send()
+
+    return run
+
+
 def link_components(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None, tally: dict[str, int] | None = None) -> np.ndarray:
     """For each set the number of the first set in its component of links; `sides` restricts links to sets of unequal sides.
 
@@ -356,7 +437,7 @@ def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, id_col: st
     2. Every set's rarest shingles, as many as two linked sets must share one of,
        make index lists, which go once, packed, to the tasks of their buckets, in blocks of one size and position; blocks that can't link are skipped whole (`linkable`).
     3. All sets left of a list form a group under its smallest set, so any two sets
-       that can link meet in a group. A task gets a group's sets, each once, and derives a set's
+       that can link meet in a group. Sketches that grow with the sets part each group into those that may link (`sketch_components`). A task gets a group's sets, each once, and derives a set's
        answers from those of the most similar one (`link_components`). It returns each component's spanning links.
        Groups of over `GROUP` sets are cut into blocks that each get the leader too. Sets of different blocks that are
        in the leader's component need no comparison; only the other ones are sent to all blocks.
@@ -376,9 +457,9 @@ def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, id_col: st
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(s), xxhash.xxh3_128_digest(s) if len(s) else None) for _, s in _sets(batch.column("text"), n)]
-            kinds = [pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), *(pa.array([f[k] for f in found], kinds[k]) for k in range(2))], names=["id", "th", "n_shingles", "sid"])
+            found = [(len(s), xxhash.xxh3_128_digest(s) if len(s) else None, fine_sketch(s).tobytes() if len(s) else None) for _, s in _sets(batch.column("text"), n)]
+            kinds = [pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), *(pa.array([f[k] for f in found], kinds[k]) for k in range(3))], names=["id", "th", "n_shingles", "sid", "sketch"])
 
     buckets = max(1, int(total * (100 - percent) // 100 // BUCKET))
 
@@ -413,13 +494,16 @@ def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, id_col: st
         if held:
             yield from dealt()
 
-    rows = materialize(base.mapInArrow(digests, f"id {kind}, th long, n_shingles long, sid binary"), "shingle-sets")
+    rows = materialize(base.mapInArrow(digests, f"id {kind}, th long, n_shingles long, sid binary, sketch binary"), "shingle-sets")
     free_shuffles(spark)
     dealt = base.select("text").mapInArrow(entries, "bucket int, entries binary").repartition("bucket").sortWithinPartitions("bucket")
     members = materialize(dealt.mapInArrow(_filter_lists(percent), "leader binary, sid binary").distinct(), "members")
     free_shuffles(spark)
-    named = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("id", "th")).alias("k"), F.min("id").alias("least"), F.count("*").alias("copies"))
+    named = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("id", "th")).alias("k"), F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     named = materialize(named, "named-sets")
+    # Large sets share some rare shingle with many others that are nothing like them; these pairs grow faster than the input and go no further.
+    sketched = members.join(named.select("sid", "n_shingles", "sketch"), "sid").select("leader", "sid", "n_shingles", "sketch").repartition("leader").sortWithinPartitions("leader")
+    members = materialize(sketched.mapInArrow(_filter_groups(percent), "leader binary, sid binary").distinct(), "members")
     # A group whose leader is in a group of a smaller leader joins that one, so that a set is placed less often.
     over = materialize(members.groupBy("sid").agg(F.min("leader").alias("over")).where("over < sid").withColumnRenamed("sid", "under"), "leaders")
     merged = members.join(over, members["leader"] == over["under"], "left")
@@ -450,7 +534,12 @@ def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, id_col: st
         packed = places.groupBy("sid").agg(F.collect_list(F.struct("leader", "block", "side")).alias("places"))
         packed = packed.join(named.select("sid", F.col("k.id").alias("cid"), F.col("k.th").alias("cth")).hint("merge"), "sid").select("cid", "cth", "places")
         packed = materialize(packed, "places").hint("merge")
-        texts = base.join(packed, base["id"].eqNullSafe(packed["cid"]) & (base["th"] == packed["cth"])).select("text", "places")
+        # Texts that have no place aren't shuffled, but for some that share another's mark.
+        slot = lambda th: F.pmod(th, F.lit(1 << MARK_BITS))
+        words = packed.groupBy(F.shiftright(slot(F.col("cth")), 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cth & 63 as int))")).alias("marks"))
+        words = F.broadcast(materialize(words, "marks"))
+        marked = base.join(words, (F.shiftright(slot(base["th"]), 6) == F.col("word")) & F.expr("shiftright(marks, cast(th & 63 as int)) & 1 = 1"), "left_semi")
+        texts = marked.join(packed, marked["id"].eqNullSafe(packed["cid"]) & (marked["th"] == packed["cth"])).select("text", "places")
         sent = texts.mapInArrow(send_sets, "leader binary, block int, side int, sid binary, hashes binary")
         sent = sent.repartition("leader", "block").sortWithinPartitions("leader", "block")
         out = materialize(sent.mapInArrow(_join_blocks(percent, across), "a binary, b binary, leader binary, block int, free binary"), "links")

@@ -195,3 +195,43 @@ def test_packed_lists_keep_every_pair_that_may_link(most_held, monkeypatch):
                 least = -(-90 * (size[a] + size[b]) // 190)
                 if a != b and (len(held) > 12 or (100 * min(size[a], size[b]) >= 90 * max(size[a], size[b]) and apart <= size[a] + size[b] - 2 * least)):
                     assert (name[a], name[b]) in together, t
+
+
+def test_finer_sketches_part_large_sets_and_keep_links():
+    """Sets of thousands of shingles look alike in 32 cells; the finer sketch parts all that don't link and none that do, also across widths."""
+    rng = np.random.default_rng(11)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype="u8")) for n in (5000, 5010, 5100, 8190, 8200, 60, 61, 70_000, 70_001)]
+    for k in (0, 3, 5, 7):
+        for share in (0.06, 0.03):
+            kept = sets[k][rng.random(len(sets[k])) >= share]
+            sets.append(np.unique(np.r_[kept, rng.integers(0, 2**64, len(sets[k]) // 50, dtype="u8")]))
+    coarse = np.stack([np.bincount((s >> np.uint64(59)).astype("i8"), minlength=32).astype("u1") for s in sets])
+    size = np.array([len(s) for s in sets])
+    assert jaccard_join.linkable(np.zeros(3, "u8"), size[:3], np.zeros(3, "i8"), coarse[:3], 90).all()
+    want = components([set(s.tolist()) for s in sets])
+    got = jaccard_join.sketch_components(size, [jaccard_join.fine_sketch(s) for s in sets], 90)
+    assert all(got[a] == got[b] for a in range(len(sets)) for b in range(a) if want[a] == want[b])
+    assert len({int(got[k]) for k in (0, 1, 2, 3, 4)}) == 5
+    assert jaccard_join.sketch_components(size[:5], [jaccard_join.fine_sketch(s) for s in sets[:5]], 90).tolist() == list(range(5))
+
+
+def test_texts_without_places_are_not_shuffled(make, spark, monkeypatch):
+    """Large unlike texts that share a rare shingle have no place; whole groups beyond `COMPARED` do, with the same components."""
+    blocks = [[" ".join(f"w{k}x{j}" for j in range(b, b + 60)) for b in range(0, 7980, 60)] for k in range(2)]
+    texts = [long_text(300, 5), long_text(300, 6)] + [" ".join([*own, "one rare shingle"]) for own in blocks] + 3 * (blocks[0] + blocks[1])
+    sent = []
+    materialize = jaccard_join.materialize
+
+    def seen(df, name):
+        out = materialize(df, name)
+        if name == "places":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", seen)
+    want = components(sets_of(texts))
+    for most, places in ((4096, 2), (1, 4)):
+        monkeypatch.setattr(jaccard_join, "COMPARED", most)
+        got = {r.doc_id: r.component_id for r in jaccard_join.similar_documents(make(texts)).collect()}
+        assert [got[k] for k in range(len(texts))] == want
+        assert sent[-1] == places
