@@ -137,3 +137,21 @@ def test_cuts_are_worked_out_once(spark, monkeypatch):
     finally:
         spark.conf.set(key, old)
     assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_k_nearest_holds_little_beyond_its_rows():
+    """Distances and differences of a bounded number of pairs: with 4096 rows against 16,384, under 96 MB besides what was given."""
+    import tracemalloc
+
+    from noveltide.operators import distance
+
+    rng = np.random.default_rng(8)
+    test, train = rng.normal(size=(4096, 64)), rng.normal(size=(16_384, 64))
+    tracemalloc.start()
+    dist, ids = distance.k_nearest(test, np.arange(4096), train, np.arange(16_384), 20, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 96 << 20
+    few = np.sqrt(((test[:50, None] - train[None]) ** 2).sum(2))
+    assert np.array_equal(ids[:50], np.argsort(few, axis=1, kind="stable")[:, :20])
+    assert np.allclose(dist[:50], np.sort(few, axis=1)[:, :20])
