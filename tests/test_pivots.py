@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from noveltide.operators import pivots
 from noveltide.operators.distance import nearest
@@ -81,6 +82,20 @@ def test_a_block_with_many_visitors_is_met_in_several_tasks(spark, monkeypatch):
     check(nearest(df, df, 2, True, broadcast_values=0), brute(x, np.arange(600), x, np.arange(600), 2, True))
 
 
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_rows_that_no_bound_helps_are_not_copied_for_each_block(spark, exclude_self):
+    """Vectors without structure meet nearly all blocks: they move once, in packs; clustered rows beside them visit their few blocks."""
+    rng = np.random.default_rng(11)
+    x = np.r_[rng.normal(size=(700, 24)), clustered(300, 3, 24) * 50, np.full((5, 24), 0.25)]
+    df = frame(spark, x)
+    index = pivots.build(df, 3, pivots=40, block_rows=10)
+    _, second = pivots.visits(df, index, exclude_self)
+    moved = {r["all"]: r.n for r in second.groupBy((second.block < 0).alias("all")).agg(F.count("*").alias("n")).collect()}
+    assert len(index.bounds.rows) > 64 and moved[True] >= 600
+    assert second.count() < len(x) * max(pivots.MOST_VISITS, pivots.VISITED_SHARE * len(index.bounds.rows)) / 4
+    check(pivots.search(df, index, exclude_self), brute(x, np.arange(1005), x, np.arange(1005), 3, exclude_self))
+
+
 def test_bounds_hold(spark):
     """No lower bound is over a row's true distance."""
     x = clustered(1500, 30, 6, seed=5)
