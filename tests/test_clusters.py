@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from noveltide.operators import cluster
-from noveltide.plans import experiments
+from noveltide.plans import experiments, queries
 
 
 def test_many_clusters_none_empty_and_no_dearer_than_spark(spark):
@@ -27,3 +27,9 @@ def test_large_tables_take_as_many_clusters_as_a_null_direction(spark):
     """Beyond 500 clusters the experiment took ten, and other directions."""
     v = spark.range(700).selectExpr("id AS row_id", "array(rand(1), rand(2), rand(3)) AS features")
     assert experiments._clusters(v, None) == 698
+
+
+def test_the_sweep_takes_every_number_of_clusters(spark, sf, monkeypatch):
+    """It took every tenth."""
+    monkeypatch.setattr(experiments, "auc_by_clusters", lambda v, counts: list(counts))
+    assert queries.QUERIES["cluster_count_sweep"](spark, sf) == list(range(1, 311, 3))
