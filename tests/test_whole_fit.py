@@ -20,3 +20,8 @@ def fitted_on(spark, monkeypatch, name):
 def test_lunar_has_no_bound(spark, monkeypatch):
     """It was fitted on 20,000 rows at most."""
     assert fitted_on(spark, monkeypatch, "LUNAR") == [None]
+
+
+def test_neutralad_has_no_bound(spark, monkeypatch):
+    """It was fitted on 20,000 rows at most."""
+    assert fitted_on(spark, monkeypatch, "NeuTraLAD") == [None]
